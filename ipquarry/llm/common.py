@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,23 @@ def drop(spark: SparkSession, what: DataFrame | str) -> None:
         pass
 
 
+@functools.cache
+def _malloc():
+    try:
+        pa.set_memory_pool(pa.system_memory_pool())
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
+
+
+def trim() -> None:
+    """For a worker: memory that arrays have given up goes back to the system.
+
+    Spark keeps workers between stages, so what one holds on to adds to what others need.
+    """
+    _malloc()(0)
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import drop, stored, texts
+from ipquarry.llm.common import drop, stored, texts, trim
 from ipquarry.llm.components import components
 from ipquarry.llm.ngram_lm import _pack, _unpack
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
@@ -47,7 +47,7 @@ WORDS, SIMILARITY = 5, (80, 100)
 #: Blocks beyond d + 1, as a share, among which the fullest are chosen.
 SPARE = 0.25
 #: Signatures that a task holds before it sends them on, and bytes of text for each bucket of them.
-HELD = 2_000_000
+HELD = 1_000_000
 BUCKET_BYTES = 24 << 20
 TILE = 1024
 SKETCH = 16  # 64-bit words of the wide sketch
@@ -178,6 +178,7 @@ def _rows(kind: int, bucket, data) -> pa.RecordBatch:
 def _emit(k: int, similarity: tuple[int, int], buckets: int):
     def flush(held):
         sig, node, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         (sig, node, own), pairs = stars(sig, node, own)
         for kind, key, columns in ((_SIGNATURES, sig, (sig, node, own)), (_STARS, pairs[0], pairs)):
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # sorted, as the keys are
@@ -206,7 +207,8 @@ def _emit(k: int, similarity: tuple[int, int], buckets: int):
                 size += len(sig)
                 if size >= HELD:
                     yield from flush(held)
-                    held, size, seen = [], 0, set()
+                    size, seen = 0, set()
+                    trim()
         if size:
             yield from flush(held)
 
@@ -215,6 +217,7 @@ def _emit(k: int, similarity: tuple[int, int], buckets: int):
 
 def _meet(key, table):
     """For applyInArrow: the stars of a bucket of signatures."""
+    trim()
     held, pairs = [], []
     for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
         if kind == _SIGNATURES:

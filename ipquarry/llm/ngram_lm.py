@@ -42,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import new_folder, texts
+from ipquarry.llm.common import new_folder, texts, trim
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
 
 ORDER = 2
 #: Pairs that a task sorts at once, and pairs for each shard, about.
-BUFFER = 3_000_000
-SHARD_PAIRS = 3_000_000
+BUFFER = 1_000_000
+SHARD_PAIRS = 1_500_000
 _BEGIN, _END = np.uint64(0x0B0B0B0B0B0B0B0B), np.uint64(0x0E0E0E0E0E0E0E0E)
 _LOW = np.uint64(16)
 
@@ -190,8 +190,12 @@ def _count(order: int, bits: int):
         # the longest context decides the shorter ones, which needn't be sorted by
         (main, word, first), n = _sorted_pairs(columns[0], (word >> _LOW) << _LOW)
         rows += _runs([main, *(c[first] for c in columns[1:-1]), word], n, bits, order)
+        held.clear()
+        del columns, word, unigrams, n, main, first, shard
         for row in rows:
             yield _batch([row])
+        rows.clear()
+        trim()
 
     def run(batches):
         held, size = [], 0
@@ -203,7 +207,7 @@ def _count(order: int, bits: int):
                 size += len(token)
                 if size >= BUFFER:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush(held)
 
@@ -294,6 +298,7 @@ def _unigrams(folder: str):
     """For applyInArrow: the file of a shard of words, and its figures."""
 
     def run(key, table):
+        trim()
         plain, continued, rows = [], [], []
         for level, shard, data in zip(*(table[c].to_pylist() for c in ("level", "shard", "data")), strict=True):
             if level < 0:
@@ -478,6 +483,7 @@ def _passing(run, level: int):
     """run for the level's own rows and for words; figures of levels above pass unchanged."""
 
     def either(key, table):
+        trim()
         return run(key, table) if key[0].as_py() in (0, level) else table.select(["level", "shard", "data"]).cast(_ROWS)
 
     return either
@@ -492,6 +498,7 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
         for batch in batches:
             got = own.score(batch.column("text"))
             n = batch.num_rows
+            trim()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_known"], pa.int64()), pa.array(np.full(n, own.train_tokens, np.int64)), pa.array(got["base_score"], pa.float64()), pa.array(got["score"], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return texts(docs).withColumn("held_out", held_out).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

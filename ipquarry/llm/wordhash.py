@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -85,7 +85,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
             end = min(n, end + window)
         part = _LOWER[raw[at:end]]
         a, b = _word_bounds(part, inner[(inner >= at) & (inner < end)] - at)
-        size = 1 << max(12, (len(part)).bit_length())
+        size = 1 << max(12, (len(part) - 1).bit_length())
         up, down = _powers(size)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])

@@ -78,6 +78,10 @@ def trim() -> None:
     _malloc()(0)
 
 
-def ascii_lower(column):
-    """Lower-cases A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Rows of keys that may be broadcast, some tens of MB.
+FEW = 250_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys with a hint to broadcast them where their counted number is at most FEW; joined by shuffle otherwise."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import stored, texts
+from ipquarry.llm.common import few, stored, texts
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 4
@@ -248,14 +248,22 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each distinct text.
 
-    Rows that repeat both the staying id and its text are copies too; one of them stays.
+    What leaves is joined against docs, not what stays, so that texts needn't move where copies are few.
+    Rows that repeat both an id and its text are copies too; one of them stays.
     """
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256)))
-    stay = groups(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_digest").alias("digest")))
-    stay = stay.select(F.col("digest").alias("_key"), "keep_id")
-    rest = marked.join(stay, (F.col("_digest") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    # Only an id that occurs more than once has anything left to drop; one row per (id, digest) remains.
-    return rest.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256)))
+    key = F.col("doc_id").cast("long")
+    found = stored(marked.select(key.alias("doc_id"), F.col("_digest").alias("digest")), "digests")
+    judged = found.groupBy("doc_id", "digest").agg(F.count("*").alias("times")).join(groups(found), "digest")
+    judged = judged.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_kept"), "times")
+    odd = stored(judged.where("not _kept or times > 1"), "odd")
+    gone, again = odd.where("not _kept"), odd.where("_kept")
+    same = key.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
+    out = marked.join(few(gone), same, "left_anti")
+    if not again.isEmpty():
+        once = out.join(few(again), same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        out = out.join(few(again), same, "left_anti").unionByName(once)
+    return out.drop("_digest")
 
 
 QUERIES = {"op3_exact_dedup": lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))}

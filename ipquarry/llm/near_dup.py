@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import drop, stored, texts, trim
+from ipquarry.llm.common import drop, few, stored, texts, trim
 from ipquarry.llm.components import components
 from ipquarry.llm.ngram_lm import _pack, _unpack
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
@@ -51,8 +51,6 @@ HELD = 1_000_000
 BUCKET_BYTES = 24 << 20
 TILE = 1024
 SKETCH = 16  # 64-bit words of the wide sketch
-#: Ids up to so many are broadcast (8 MB); more are joined.
-FEW_IDS = 1_000_000
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -317,11 +315,6 @@ def _link(pairs: DataFrame, sets: DataFrame, similarity) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A hint to broadcast ids where their number, counted, is small; joined by shuffle otherwise."""
-    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-
-
 def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: doc_id, node, n; links: a, b of verified sets, enough for every component; roots: node, root)."""
     spark = docs.sparkSession
@@ -335,7 +328,7 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     pairs = stored(met.select("a", "b").distinct(), "pairs")
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     wanted = stored(documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "wanted")
-    again = rows.join(_few(wanted), rows.doc_id.eqNullSafe(wanted.id), "left_semi")
+    again = rows.join(few(wanted), rows.doc_id.eqNullSafe(wanted.id), "left_semi")
     sets = again.select("text").mapInArrow(_sets(k), "node long, members binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
     sets = stored(sets, "sets")
     links = stored(_link(pairs, sets, similarity), "links")
@@ -376,7 +369,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int,
     """The rows of docs, with all their columns, that are the first of their component by id."""
     found = near_duplicates(docs, k, similarity)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(_few(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(few(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 
 QUERIES = {"op9_ngram_jaccard": lambda spark, sf_dir: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))}

@@ -1,0 +1,192 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from ipquarry.llm import components, exact_dedup, near_dup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, node int"
+
+
+def docs_of(spark, rows, parts=3):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", 7) for i, t in rows], SCHEMA).repartition(parts)
+
+
+TEXTS = ["a b", "a  b", "a\t\n b", " a b", "", None, " ", "\n\n", "A b", "é", "é\x0b", "a b", "x" * 100000, "a\xa0b"]
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_against_brute_force(spark):
+    rows = [(100 - i, t) for i, t in enumerate(TEXTS * 3)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[normal(t)].append(i)
+    got = exact_dedup.exact_dedup(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        own = groups[normal(texts[r["doc_id"]])]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (min(own), len(own), r["doc_id"] == min(own))
+        assert r["text_sha256"] == exact_dedup.digest_of(texts[r["doc_id"]]).hex()
+
+
+def test_exact_edge_rows(spark):
+    rows = [(None, "t"), (3, "t"), (3, "t"), (None, "u"), (5, None), (4, "")]
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs_of(spark, rows)).collect()), key=repr)
+    assert got == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, None, 1, True), (5, 4, 2, False), (4, 4, 2, True)], key=repr)
+    assert exact_dedup.exact_dedup(docs_of(spark, rows).limit(0)).count() == 0
+    left = exact_dedup.drop_duplicates(docs_of(spark, rows))
+    assert left.columns == docs_of(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(3, "t"), (None, "u"), (4, "")], key=repr)
+
+
+def test_cuckoo_filter_against_sets():
+    rng = random.Random(5)
+    index, live = exact_dedup.CuckooIndex(1), {}
+    keys = [rng.randbytes(32) for _ in range(3000)]
+    for step in range(12000):
+        key = rng.choice(keys)
+        if rng.random() < 0.6:
+            assert index.add(key, step) == (key not in live)
+            live[key] = min(live.get(key, step), step)
+        else:
+            assert index.remove(key) == (key in live)
+            live.pop(key, None)
+    assert index.resizes > 3
+    assert {k: e[0] for k, e in index.content.items()} == live
+    for key in keys:
+        assert (index.find(key) is not None) == (key in live)
+        assert (key in index.filter) or key not in live  # no false misses
+    again = exact_dedup.CuckooIndex.unpack(index.pack())
+    assert again.content == index.content and all(again.find(k) for k in live)
+
+
+def test_false_hits_are_verified():
+    index = exact_dedup.CuckooIndex()
+    one = bytes(32)
+    two = b"\x01" + bytes(31)  # the same fingerprint and buckets
+    assert index.add(one, 1) and index.add(two, 2)
+    assert index.false_hits == 1 and index.find(one)[0] == 1 and index.find(two)[0] == 2
+    assert index.remove(one) and index.find(one) is None and index.find(two)[0] == 2
+
+
+def test_index_updates(spark):
+    first, second, third = (docs_of(spark, list(enumerate(x))) for x in (["a", "b", "c"], ["d", "a"], ["b", "zz"]))
+    index = exact_dedup.update_index(exact_dedup.build_index(first), second, third)
+    found = {bytes(r["digest"]): r["group_size"] for r in exact_dedup.lookup(index, docs_of(spark, list(enumerate("abcde")))).collect()}
+    assert found == {exact_dedup.digest_of(t): n for t, n in (("a", 2), ("c", 1), ("d", 1))}
+
+
+def oracle(rows, k, p, q):
+    sets = []
+    for _, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            by[g].append(i)
+    seen = {(i, j) for own in by.values() for i in own for j in own if i < j}
+    for i, j in seen:
+        both = len(sets[i] & sets[j])
+        if q * both >= p * (len(sets[i]) + len(sets[j]) - both):
+            root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)].append(doc_id)
+    return [(doc_id, len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None) if sets[i] else doc_id) for i, (doc_id, _) in enumerate(rows)]
+
+
+def mutated(rng, words, share):
+    out = list(words)
+    for _ in range(max(0, round(len(words) * share))):
+        at = rng.randrange(len(out))
+        kind = rng.random()
+        if kind < 0.5:
+            out[at] = f"n{rng.randrange(10**6)}"
+        elif kind < 0.75 and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, f"i{rng.randrange(10**6)}")
+    return out
+
+
+@pytest.mark.parametrize(("k", "p", "q"), [(3, 90, 100), (5, 80, 100)])
+def test_join_against_brute_force(spark, k, p, q, monkeypatch):
+    rng = random.Random(k)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = fresh(30), []
+    for size in (1, 2, 4, 6, 9, 12, 20, 33, 60, 120, 400):
+        for _ in range(4):
+            base = fresh(size)
+            texts += [base, *(mutated(rng, base, s) for s in (0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.08))]
+    for _ in range(120):  # one passage in documents that don't link
+        own = fresh(rng.randrange(10, 40))
+        texts.append(own[:5] + passage + own[5:])
+    chain = fresh(150)  # copies of copies: ends don't link
+    for _ in range(25):
+        chain = mutated(rng, chain, 0.012)
+        texts.append(chain)
+    star = fresh(300)  # near copies of one text that mostly don't link with each other
+    texts += [mutated(rng, star, 0.016) for _ in range(40)] + [star]
+    texts = [" ".join(t) for t in texts] + ["", None, "  ", "one", "ONE", "One two", "one two"]
+    rows = [(i + 10, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(near_dup, "TILE", 16)
+    got = near_dup.near_duplicates(docs_of(spark, rows), k, (p, q)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(oracle(rows, k, p, q))
+
+
+def test_join_edge_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (7, long), (7, long), (None, "alone here"), (None, None), (8, long + " x")]
+    got = sorted((tuple(r) for r in near_dup.near_duplicates(docs_of(spark, rows), 3, (90, 100)).collect()), key=repr)
+    assert got == sorted(oracle(rows, 3, 90, 100), key=repr)
+    assert near_dup.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
+    left = near_dup.drop_near_duplicates(docs_of(spark, [(1, long), (2, long + " y"), (3, "b"), (4, None)]))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
+    assert left.columns == docs_of(spark, rows).columns
+
+
+def test_sketch_is_a_lower_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (1, 10, 500, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 7 + 1).astype(np.uint64)])
+        far = np.bitwise_count(near_dup.sketches(a) ^ near_dup.sketches(b)).sum()
+        assert far <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in links)}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0

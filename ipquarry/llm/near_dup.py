@@ -50,7 +50,7 @@ SPARE = 0.25
 HELD = 1_000_000
 BUCKET_BYTES = 24 << 20
 TILE = 1024
-SKETCH = 16  # 64-bit words of the wide sketch
+LEAST_BITS = 256
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -192,7 +192,8 @@ def _emit(k: int, similarity: tuple[int, int], buckets: int):
             for at, n in slices(column, WINDOW):
                 h, bounds = shingles(column.slice(at, n), k)
                 node, count = digests(h, bounds), np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([pa.array([_DOCUMENT] * n, pa.int32()), pa.array([-1] * n, pa.int32()), batch.column("doc_id").slice(at, n), pa.array(node, mask=count == 0), pa.array(count), pa.nulls(n, pa.binary())], schema=_SCHEMA)
+                wide, at_ = sketches(h, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array([_DOCUMENT] * n, pa.int32()), pa.array([-1] * n, pa.int32()), batch.column("doc_id").slice(at, n), pa.array(node, mask=count == 0), pa.array(count), pa.array([wide[a:b].tobytes() for a, b in zip(at_, at_[1:], strict=False)], pa.binary())], schema=_SCHEMA)
                 fresh = [i for i, (x, c) in enumerate(zip(node.tolist(), count.tolist(), strict=True)) if c and not (x in seen or seen.add(x))]
                 if not fresh:
                     continue
@@ -271,48 +272,140 @@ def _verified(similarity: tuple[int, int]):
     return run
 
 
-def sketches(h: np.ndarray) -> np.ndarray:
-    """The wide parity sketch of a set."""
-    out = np.zeros(SKETCH, np.uint64)
-    np.bitwise_xor.at(out, (mix(h ^ np.uint64(0x71D67FFFEDA60000)) % np.uint64(SKETCH)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out
+def sketches(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wide parity sketches of the rows' sets, one after the other, and their bounds in words.
 
+    A sketch has at least twice as many bits as the set has members, a power of two; xor of its halves is
+    the sketch of half the width, so any two can be compared.
+    """
+    size = np.diff(bounds)
+    bits = np.maximum(LEAST_BITS, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits // 64)])
+    row = np.repeat(np.arange(len(size)), size)
+    at = (mix(h ^ np.uint64(0x71D67FFFEDA60000)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(first[-1]), np.uint64)
+    np.bitwise_xor.at(out, first[row] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out, first
 
-def _sketched(batches):
-    for batch in batches:
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketches(x).tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
 
+def folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Sketches [rows, words] at a smaller width."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
-def _tile(similarity: tuple[int, int]):
-    """For applyInArrow: pairs of a tile that lie in different components and that the sketches don't rule out."""
+
+def possible(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Which pairs of sets of n and m members, with sketches x and y, may link."""
     p, q = similarity
+    out = q * np.minimum(n, m) >= p * np.maximum(n, m)
+    left, right = (np.fromiter(map(len, v), np.int64, len(v)) // 8 for v in (x, y))
+    shape = np.where(out, left * (1 << 32) + right, -1)
+    for one in np.unique(shape[out]).tolist():
+        at = np.nonzero(shape == one)[0]
+        a, b = one >> 32, one & 0xFFFFFFFF
+        width = min(a, b)
+        per = max(1, (1 << 21) // max(a, b))  # bounds what is compared at once
+        for part in (at[i : i + per] for i in range(0, len(at), per)):
+            s = folded(np.frombuffer(b"".join(x[i] for i in part), np.uint64).reshape(-1, a), width)
+            t = folded(np.frombuffer(b"".join(y[i] for i in part), np.uint64).reshape(-1, b), width)
+            out[part] = _popcount(s ^ t).sum(1) <= most_difference(n[part] + m[part], similarity)
+    return out
 
-    def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        node, n, root, of = (table[c].to_numpy() for c in ("node", "n", "root", "tile"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
-        left, right = np.nonzero(of == i)[0], np.nonzero(of == j)[0]
-        out_a, out_b = [], []
-        for x in left.tolist():
-            y = right[(root[right] != root[x])]
-            if i == j:
+
+def _near(similarity: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            keep = possible(batch.column("x").to_pylist(), batch.column("y").to_pylist(), n, m, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _across(similarity: tuple[int, int]):
+    """For mapInArrow over rows sorted by (sig, i, j): pairs of a tile in different components that may link.
+
+    Of a tile at most 2 * TILE rows are held.
+    """
+
+    def pairs(held):
+        i, j, of, node, n, root = (np.concatenate(x) for x in zip(*(h[:6] for h in held), strict=True))
+        sketch = [x for h in held for x in h[6]]
+        width = min(map(len, sketch)) // 8
+        wide: dict[int, list[int]] = {}
+        for r, x in enumerate(sketch):
+            wide.setdefault(len(x) // 8, []).append(r)
+        flat = np.empty((len(sketch), width), np.uint64)
+        for size, rows in wide.items():
+            flat[rows] = folded(np.frombuffer(b"".join(sketch[r] for r in rows), np.uint64).reshape(-1, size), width)
+        p, q = similarity
+        right = np.nonzero(of == j[0])[0]
+        for x in np.nonzero(of == i[0])[0].tolist():
+            y = right[root[right] != root[x]]
+            if i[0] == j[0]:
                 y = y[node[y] > node[x]]
             y = y[q * np.minimum(n[y], n[x]) >= p * np.maximum(n[y], n[x])]
-            far = _popcount(sketch[y] ^ sketch[x]).sum(1)
-            y = y[far <= most_difference(n[y] + n[x], similarity)]
-            out_a.append(np.minimum(node[x], node[y]))
-            out_b.append(np.maximum(node[x], node[y]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            per = max(1, (1 << 21) // width)
+            for part in (y[k : k + per] for k in range(0, len(y), per)):
+                near = part[_popcount(flat[part] ^ flat[x]).sum(1) <= most_difference(n[part] + n[x], similarity)]
+                if len(near):
+                    yield np.minimum(node[x], node[near]), np.maximum(node[x], node[near])
+
+    def out(held):
+        found = list(pairs(held)) if held else []
+        if found:
+            a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, i, j, of, node, n, root = (batch.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "n", "root"))
+            sketch = batch.column("sketch").to_pylist()
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            cut = np.append(np.nonzero(new)[0], len(sig))
+            for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                key = (int(sig[x]), int(i[x]), int(j[x]))
+                if key != at:
+                    yield from out(held)
+                    at, held = key, []
+                held.append((i[x:y], j[x:y], of[x:y], node[x:y], n[x:y], root[x:y], sketch[x:y]))
+        yield from out(held)
 
     return run
 
 
-def _link(pairs: DataFrame, sets: DataFrame, similarity) -> DataFrame:
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    two = one.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
+def _both(pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
+    """pairs with columns of both their sets: (of the set, as of a, as of b)."""
+    of = lambda side, k: sets.select(F.col("node").alias(side), *(F.col(c[0]).alias(c[k]) for c in columns))
+    return pairs.join(of("b", 2), "b").join(of("a", 1), "a").select("a", "b", *(c[k] for c in columns for k in (1, 2)))
+
+
+class _Verifier:
+    """Links among pairs: first by sketches, then by the sets of those that are left."""
+
+    def __init__(self, rows: DataFrame, documents: DataFrame, sketched: DataFrame, k: int, similarity: tuple[int, int]):
+        self.rows, self.documents, self.sketched, self.k, self.similarity = rows, documents, sketched, k, similarity
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of pairs that link; sets are made from the texts of one document each."""
+        near = _both(pairs, self.sketched, ("n", "n", "m"), ("sketch", "x", "y")).mapInArrow(_near(self.similarity), "a long, b long")
+        near = stored(near, "near")
+        nodes = stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
+        wanted = self.documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+        wanted = stored(wanted.select("id").distinct(), "wanted")
+        again = self.rows.join(few(wanted), self.rows.doc_id.eqNullSafe(wanted.id), "left_semi")
+        sets = again.select("text").mapInArrow(_sets(self.k), "node long, members binary").join(nodes, "node", "left_semi")
+        sets = stored(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
+        links = stored(_both(near, sets, ("members", "x", "y")).mapInArrow(_verified(self.similarity), "a long, b long"), "links")
+        for used in (near, nodes, wanted, sets):
+            drop(self.rows.sparkSession, used)
+        return links
 
 
 def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -322,34 +415,31 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     emitted = stored(rows.mapInArrow(_emit(k, similarity, buckets), KINDS), "signatures")
-    documents = stored(emitted.where(f"kind = {_DOCUMENT}").select("doc_id", "node", "n"), "sets_of_documents")
+    of_documents = emitted.where(f"kind = {_DOCUMENT}")
+    documents = stored(of_documents.select("doc_id", "node", "n"), "sets_of_documents")
+    sketched = stored(of_documents.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("sketch")), "sketches")
     met = stored(emitted.where(f"kind <> {_DOCUMENT}").select("kind", "bucket", "data").groupBy("bucket").applyInArrow(_meet, "sig long, a long, b long"), "stars")
     drop(spark, emitted)
+    verified = _Verifier(rows, documents, sketched, k, similarity)
     pairs = stored(met.select("a", "b").distinct(), "pairs")
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
-    wanted = stored(documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "wanted")
-    again = rows.join(few(wanted), rows.doc_id.eqNullSafe(wanted.id), "left_semi")
-    sets = again.select("text").mapInArrow(_sets(k), "node long, members binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
-    sets = stored(sets, "sets")
-    links = stored(_link(pairs, sets, similarity), "links")
+    links = verified(pairs)
     roots = stored(components(links), "roots")
 
-    # signatures whose sets lie in several components
+    # signatures whose sets lie in several components; with two sets, their pair has been looked at
     members = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     members = stored(members, "members")
-    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("print")).where("r0 <> r1")
+    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("print")).where("r0 <> r1 and m > 2")
     # of signatures with the same sets one is enough
     open_ = open_.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     tiled = members.join(open_, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = tiled.join(sets.mapInArrow(_sketched, "node long, n long, sketch binary"), "node")
-    tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.join(sketched, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "root", "sketch")
-    more = tiled.groupBy("sig", "i", "j").applyInArrow(_tile(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "more_pairs")
+    more = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(similarity), "a long, b long")
+    more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     if not more.isEmpty():
-        links = stored(links.union(_link(more, sets, similarity)), "links")
+        links = stored(links.union(verified(more)), "links")
         roots = stored(components(links), "roots")
-    for used in (met, members, sets, more):
+    for used in (met, members, sketched, pairs, more):
         drop(spark, used)
     return documents, links, roots
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Seconds that a file must have been left alone before it's indexed.
 SETTLED = 2.0
+#: Fixed by Spark's source of whole files.
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def settled(paths: list[str], age: float = SETTLED, now: float | None = None) -> list[str]:
@@ -48,7 +50,7 @@ def stream(spark: SparkSession, directory: str, name_filter: str, index: Callabl
 
     name_filter is a glob on file names. The content isn't read by the stream, only each file's path.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", name_filter).option("recursiveFileLookup", "true").load(directory)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", name_filter).option("recursiveFileLookup", "true").load(directory)
 
     def batch(rows: DataFrame, _: int) -> None:
         # one row for each new file

@@ -7,10 +7,11 @@ the symmetric difference.
 
 Size bands: sizes in one band differ by less than a factor of p / q, so links stay in a band or join
 neighbouring ones; each set takes part in its own band's join and in the next one's. A join with the
-largest difference d cuts the hash space into n > d blocks of 64 bits, of which n - d at least are equal
-for a link. Blocks are ordered by the number of bits set, fullest first, then by value; by the prefix
-principle a link shares one of the first d + 1 of them, and those, the ones that say most, are what is
-joined.
+largest difference d cuts the sketch into n > d blocks, of which n - d at least are equal for a link. A
+block's bits are as many as there are hashes, few of them set; what stands for it is the xor of the
+numbers of its set bits, so it's had by xoring the members' hashes into the block. Blocks are ordered by
+the number of members, fullest first, then by value; by the prefix principle a link shares one of the
+first d + 1 of them, and those, the ones that say most, are what is joined.
 
 Join: a task collapses each signature that several of its sets have to one of them and links the others
 to it; only that one is shuffled, so a group of copies costs a row per task and signature. What meets in
@@ -110,7 +111,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray, similarity: tuple[int, int]) -
     band = np.searchsorted(edges, size, "right") - 1
     out = []
     row = np.repeat(np.arange(len(size)), size)
-    place, bit = mix(h ^ np.uint64(0x9E6C63D0876A9A35)), np.uint64(1) << (h & np.uint64(63))
+    place = mix(h ^ np.uint64(0x9E6C63D0876A9A35))
     for own in (True, False):
         join = band + (not own)
         d = most_difference(2 * (edges[join + 1] - 1), similarity)
@@ -118,12 +119,12 @@ def signatures(h: np.ndarray, bounds: np.ndarray, similarity: tuple[int, int]) -
         n[size == 0] = 0
         first = np.concatenate([[0], np.cumsum(n)])
         block = ((place >> np.uint64(32)) * n[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        bits = np.zeros(int(first[-1]), np.uint64)
-        np.bitwise_xor.at(bits, first[row] + block, bit)
+        bits, full = np.zeros(int(first[-1]), np.uint64), np.bincount(first[row] + block, minlength=int(first[-1]))
+        np.bitwise_xor.at(bits, first[row] + block, place)
         owner = np.repeat(np.arange(len(size)), n)
         number = np.arange(len(bits)) - first[owner]
         value = mix(mix(bits) ^ mix((join[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
-        order = np.lexsort((value, -_popcount(bits), owner))
+        order = np.lexsort((value, -full, owner))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - first[owner[order]]
         keep = rank <= d[owner]

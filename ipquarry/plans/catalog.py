@@ -1,20 +1,400 @@
-"""Registered queries over the driver's tables, with their oracle SQL."""
+"""Registered queries over the driver's tables, each through the library's operators, with oracle SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLE_SQL = {}
+from ipquarry.functions import postings as forms
+from ipquarry.functions.filenames import BUCKETS, bucket, database_column, time_column
+from ipquarry.functions.ips import cidr_bounds, family, format_ip, ipv4_number, parse_ipv4, query_range
+from ipquarry.operators import stats
+from ipquarry.operators.cidr_join import blocks_frame, join_blocks
+from ipquarry.plans.flows import FLOWS_SQL, flow_text, flows, table, text_records
+from ipquarry.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+BLOCK = "10.0.1.128/26"
+BLOCKS = ["10.0.0.0/24", "10.0.0.0/16", "10.0.1.128/26", "10.0.2.0/25", "10.0.0.64/32", "192.168.0.0/16", "0.0.0.0/0", "10.0.1.0/31"]
+TIMED = r"logs/(?P<year>\d\d\d\d)-(?P<month>\d\d)-(?P<day>\d\d)/\w+\.(?P<hour>\d\d):(?P<minute>\d\d)"
+MONTHLY = (r"logs/(?P<year>\d+)-(?P<month>\d+)-\d+", "$year$month.db")
+DAILY = (r"logs/(?P<year>\d+)-(?P<month>\d+)-(?P<day>\d+)", "$year$month$day.db")
+
+#: IPv4 alternatives of the free-text form in DuckDB; no table holds an IPv6 address.
+_TEXT = "'[^0-9](?:[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})[^0-9]'"
+_FOUND = f"unnest(list_transform(regexp_extract_all(COLUMN || chr(10), {_TEXT}), lambda m: substr(m, 2, length(m) - 2)))"
+_VALID = "regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')"
+
+
+def _number_sql(text: str) -> str:
+    return " + ".join(f"split_part({text}, '.', {k})::BIGINT * {256 ** (4 - k)}" for k in (1, 2, 3, 4))
+
+
+def _range_sql(block: str) -> str:
+    b = query_range(block)
+    return f"BETWEEN {int.from_bytes(b.lo, 'big')} AND {int.from_bytes(b.hi, 'big')}"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql.strip()
+        return function
+
+    return add
+
+
+def _with(sql: str) -> str:
+    return f"WITH {FLOWS_SQL.strip()}\n{sql.strip()}"
+
+
+# readers
+
+
+def _extracted(key: str, name: str, column: str) -> str:
+    return f"WITH x AS (SELECT {key}, {_FOUND.replace('COLUMN', column)} AS ip FROM {name}) SELECT DISTINCT {key}, ip FROM x WHERE {_VALID}"
+
+
+@query(_extracted("doc_id", "documents", "text"))
+def extract_syslog_documents(spark, sf_dir):
+    """Free-text reader: distinct addresses of each document."""
+    found = readers.extract(text_records(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), format_ip("ip").alias("ip"))
+
+
+@query(_extracted("page_id", "pages", "html"))
+def extract_syslog_pages(spark, sf_dir):
+    """Free-text reader over pages."""
+    found = readers.extract(text_records(spark, sf_dir, "pages", "page_id", "html")).where(family("ip") == 4)
+    return found.select(F.col("path").cast("long").alias("page_id"), format_ip("ip").alias("ip"))
+
+
+@query(f"WITH x AS (SELECT doc_id, {_FOUND.replace('COLUMN', 'text')} AS ip FROM documents) SELECT DISTINCT doc_id FROM x WHERE {_VALID}")
+def search_cidr_documents(spark, sf_dir):
+    """Documents that mention any IPv4 address."""
+    found = readers.extract(text_records(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.where(cidr_bounds("0.0.0.0/0").contains("ip")).select(F.col("path").cast("long").alias("doc_id")).distinct()
+
+
+@query(_with("SELECT doc, count(*) AS records FROM flow_text GROUP BY doc"))
+def extract_record_count(spark, sf_dir):
+    """Records of each log."""
+    rows = flow_text(spark, sf_dir).select(F.col("doc").alias("path"))
+    return readers.record_counts(rows).withColumnRenamed("path", "doc")
+
+
+@query(_with("""SELECT doc, src AS ip, count(*) AS n FROM flow_text GROUP BY ALL
+UNION ALL SELECT doc, NULL, count(*) FROM flow_text GROUP BY doc"""))
+def index_rows(spark, sf_dir):
+    """What indexing shuffles: one row per log and address, and one with the log's number of records."""
+    rows = flow_text(spark, sf_dir).select(F.col("doc").alias("path"), F.array("src").alias("texts"))
+    return readers.counted(rows).select(F.col("path").alias("doc"), format_ip("ip").alias("ip"), "n")
+
+
+_JSON = """json_object('id.orig_h', src, 'uid', event_id, 'Dst', '10.9.' || (event_id % 7) || '.1')"""
+
+
+@query(_with(f"SELECT DISTINCT doc, json_extract_string(value, k) AS ip FROM (SELECT doc, {_JSON} AS value FROM flow_text), (SELECT unnest(['$.\"id.orig_h\"', '$.\"Dst\"']) AS k)"))
+def json_extract(spark, sf_dir):
+    """JSON reader, over records made from events; one field's name is in another case."""
+    rows = flow_text(spark, sf_dir)
+    dst = F.concat(F.lit("10.9."), (F.col("event_id") % 7).cast("string"), F.lit(".1"))
+    value = F.to_json(F.struct(F.col("src").alias("id.orig_h"), F.col("event_id").alias("uid"), dst.alias("Dst")))
+    found = readers.extract(readers.from_json(rows.select(F.col("doc").alias("path"), value.alias("value"))))
+    return found.select(F.col("path").alias("doc"), format_ip("ip").alias("ip"))
+
+
+@query(_with("""SELECT DISTINCT doc, unnest([string_split(line, chr(9))[3], string_split(line, chr(9))[5]]) AS ip
+FROM (SELECT doc, '1' || chr(9) || 'C' || chr(9) || src || chr(9) || '1' || chr(9) || '10.8.0.' || (event_id % 5) AS line FROM flow_text)"""))
+def tsv_extract(spark, sf_dir):
+    """Tab-separated reader: columns by the names of each file's header line."""
+    rows = flow_text(spark, sf_dir)
+    cells = [F.lit("1"), F.lit("C"), F.col("src"), F.lit("1"), F.concat(F.lit("10.8.0."), (F.col("event_id") % 5).cast("string"))]
+    data = rows.select(F.col("doc").alias("path"), F.concat_ws("\t", *cells).alias("value"))
+    heads = rows.select(F.col("doc").alias("path"), F.lit("#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h").alias("value")).distinct()
+    found = readers.extract(readers.from_tsv(data.unionByName(heads)))
+    return found.select(F.col("path").alias("doc"), format_ip("ip").alias("ip"))
+
+
+@query(_with("""SELECT DISTINCT doc, unnest([string_split(line, ',')[4], string_split(line, ',')[5]]) AS ip
+FROM (SELECT doc, 't,d,p,' || src || ',10.7.0.' || (event_id % 3) || ',80,1,2' AS line FROM flow_text)"""))
+def csv_extract(spark, sf_dir):
+    """Reader of exported flow records."""
+    rows = flow_text(spark, sf_dir)
+    value = F.concat(F.lit("t,d,p,"), "src", F.lit(",10.7.0."), (F.col("event_id") % 3).cast("string"), F.lit(",80,1,2"))
+    found = readers.extract(readers.from_csv6(rows.select(F.col("doc").alias("path"), value.alias("value"))))
+    return found.select(F.col("path").alias("doc"), format_ip("ip").alias("ip"))
+
+
+@query(_with("""SELECT DISTINCT doc, unnest(string_split(line, '  ')) AS ip FROM (SELECT doc, src || '  10.6.0.' || (event_id % 3) AS line FROM flow_text)"""))
+def pairs_extract(spark, sf_dir):
+    """Reader of exported address pairs."""
+    value = F.concat(F.lit(" "), "src", F.lit("  10.6.0."), (F.col("event_id") % 3).cast("string"))
+    found = readers.extract(readers.from_pairs(flow_text(spark, sf_dir).select(F.col("doc").alias("path"), value.alias("value"))))
+    return found.select(F.col("path").alias("doc"), format_ip("ip").alias("ip"))
+
+
+# addresses
+
+
+@query(_with("SELECT DISTINCT src, n FROM flows"))
+def ip_parse_v4(spark, sf_dir):
+    """Text to address, shown as a number."""
+    return flow_text(spark, sf_dir).select("src", ipv4_number(parse_ipv4("src")).alias("n")).distinct()
+
+
+@query(_with("SELECT DISTINCT (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS ip, 4::TINYINT AS family FROM flows"))
+def ip_format(spark, sf_dir):
+    """Address to text, and its family."""
+    return flows(spark, sf_dir).select(format_ip("ip").alias("ip"), family("ip").alias("family")).distinct()
+
+
+@query(" UNION ALL ".join(f"SELECT '{b}' AS block, {int.from_bytes(cidr_bounds(b).lo, 'big') // 1}::BIGINT & (((1::BIGINT << {b.split('/')[1]}) - 1) << (32 - {b.split('/')[1]})) AS lo, ({int.from_bytes(cidr_bounds(b).lo, 'big')}::BIGINT | ((1::BIGINT << (32 - {b.split('/')[1]})) - 1)) AS hi" for b in BLOCKS))
+def cidr_bounds_v4(spark, sf_dir):
+    """First and last address of blocks."""
+    return blocks_frame(spark, BLOCKS).select("block", ipv4_number("lo").alias("lo"), ipv4_number("hi").alias("hi"))
+
+
+@query(_with("SELECT src AS ip, row_number() OVER (ORDER BY n) AS place FROM (SELECT DISTINCT src, n FROM flows)"))
+def ip_order(spark, sf_dir):
+    """Distinct addresses in byte order: their places, from range-partitioned counts, not one window over all."""
+    distinct = flows(spark, sf_dir).select("ip").distinct().withColumn("head", F.substring("ip", 1, 3))
+    sizes = distinct.groupBy("head").agg(F.count("*").alias("c"))
+    before = sizes.select("head", F.coalesce(F.sum("c").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("ip")) + F.col("before")
+    return distinct.join(before, "head").select(format_ip("ip").alias("ip"), place.cast("long").alias("place"))
+
+
+# questions
+
+
+def _search(df: DataFrame, text: str) -> DataFrame:
+    return df.where(query_range(text).contains("ip"))
+
+
+@query(_with(f"SELECT DISTINCT doc FROM flows WHERE n {_range_sql('10.0.1.128')}"))
+def search_ip(spark, sf_dir):
+    """Logs that mention one address."""
+    return _search(flows(spark, sf_dir), "10.0.1.128").select("doc").distinct()
+
+
+@query(_with(f"SELECT DISTINCT doc FROM flows WHERE n {_range_sql(BLOCK)}"))
+def search_cidr(spark, sf_dir):
+    """Logs that mention any address of a block."""
+    return _search(flows(spark, sf_dir), BLOCK).select("doc").distinct()
+
+
+@query(_with(f"SELECT DISTINCT doc FROM flows WHERE n {_range_sql('192.168.0.0/16')}"))
+def search_none(spark, sf_dir):
+    """A block that no log mentions."""
+    return _search(flows(spark, sf_dir), "192.168.0.0/16").select("doc").distinct()
+
+
+@query(_with(f"""SELECT DISTINCT substr(doc, 7, 4) || substr(doc, 12, 2) || '.db' AS db, doc FROM flows WHERE n {_range_sql(BLOCK)}
+UNION ALL SELECT DISTINCT substr(doc, 7, 4) || substr(doc, 12, 2) || substr(doc, 15, 2) || '.db', doc FROM flows WHERE n {_range_sql(BLOCK)}"""))
+def search_multi_db(spark, sf_dir):
+    """A search over two sets of databases: all answers one after the other, without merging equal ones."""
+    hits = _search(flows(spark, sf_dir), BLOCK)
+    parts = [hits.select(database_column("doc", *rule).alias("db"), "doc").distinct() for rule in (MONTHLY, DAILY)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(_with(f"SELECT DISTINCT src AS ip FROM flows WHERE n {_range_sql(BLOCK)}"))
+def expand_cidr(spark, sf_dir):
+    """Addresses seen in a block."""
+    return _search(flows(spark, sf_dir), BLOCK).select(format_ip("ip").alias("ip")).distinct()
+
+
+@query(_with(f"SELECT DISTINCT src AS ip FROM flows WHERE n {_range_sql('10.0.0.0/23')}"))
+def expand_cidr_multi_db(spark, sf_dir):
+    """Addresses seen in a block over several databases, each once."""
+    daily = _search(flows(spark, sf_dir), "10.0.0.0/23").select(database_column("doc", *DAILY).alias("db"), "ip").distinct()
+    return daily.select(format_ip("ip").alias("ip")).distinct()
+
+
+@query(_with("SELECT doc, count(DISTINCT n) AS n_ips FROM flows GROUP BY doc"))
+def unique_ips_per_document(spark, sf_dir):
+    """Distinct addresses of each log."""
+    return flows(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("n_ips"))
+
+
+@query(_with("SELECT count(DISTINCT n) AS n_ips, count(DISTINCT doc) AS n_docs FROM flows"))
+def total_unique_ips(spark, sf_dir):
+    """Distinct addresses and logs."""
+    return flows(spark, sf_dir).agg(F.count_distinct("ip").alias("n_ips"), F.count_distinct("doc").alias("n_docs"))
+
+
+@query(_with("SELECT src AS ip, string_agg(doc, ',' ORDER BY doc) AS docs FROM flows GROUP BY src"))
+def postings_list(spark, sf_dir):
+    """Each address with its logs."""
+    lists = flows(spark, sf_dir).groupBy("ip").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
+    return lists.select(format_ip("ip").alias("ip"), F.array_join("docs", ",").alias("docs"))
+
+
+@query(_with("SELECT DISTINCT doc FROM flow_text f WHERE NOT EXISTS (SELECT 1 FROM flow_text k WHERE k.doc = f.doc AND k.kind = 'purchase')"))
+def not_indexed_anti_join(spark, sf_dir):
+    """Logs that aren't among the known ones."""
+    rows = flow_text(spark, sf_dir)
+    known = rows.where("kind = 'purchase'").select("doc").distinct()
+    return rows.select("doc").distinct().join(known, "doc", "left_anti")
+
+
+@query(_with("SELECT substr(doc, 7, 10) AS db, count(DISTINCT doc) AS next_id FROM flows GROUP BY 1"))
+def next_doc_id(spark, sf_dir):
+    """The next number of each daily database."""
+    ids = _numbered(spark, sf_dir)
+    return ids.groupBy("db").agg((F.max("doc_id") + 1).alias("next_id"))
+
+
+def _numbered(spark, sf_dir):
+    docs = flows(spark, sf_dir).select("doc").distinct().withColumn("db", F.substring("doc", 7, 10))
+    return docs.withColumn("doc_id", (F.row_number().over(Window.partitionBy("db").orderBy("doc")) - 1).cast("long"))
+
+
+@query(_with("SELECT db, doc, row_number() OVER (PARTITION BY db ORDER BY doc) - 1 AS doc_id FROM (SELECT DISTINCT substr(doc, 7, 10) AS db, doc FROM flows)"))
+def assign_doc_ids(spark, sf_dir):
+    """Dense numbers within each database, in order of name."""
+    return _numbered(spark, sf_dir).select("db", "doc", "doc_id")
+
+
+_IDS = "ids AS (SELECT DISTINCT event_id AS v, user_id AS k FROM events)"
+
+
+@query(f"WITH {_IDS} SELECT k, v, v - coalesce(lag(v) OVER (PARTITION BY k ORDER BY v), 0) AS delta FROM ids")
+def delta_encode(spark, sf_dir):
+    """Posting lists as differences."""
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), F.col("user_id").alias("k")).distinct()
+    return forms.delta_encode_rows(ids, "k", "v")
+
+
+@query(f"WITH {_IDS} SELECT k, string_agg(v::VARCHAR, ',' ORDER BY v) AS decoded FROM ids GROUP BY k")
+def delta_decode(spark, sf_dir):
+    """Lists, encoded and decoded again."""
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), F.col("user_id").alias("k")).distinct()
+    lists = ids.groupBy("k").agg(F.sort_array(F.collect_set("v")).alias("a"))
+    return lists.select("k", F.array_join(forms.delta_decode(forms.delta_encode("a")).cast("array<string>"), ",").alias("decoded"))
+
+
+@query(f"WITH {_IDS} SELECT k, count(DISTINCT v) AS n FROM ids GROUP BY k")
+def bitmap_union(spark, sf_dir):
+    """Sizes of posting sets by bitmaps."""
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), F.col("user_id").alias("k"))
+    return forms.bitmap_union(forms.bitmaps(ids, "k", "v"), "k")
+
+
+# names and times
+
+
+@query(_with(r"SELECT DISTINCT doc, regexp_extract(doc, 'logs/(\d+)-(\d+)-\d+', 1) || regexp_extract(doc, 'logs/(\d+)-(\d+)-\d+', 2) || '.db' AS db FROM flows"))
+def filename_to_database(spark, sf_dir):
+    """Databases of names."""
+    return flows(spark, sf_dir).select("doc").distinct().select("doc", database_column("doc", *MONTHLY).alias("db"))
+
+
+@query(_with(r"SELECT DISTINCT doc, epoch(strptime(regexp_extract(doc, '\d{4}-\d\d-\d\d') || ' ' || regexp_extract(doc, 'conn\.(\d\d)', 1), '%Y-%m-%d %H'))::BIGINT AS at FROM flows"))
+def filename_to_time(spark, sf_dir):
+    """Times of names, as seconds."""
+    docs = flows(spark, sf_dir).select("doc").distinct()
+    return docs.select("doc", time_column("doc", TIMED).cast("long").alias("at"))
+
+
+_LABELS = {"minute": "%Y-%m-%dT%H:%M:%S", "hour": "%Y-%m-%dT%H", "day": "%Y-%m-%d", "month": "%Y-%m", "year": "%Y"}
+
+
+def _bucket_query(unit: str) -> None:
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "events").groupBy(bucket("ts", unit).alias("label")).agg(F.count("*").alias("n"))
+
+    run.__name__, run.__doc__ = f"bucket_{unit}", f"Events by {unit}."
+    query(f"SELECT strftime(ts, '{_LABELS[unit]}') AS label, count(*) AS n FROM events GROUP BY 1")(run)
+
+
+for _unit in BUCKETS:
+    _bucket_query(_unit)
+
+
+# statistics
+
+
+def _files(spark, sf_dir, text: str = BLOCK) -> DataFrame:
+    hits = _search(flows(spark, sf_dir), text).select(F.col("doc").alias("filename")).distinct()
+    return stats.timed(hits, TIMED)
+
+
+_HITS = f"hits AS (SELECT DISTINCT doc, strptime(substr(doc, 7, 10) || substr(doc, 23, 2), '%Y-%m-%d%H') AS t FROM flows WHERE n {_range_sql(BLOCK)})"
+
+
+def _stats_sql(sql: str) -> str:
+    return f"WITH {FLOWS_SQL.strip()}, {_HITS}\n{sql.strip()}"
+
+
+@query(_stats_sql("SELECT count(*) AS hits, min(doc) AS first, max(doc) AS last, epoch(arg_min(t, doc))::BIGINT AS first_time, epoch(arg_max(t, doc))::BIGINT AS last_time FROM hits"))
+def stats_summary(spark, sf_dir):
+    """Hits, first and last log and their times."""
+    top = stats.summary(_files(spark, sf_dir))
+    return top.withColumns({c: F.col(c).cast("long") for c in ("first_time", "last_time")})
+
+
+def _histogram_query(groupby: str, count: str) -> None:
+    def run(spark, sf_dir):
+        return stats.histogram(_files(spark, sf_dir), groupby, count).select("bucket", "hits")
+
+    run.__name__, run.__doc__ = f"stats_buckets_{groupby}_{count}", f"Hits by {groupby}, counted by {count}."
+    query(_stats_sql(f"SELECT strftime(t, '{_LABELS[groupby]}') AS bucket, count(DISTINCT strftime(t, '{_LABELS[count]}')) AS hits FROM hits GROUP BY 1"))(run)
+
+
+for _pair in (("month", "day"), ("day", "hour"), ("year", "month")):
+    _histogram_query(*_pair)
+
+
+@query(_with("""SELECT island::BIGINT AS island, b AS bucket, sum(hit)::BIGINT AS hits FROM (
+  SELECT *, sum(CASE WHEN b0 IS NULL OR b0 <> b THEN 1 ELSE 0 END) OVER (ORDER BY filename) AS island, CASE WHEN b0 IS NULL OR b0 <> b OR c0 <> c THEN 1 ELSE 0 END AS hit FROM (
+    SELECT *, lag(b) OVER (ORDER BY filename) AS b0, lag(c) OVER (ORDER BY filename) AS c0 FROM (
+      SELECT DISTINCT '/' || (event_id % 3) || doc AS filename, substr(doc, 7, 10) AS b, substr(doc, 7, 10) || 'T' || substr(doc, 23, 2) AS c FROM flow_text WHERE event_id % 7 = 0)))
+GROUP BY 1, 2"""))
+def stats_buckets_islands(spark, sf_dir):
+    """A histogram over names whose times aren't in order: labels come back as runs of their own."""
+    rows = flow_text(spark, sf_dir).where("event_id % 7 = 0")
+    hits = rows.select(F.concat(F.lit("/"), (F.col("event_id") % 3).cast("string"), "doc").alias("filename")).distinct()
+    return stats.histogram(stats.timed(hits, TIMED), "day", "hour")
+
+
+@query(_with("""SELECT DISTINCT filename, 'filename_to_time_regex did not match "' || filename || '"' AS error
+FROM (SELECT CASE WHEN event_id % 11 = 0 THEN '/logs/broken.' || (event_id % 100) ELSE doc END AS filename FROM flow_text) WHERE filename LIKE '/logs/broken%'"""))
+def stats_errors(spark, sf_dir):
+    """Names without a time."""
+    name = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("/logs/broken."), (F.col("event_id") % 100).cast("string"))).otherwise(F.col("doc"))
+    return stats.errors(stats.timed(flow_text(spark, sf_dir).select(name.alias("filename")).distinct(), TIMED))
+
+
+# records
+
 
-#: Text runs that look like addresses, each with one delimiter on both sides.
-_IPV4 = r"[^0-9]([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})[^0-9]"
+@query(_with("SELECT doc, event_id, src FROM flow_text WHERE contains(chr(9) || src || chr(9), chr(9) || '10.0.1.128' || chr(9))"))
+def dump_literal(spark, sf_dir):
+    """Records by the tab-separated format's literal test."""
+    rows = flow_text(spark, sf_dir)
+    rows = rows.withColumn("value", F.concat(F.lit("1\t"), "src", F.lit("\t2"))).withColumn("texts", F.array("src"))
+    return readers.dump(rows, "bro", "10.0.1.128", query_range("10.0.1.128"), "literal").select("doc", "event_id", "src")
 
 
-def _search_cidr_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hits = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(_IPV4), F.lit(1))
-    return docs.select("doc_id", F.explode(hits).alias("ip")).distinct()
+@query(_with(f"SELECT doc, event_id, src FROM flow_text WHERE n {_range_sql(BLOCK)}"))
+def dump_cidr(spark, sf_dir):
+    """Records with an address of a block, from the logs that the search names and no others."""
+    rows = flow_text(spark, sf_dir).withColumn("value", F.col("src")).withColumn("texts", F.array("src"))
+    named = _search(flows(spark, sf_dir), BLOCK).select("doc").distinct()
+    return readers.dump(rows.join(named, "doc", "left_semi"), "bro", BLOCK, cidr_bounds(BLOCK)).select("doc", "event_id", "src")
 
 
-QUERIES["search_cidr_documents"] = _search_cidr_documents
+@query(_with("SELECT f.src AS ip, b.block, count(*) AS n_docs FROM flows f JOIN (VALUES " + ", ".join(f"('{b}', {int.from_bytes(cidr_bounds(b).lo, 'big')}, {int.from_bytes(cidr_bounds(b).hi, 'big')})" for b in BLOCKS) + ") b(block, lo, hi) ON f.n BETWEEN b.lo AND b.hi GROUP BY 1, 2"))
+def cidr_batch_join(spark, sf_dir):
+    """Addresses joined with many blocks at once."""
+    counts = flows(spark, sf_dir).groupBy("ip").agg(F.count("*").alias("n_docs"))
+    return join_blocks(counts, blocks_frame(spark, BLOCKS)).select(format_ip("ip").alias("ip"), "block", "n_docs")

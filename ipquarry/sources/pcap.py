@@ -70,12 +70,12 @@ def _parsed(batches):
 
             def out(held):
                 texts, found = zip(*held)
-                return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(texts), pa.array(found, pa.list_(pa.binary()))], ["path", "value", "addresses"])
+                return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(texts), pa.array(found, pa.list_(pa.string()))], ["path", "value", "texts"])
 
             with lines.open_file(path) as source:
                 for seconds, fraction, data in packets(source):
                     found = addresses(data)
-                    held.append((describe(seconds, fraction, found), found))
+                    held.append((describe(seconds, fraction, found), [str(ipaddress.ip_address(a)) for a in found]))
                     if len(held) == 4096:
                         yield out(held)
                         held = []
@@ -84,5 +84,5 @@ def _parsed(batches):
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, value, addresses): one row per packet; value is its time and addresses."""
-    return lines.paths_frame(spark, paths).mapInArrow(_parsed, "path string, value string, addresses array<binary>")
+    """(path, value, texts): one row per packet; value is its time and addresses."""
+    return lines.paths_frame(spark, paths).mapInArrow(_parsed, "path string, value string, texts array<string>")

@@ -1,7 +1,8 @@
-"""Log formats. A reader turns files into (path, value, addresses): one row per record.
+"""Log formats. A reader turns files into (path, value, texts): one row per record.
 
-`addresses` is an array of bytes, nulls for what isn't an address. What comes after, counting records,
-distinct addresses of a file, filtering by a query, is the same for all formats.
+`texts` is an array of what stands where addresses are expected. They are parsed after equal ones of a
+file have become one, so parsing costs as much as there are distinct addresses, not records. What comes
+after, counting records, distinct addresses of a file, filtering by a query, is the same for all formats.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ipquarry.functions.ips import Range, format_ip, parse_ip
+from ipquarry.functions.ips import Range, parse_ip, parse_ipv4
 from ipquarry.sources import lines, pcap
 
 #: Fixed value: the delimited forms of addresses in free text. One delimiter on either side is part of a
 #: match, so two addresses with one character between them give one match.
 _H = "[0-9A-Fa-f]"
 _N = "[^0-9A-Fa-f]"
+_IPV4_FORM = r"(?:[^0-9](?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})[^0-9])"
 TEXT_FORMS = (
-    r"(?:[^0-9](?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})[^0-9])"
-    rf"|(?:{_N}(?:(?:{_H}{{1,4}}:){{7}}{_H}{{1,4}}){_N})"
+    _IPV4_FORM + rf"|(?:{_N}(?:(?:{_H}{{1,4}}:){{7}}{_H}{{1,4}}){_N})"
     rf"|(?:{_N}(?:(?:{_H}{{1,4}}(?::{_H}{{1,4}})*)?::(?:{_H}{{1,4}}(?::{_H}{{1,4}})*)?){_N})"
     rf"|(?:{_N}(?:(?:{_H}{{1,4}}:){{6,6}}[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+){_N})"
     rf"|(?:{_N}(?:(?:{_H}{{1,4}}(?::{_H}{{1,4}})*)?::(?:{_H}{{1,4}}:)*[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+){_N})"
@@ -32,7 +33,7 @@ TEXT_FORMS = (
 JSON_FIELDS = ("id.orig_h", "id.resp_h", "src", "dst")
 TSV_FIELDS = ("id.orig_h", "id.resp_h")
 
-RECORDS = "path string, value string, addresses array<binary>"
+RECORDS = "path string, value string, texts array<string>"
 
 
 @dataclass(frozen=True)
@@ -63,44 +64,53 @@ def reader(name: str) -> Reader:
 # free text
 
 
-def text_addresses(value: Column | str) -> Column:
-    """Addresses in a line of free text."""
+def text_forms(value: Column | str) -> Column:
+    """What looks like an address in a line of free text.
+
+    Four of the five forms hold `::` or six groups that colons end; a line without either is searched for
+    the first form only, which gives the same matches.
+    """
     c = F.col(value) if isinstance(value, str) else value
-    found = F.regexp_extract_all(F.concat(c, F.lit("\n")), F.lit(TEXT_FORMS), F.lit(0))
-    return F.transform(found, lambda m: parse_ip(F.substr(m, F.lit(2), F.length(m) - 2)))
+    line = F.concat(c, F.lit("\n"))
+    every = c.contains("::") | (c.contains(":") & c.rlike(rf"(?:{_H}{{1,4}}:){{6}}"))
+    found = F.when(every, F.regexp_extract_all(line, F.lit(TEXT_FORMS), F.lit(0))).otherwise(F.regexp_extract_all(line, F.lit(_IPV4_FORM), F.lit(0)))
+    return F.transform(found, lambda m: F.substr(m, F.lit(2), F.length(m) - 2))
 
 
 def from_text(rows: DataFrame) -> DataFrame:
-    return rows.select("path", "value", text_addresses("value").alias("addresses"))
+    return rows.select("path", "value", text_forms("value").alias("texts"))
 
 
 # tab-separated with a header line
 
 
-def _header_columns(header: Column) -> Column:
-    return F.slice(F.split(header, "\t"), 2, 1 << 20)
+def _places(header: Column | str) -> list[Column]:
+    """Places of the address columns, from 1, in a header line's names; null where there is none."""
+    names = F.slice(F.split(header, "\t"), 2, 1 << 20)
+    return [F.nullif(F.array_position(names, n), F.lit(0)).cast("int").alias(f"at_{i}") for i, n in enumerate(TSV_FIELDS)]
 
 
-def _tsv_record(value: Column, header: Column) -> Column:
-    cells = F.split(value, "\t")
-    at = lambda name: F.try_element_at(cells, F.nullif(F.array_position(header, name), F.lit(0)).cast("int"))
-    return F.when(header.isNotNull(), F.array(*(parse_ip(at(n)) for n in TSV_FIELDS))).otherwise(F.array().cast("array<binary>"))
+def _cells() -> Column:
+    cells = F.split("value", "\t")
+    return F.array(*(F.when(F.col(f"at_{i}").isNotNull(), F.try_element_at(cells, F.col(f"at_{i}"))) for i in range(len(TSV_FIELDS))))
 
 
 def from_tsv(rows: DataFrame) -> DataFrame:
     """Records of rows whose files have one header each at most; it's found wherever it stands."""
-    headers = rows.where(F.col("value").startswith("#fields")).groupBy("path").agg(F.first("value").alias("header"))
+    headers = rows.where(F.col("value").startswith("#fields")).groupBy("path").agg(F.first("value").alias("header")).select("path", *_places("header"))
     data = rows.where(~F.col("value").startswith("#"))
-    joined = data.join(headers, "path", "left")
-    return joined.select("path", "value", _tsv_record(F.col("value"), _header_columns(F.col("header"))).alias("addresses"))
+    return data.join(headers, "path", "left").select("path", "value", _cells().alias("texts"))
 
 
 def from_tsv_whole(files: DataFrame) -> DataFrame:
     """Records of (path, value) rows that hold a whole file each: a header counts until the next one."""
-    placed = files.select("path", F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    placed = files.select("path", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "value"))
     header = F.last(F.when(F.col("value").startswith("#fields"), F.col("value")), ignorenulls=True).over(Window.partitionBy("path").orderBy("at"))
-    data = placed.withColumn("header", header).where(~F.col("value").startswith("#"))
-    return data.select("path", "value", _tsv_record(F.col("value"), _header_columns(F.col("header"))).alias("addresses"))
+    return _with_header(placed.withColumn("header", header).where(~F.col("value").startswith("#")))
+
+
+def _with_header(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "value", *_places("header")).select("path", "value", _cells().alias("texts"))
 
 
 def _read_tsv(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -147,28 +157,18 @@ def _ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["path", "value", "header"])
 
-    rows = lines.paths_frame(spark, paths).mapInArrow(headed, "path string, value string, header string")
-    return rows.select("path", "value", _tsv_record(F.col("value"), _header_columns(F.col("header"))).alias("addresses"))
+    return _with_header(lines.paths_frame(spark, paths).mapInArrow(headed, "path string, value string, header string"))
 
 
 # JSON lines
 
 
-def json_fields(value: Column | str) -> Column:
-    """The address fields of a JSON record as strings: the exact name, or another case of it if that's missing; the last of repeated names."""
-    c = F.col(value) if isinstance(value, str) else value
-    entries = F.from_json(c, "map<string,string>")
-    pairs = F.map_entries(entries)
-
-    def pick(name: str) -> Column:
-        same = F.filter(pairs, lambda e: (F.lower(e["key"]) == name) & e["value"].isNotNull())
-        return F.try_element_at(same, F.lit(-1))["value"]
-
-    return F.array(*(pick(n) for n in JSON_FIELDS))
-
-
 def from_json(rows: DataFrame) -> DataFrame:
-    return rows.select("path", "value", F.transform(json_fields("value"), parse_ip).alias("addresses"))
+    """The address fields of JSON records: names in any case, the last of repeated ones that isn't null."""
+    pairs = rows.select("path", "value", F.map_entries(F.from_json("value", "map<string,string>")).alias("_pairs"))
+    own = pairs.withColumn("_pairs", F.filter("_pairs", lambda e: F.lower(e["key"]).isin(*JSON_FIELDS) & e["value"].isNotNull()))
+    pick = lambda name: F.try_element_at(F.filter("_pairs", lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
+    return own.select("path", "value", F.array(*(pick(n) for n in JSON_FIELDS)).alias("texts"))
 
 
 # exported flow records
@@ -177,13 +177,13 @@ def from_json(rows: DataFrame) -> DataFrame:
 def from_csv6(rows: DataFrame) -> DataFrame:
     """Comma-separated flow records; only lines with six parts or more are records, addresses are the fourth and fifth."""
     cells = F.split("value", ",", 6)
-    return rows.where(F.size(cells) == 6).select("path", "value", F.array(parse_ip(F.get(cells, 3)), parse_ip(F.get(cells, 4))).alias("addresses"))
+    return rows.where(F.size(cells) == 6).select("path", "value", F.array(F.get(cells, 3), F.get(cells, 4)).alias("texts"))
 
 
 def from_pairs(rows: DataFrame) -> DataFrame:
     """Lines of two addresses with white space between."""
     words = F.filter(F.split(F.trim("value"), r"\s+"), lambda w: w != "")
-    return rows.where(F.size(words) > 0).select("path", "value", F.transform(words, parse_ip).alias("addresses"))
+    return rows.where(F.size(words) > 0).select("path", "value", words.alias("texts"))
 
 
 def _tool(command: list[str], parse: Callable[[DataFrame], DataFrame], export: tuple[str, ...]):
@@ -210,7 +210,7 @@ def _needs(program: str, arguments: list[str], says: str = "") -> Callable[[], N
 
 
 def _no_address() -> Column:
-    return F.exists("addresses", lambda a: a.isNull())
+    return F.exists("texts", lambda t: parse_ip(t).isNull())
 
 
 def _no_json() -> Column:
@@ -241,19 +241,23 @@ BAD = b""
 def counted(rows: DataFrame, bad: Column | None = None) -> DataFrame:
     """(path, ip, n): one row per file and address; a null ip has the number of records, BAD that of bad ones.
 
-    One pass and one shuffle, with partial counts: each record adds those marks to its distinct addresses.
+    One pass over the records; each adds a mark to its texts. What is shuffled are partial counts of
+    (file, text), and after parsing, of (file, address), which differ for other spellings only.
     """
-    own = F.filter(F.array_distinct("addresses"), lambda a: a.isNotNull())
-    marks = [F.array(F.lit(None).cast("binary"))]
+    own = F.transform(F.array_distinct(F.filter("texts", lambda t: t.isNotNull())), lambda t: F.concat(F.lit("t"), t))
+    marks = [F.array(F.lit("n"))]
     if bad is not None:
-        marks.append(F.when(bad, F.array(F.lit(bytearray(BAD)))).otherwise(F.array().cast("array<binary>")))
-    marked = F.concat(*marks, own)
-    return rows.select("path", F.explode(marked).alias("ip")).groupBy("path", "ip").agg(F.count("*").alias("n"))
+        marks.append(F.when(bad, F.array(F.lit("b"))).otherwise(F.array().cast("array<string>")))
+    texts = rows.select("path", F.explode(F.concat(*marks, own)).alias("text")).groupBy("path", "text").agg(F.count("*").alias("n"))
+    text, kind = F.substr("text", F.lit(2)), F.substring("text", 1, 1)
+    found = texts.select("path", kind.alias("kind"), F.when(kind == "t", parse_ip(text)).when(kind == "b", F.lit(bytearray(BAD))).alias("ip"), "n")
+    return found.where("kind <> 't' or ip is not null").groupBy("path", "ip").agg(F.sum("n").alias("n"))
 
 
 def extract(rows: DataFrame) -> DataFrame:
-    """(path, ip): the distinct addresses of each file."""
-    return rows.select("path", F.explode("addresses").alias("ip")).where("ip is not null").distinct()
+    """(path, ip): the distinct addresses of each file; equal texts become one before they are parsed."""
+    texts = rows.select("path", F.explode("texts").alias("text")).where("text is not null").distinct()
+    return texts.select("path", parse_ip("text").alias("ip")).where("ip is not null").distinct()
 
 
 def record_counts(rows: DataFrame) -> DataFrame:
@@ -267,8 +271,7 @@ def dump(rows: DataFrame, name: str, query: str, block: Range, mode: str = "ip")
     test = reader(name).literal
     if mode == "literal" and test is not None:
         return rows.where(test(F.col("value"), query))
-    return rows.where(F.exists("addresses", lambda a: F.coalesce(block.contains(a), F.lit(False))))
-
-
-def texts_of(rows: DataFrame) -> DataFrame:
-    return rows.select("path", F.transform("addresses", format_ip).alias("addresses"))
+    parse = parse_ipv4 if block.family == 4 else parse_ip
+    # a mapped IPv4 address is written as IPv6
+    test = lambda t: F.coalesce(block.contains(parse(t)), F.lit(False)) | (F.coalesce(block.contains(parse_ip(t)), F.lit(False)) if block.family == 4 else F.lit(False))
+    return rows.where(F.exists("texts", test))

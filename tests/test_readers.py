@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import pytest
 
-from ipquarry.functions.ips import query_range
+from pyspark.sql import functions as F
+
+from ipquarry.functions.ips import parse_ip, query_range
 from ipquarry.sources import generators, readers
 from tests import logs
 
@@ -62,8 +64,8 @@ def test_json(spark, tmp_path):
     ],
 )
 def test_free_text(spark, line, want):
-    rows = readers.from_text(spark.createDataFrame([("f", line)], "path string, value string")).first()["addresses"]
-    assert [ipaddress.ip_address(bytes(a)) for a in rows if a is not None] == [ipaddress.ip_address(w) for w in want]
+    rows = readers.from_text(spark.createDataFrame([("f", line)], "path string, value string")).select("value", F.transform("texts", parse_ip).alias("found"))
+    assert [ipaddress.ip_address(bytes(a)) for a in rows.first()["found"] if a is not None] == [ipaddress.ip_address(w) for w in want]
 
 
 def test_exported_flows(spark, tmp_path):

@@ -16,10 +16,11 @@ first d + 1 of them, and those, the ones that say most, are what is joined.
 Join: a task collapses each signature that several of its sets have to one of them and links the others
 to it; only that one is shuffled, so a group of copies costs a row per task and signature. What meets in
 the shuffle is linked to one of its sets in turn. These stars, a row per set and signature, are verified
-on the shingles themselves and give first components. A signature whose sets then lie in more than one
-component is gone through pair by pair, across components only, in tiles of TILE sets with a lower bound
-from wide sketches; what passes is verified too. So no link between components is lost, and pairs of a
-component are never listed.
+by wide sketches, then on the shingles themselves, and give first components. A signature whose sets then
+lie in more than one component is gone through in tiles of TILE sets: sets that the wide sketches leave a
+chance of a link into another component are compared with such sets on their shingles, and a link that is
+found joins the components for the rest of the tile. So no link between components is lost, and the pairs
+of a component are never listed.
 
 Sets are known by a 64-bit digest, which copies share: what is shuffled is sets, not documents.
 
@@ -325,58 +326,98 @@ def _near(similarity: tuple[int, int]):
     return run
 
 
-def _across(similarity: tuple[int, int]):
-    """For mapInArrow over rows sorted by (sig, i, j): pairs of a tile in different components that may link.
+TILES = "sig long, i int, j int, tile int, node long, root long"
 
-    Of a tile at most 2 * TILE rows are held.
-    """
 
-    def pairs(held):
-        i, j, of, node, n, root = (np.concatenate(x) for x in zip(*(h[:6] for h in held), strict=True))
-        sketch = [x for h in held for x in h[6]]
+def _groups(batches, names: list[str]):
+    """Columns of each (sig, i, j) of rows sorted by them; of a tile, which is what is held, 2 * TILE rows at most."""
+    at, held = None, []
+
+    def whole():
+        return [np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for part in x for v in part] for x in zip(*held, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
+        columns = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in (batch.column(n) for n in names)]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        cut = np.append(np.nonzero(new)[0], batch.num_rows)
+        for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            key = tuple(int(k[x]) for k in keys)
+            if key != at:
+                if held:
+                    yield at, whole()
+                at, held = key, []
+            held.append([c[x:y] for c in columns])
+    if held:
+        yield at, whole()
+
+
+class _Tile:
+    """The rows of a tile, with sketches of one width."""
+
+    def __init__(self, key, tile, node, n, root, sketch, similarity):
+        self.node, self.n, self.root, self.similarity = node, n, root, similarity
+        self.left, self.right = np.nonzero(tile == key[1])[0], np.nonzero(tile == key[2])[0]
+        self.inner = key[1] == key[2]
         width = min(map(len, sketch)) // 8
         wide: dict[int, list[int]] = {}
         for r, x in enumerate(sketch):
             wide.setdefault(len(x) // 8, []).append(r)
-        flat = np.empty((len(sketch), width), np.uint64)
+        self.flat = np.empty((len(sketch), width), np.uint64)
         for size, rows in wide.items():
-            flat[rows] = folded(np.frombuffer(b"".join(sketch[r] for r in rows), np.uint64).reshape(-1, size), width)
-        p, q = similarity
-        right = np.nonzero(of == j[0])[0]
-        for x in np.nonzero(of == i[0])[0].tolist():
-            y = right[root[right] != root[x]]
-            if i[0] == j[0]:
-                y = y[node[y] > node[x]]
-            y = y[q * np.minimum(n[y], n[x]) >= p * np.maximum(n[y], n[x])]
-            per = max(1, (1 << 21) // width)
-            for part in (y[k : k + per] for k in range(0, len(y), per)):
-                near = part[_popcount(flat[part] ^ flat[x]).sum(1) <= most_difference(n[part] + n[x], similarity)]
+            self.flat[rows] = folded(np.frombuffer(b"".join(sketch[r] for r in rows), np.uint64).reshape(-1, size), width)
+
+    def near(self, x: int) -> np.ndarray:
+        """Rows of other components that the sketches and sizes don't rule out for a row of the left side."""
+        p, q = self.similarity
+        y = self.right[self.root[self.right] != self.root[x]]
+        if self.inner:
+            y = y[self.node[y] > self.node[x]]
+        y = y[q * np.minimum(self.n[y], self.n[x]) >= p * np.maximum(self.n[y], self.n[x])]
+        per = max(1, (1 << 21) // self.flat.shape[1])
+        parts = [y[k : k + per] for k in range(0, len(y), per)]
+        parts = [part[_popcount(self.flat[part] ^ self.flat[x]).sum(1) <= most_difference(self.n[part] + self.n[x], self.similarity)] for part in parts]
+        return np.concatenate(parts) if parts else y
+
+
+def _across(similarity: tuple[int, int]):
+    """For mapInArrow over sorted tiles: their rows that may link with a row of another component."""
+
+    def run(batches):
+        for key, (tile, node, n, root, sketch) in _groups(batches, ["tile", "node", "n", "root", "sketch"]):
+            rows = _Tile(key, tile, node, n, root, sketch, similarity)
+            some = np.zeros(len(node), bool)
+            for x in rows.left.tolist():
+                near = rows.near(x)
                 if len(near):
-                    yield np.minimum(node[x], node[near]), np.maximum(node[x], node[near])
+                    some[x] = some[near] = True
+            if size := int(some.sum()):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * size, t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)] + [pa.array(c[some]) for c in (tile, node, root)], ["sig", "i", "j", "tile", "node", "root"])
+
+    return run
+
 
-    def out(held):
-        found = list(pairs(held)) if held else []
-        if found:
-            a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _joining(similarity: tuple[int, int]):
+    """For mapInArrow over sorted tiles with members: links, one at most for each component that they join."""
 
     def run(batches):
-        at, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, i, j, of, node, n, root = (batch.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "n", "root"))
-            sketch = batch.column("sketch").to_pylist()
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            cut = np.append(np.nonzero(new)[0], len(sig))
-            for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-                key = (int(sig[x]), int(i[x]), int(j[x]))
-                if key != at:
-                    yield from out(held)
-                    at, held = key, []
-                held.append((i[x:y], j[x:y], of[x:y], node[x:y], n[x:y], root[x:y], sketch[x:y]))
-        yield from out(held)
+        for key, (tile, node, root, members) in _groups(batches, ["tile", "node", "root", "members"]):
+            sets = [np.frombuffer(x, np.uint64) for x in members]
+            n = np.array([len(x) for x in sets])
+            wide, at = sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+            rows = _Tile(key, tile, node, n, root.copy(), [wide[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], similarity)
+            a, b = [], []
+            for x in rows.left.tolist():
+                for y in rows.near(x).tolist():
+                    if rows.root[y] != rows.root[x] and linked(sets[x], sets[y], similarity):
+                        rows.root[rows.root == rows.root[y]] = rows.root[x]
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -387,26 +428,15 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str, str]) ->
     return pairs.join(of("b", 2), "b").join(of("a", 1), "a").select("a", "b", *(c[k] for c in columns for k in (1, 2)))
 
 
-class _Verifier:
-    """Links among pairs: first by sketches, then by the sets of those that are left."""
-
-    def __init__(self, rows: DataFrame, documents: DataFrame, sketched: DataFrame, k: int, similarity: tuple[int, int]):
-        self.rows, self.documents, self.sketched, self.k, self.similarity = rows, documents, sketched, k, similarity
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of pairs that link; sets are made from the texts of one document each."""
-        near = _both(pairs, self.sketched, ("n", "n", "m"), ("sketch", "x", "y")).mapInArrow(_near(self.similarity), "a long, b long")
-        near = stored(near, "near")
-        nodes = stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
-        wanted = self.documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
-        wanted = stored(wanted.select("id").distinct(), "wanted")
-        again = self.rows.join(few(wanted), self.rows.doc_id.eqNullSafe(wanted.id), "left_semi")
-        sets = again.select("text").mapInArrow(_sets(self.k), "node long, members binary").join(nodes, "node", "left_semi")
-        sets = stored(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
-        links = stored(_both(near, sets, ("members", "x", "y")).mapInArrow(_verified(self.similarity), "a long, b long"), "links")
-        for used in (near, nodes, wanted, sets):
-            drop(self.rows.sparkSession, used)
-        return links
+def _members(rows: DataFrame, documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, members) of nodes, from the text of one document each."""
+    wanted = documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+    wanted = stored(wanted.select("id").distinct(), "wanted")
+    again = rows.join(few(wanted), rows.doc_id.eqNullSafe(wanted.id), "left_semi")
+    sets = again.select("text").mapInArrow(_sets(k), "node long, members binary").join(nodes, "node", "left_semi")
+    sets = stored(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
+    drop(rows.sparkSession, wanted)
+    return sets
 
 
 def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -421,9 +451,11 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     sketched = stored(of_documents.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("sketch")), "sketches")
     met = stored(emitted.where(f"kind <> {_DOCUMENT}").select("kind", "bucket", "data").groupBy("bucket").applyInArrow(_meet, "sig long, a long, b long"), "stars")
     drop(spark, emitted)
-    verified = _Verifier(rows, documents, sketched, k, similarity)
-    pairs = stored(met.select("a", "b").distinct(), "pairs")
-    links = verified(pairs)
+    near = _both(met.select("a", "b").distinct(), sketched, ("n", "n", "m"), ("sketch", "x", "y")).mapInArrow(_near(similarity), "a long, b long")
+    near = stored(near, "near")
+    sets = _members(rows, documents, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k)
+    links = stored(_both(near, sets, ("members", "x", "y")).mapInArrow(_verified(similarity), "a long, b long"), "links")
+    drop(spark, sets)
     roots = stored(components(links), "roots")
 
     # signatures whose sets lie in several components; with two sets, their pair has been looked at
@@ -435,12 +467,17 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     tiled = members.join(open_, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     tiled = tiled.join(sketched, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "root", "sketch")
-    more = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(similarity), "a long, b long")
-    more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    if not more.isEmpty():
-        links = stored(links.union(verified(more)), "links")
-        roots = stored(components(links), "roots")
-    for used in (met, members, sketched, pairs, more):
+    tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(similarity), TILES)
+    tiled = stored(tiled, "tiles")
+    if not tiled.isEmpty():
+        sets = _members(rows, documents, tiled.select("node").distinct(), k)
+        again = tiled.join(sets, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        more = stored(again.select("sig", "i", "j", "tile", "node", "root", "members").mapInArrow(_joining(similarity), "a long, b long"), "more_links")
+        drop(spark, sets)
+        if not more.isEmpty():
+            links = stored(links.union(more), "links")
+            roots = stored(components(links), "roots")
+    for used in (met, members, sketched, near, tiled):
         drop(spark, used)
     return documents, links, roots
 

@@ -10,7 +10,8 @@ Products are exact: float64 while every sum stays below 2 ** 53, Python integers
 Defined results: vectors that are null or hold null or non-finite components take no part, neither do
 rows with a null id or vectors of another length than the query's; a query isn't its own candidate, nor
 are other rows that repeat its id; repeated rows are candidates each and may repeat in the list; equal
-scores go to the smaller id. No vectors, or no queries, give no rows. Scores beyond a long saturate.
+scores go to the smaller id. No vectors, or no queries, give no rows. Scores beyond a long
+count as the nearest long.
 """
 
 from __future__ import annotations
@@ -57,37 +58,32 @@ def _by_length(ids, vectors):
 
 
 def product(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Inner products, int64 or, where they may not fit, objects."""
+    """Inner products; those beyond a long become the nearest one, before anything is ranked."""
     n = queries.shape[1]
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(tile).max(initial=0)) * max(n, 1)
     if most < 2.0**53:
         return (queries @ tile.T).astype(np.int64)
     exact = [[int(v) for v in row] for row in queries], [[int(v) for v in row] for row in tile]
-    out = np.empty((len(queries), len(tile)), object)
+    out = np.empty((len(queries), len(tile)), np.int64)
     for a, q in enumerate(exact[0]):
         for b, t in enumerate(exact[1]):
-            out[a, b] = sum(x * y for x, y in zip(q, t, strict=True))
+            out[a, b] = max(-_LONG - 1, min(_LONG, sum(x * y for x, y in zip(q, t, strict=True))))
     return out
 
 
 class Lists:
-    """Top lists of a set of queries: scores (objects when beyond a long) and ids, best first."""
+    """Top lists of a set of queries, best first."""
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
         self.rows = np.zeros(0, np.int64)
-        self.scores: np.ndarray = np.zeros(0, np.int64)
+        self.scores = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int64)
 
     def merge(self, rows, scores, ids) -> None:
         """rows: places in queries."""
-        if scores.dtype == object or self.scores.dtype == object:
-            scores, self.scores = scores.astype(object), self.scores.astype(object)
         rows, scores, ids = np.concatenate([self.rows, rows]), np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        if scores.dtype == object:
-            order = np.array(sorted(range(len(rows)), key=lambda r: (rows[r], -scores[r], ids[r])), np.int64)
-        else:
-            order = np.lexsort((ids, -scores, rows))
+        order = np.lexsort((ids, ~scores, rows))
         rows, scores, ids = rows[order], scores[order], ids[order]
         first = np.searchsorted(rows, rows, "left") if len(rows) else rows
         keep = np.arange(len(rows)) - first < self.k
@@ -98,11 +94,8 @@ def select(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of at least the k best of each row, ties to earlier columns included."""
     if scores.shape[1] <= k:
         return np.divmod(np.arange(scores.size), max(scores.shape[1], 1))
-    if scores.dtype == object:
-        cut = np.array([sorted(row)[-k] for row in scores], object)[:, None]
-        return np.nonzero((scores >= cut).astype(bool))
     width = scores.shape[1]
-    if int(np.abs(scores).max()) < (1 << 62) // width:
+    if max(int(scores.max()), -int(scores.min())) < (1 << 62) // width:
         ranked = scores * width + np.arange(width - 1, -1, -1)
         at = np.argpartition(ranked, width - k, axis=1)[:, width - k :]
         return np.repeat(np.arange(len(scores)), k), at.ravel()
@@ -141,8 +134,6 @@ def _search(block: bytes, k: int):
 
 def _packed(lists: Lists, part: int, chunk: int):
     """Lists as rows (LISTS) of a chunk of queries each."""
-    if len(lists.scores) and lists.scores.dtype == object:
-        lists.scores = np.array([max(-_LONG - 1, min(_LONG, int(x))) for x in lists.scores], np.int64)
     for c in range(0, len(lists.queries), chunk):
         a, b = np.searchsorted(lists.rows, [c, c + chunk])
         if a < b:

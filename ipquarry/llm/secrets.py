@@ -14,7 +14,8 @@ above and below the middle of the alphabet, and the lag-1 serial correlation. A
 * none of the three tests rejects uniform, independent symbols at level BATTERY_ALPHA.
 
 False-discovery control is Benjamini-Hochberg at level FDR over every token of the corpus, weighted by
-length: longer tokens, which the test can tell apart, get proportionally more of the level. p-values are
+length: longer tokens, which the test can tell apart, get more of the level, in proportion to 2 + log2(n /
+20) by class, so that a few very long ones don't take it from the rest. p-values are
 rounded up to a grid, so the step-up runs over a histogram of bounded size (length class x grid), which
 is all that reaches the driver; it's exact for the rounded values, and rounding up is conservative.
 A discovered token is added (kind "random") where it doesn't overlap a fixed form.
@@ -153,31 +154,26 @@ def cutoffs(docs: DataFrame) -> list[int]:
 
     What is collected is the histogram, CLASSES x (GRID * DECADES + 1) rows at most.
     """
-    counts = _tested(texts(docs).where(F.expr(f"text rlike {_quoted(CANDIDATE)}"))).select(F.explode("tests").alias("x")).where("x.n >= 20").groupBy("x.class", "x.grid").agg(F.count("*").alias("c"), F.sum("x.n").alias("n")).collect()
-    return step_up([(r["class"], r["grid"], r["c"], r["n"]) for r in counts])
+    counts = _tested(texts(docs).where(F.expr(f"text rlike {_quoted(CANDIDATE)}"))).select(F.explode("tests").alias("x")).where("x.n >= 20").groupBy("x.class", "x.grid").agg(F.count("*").alias("c")).collect()
+    return step_up([(r["class"], r["grid"], r["c"]) for r in counts])
 
 
-def step_up(counts: list[tuple[int, int, int, float]]) -> list[int]:
-    """Weighted Benjamini-Hochberg over (class, grid, tokens, sum of lengths) rows."""
+def step_up(counts: list[tuple[int, int, int]]) -> list[int]:
+    """Weighted Benjamini-Hochberg over (class, grid, tokens) rows."""
     none = GRID * DECADES + 1
-    total = sum(c for _, _, c, _ in counts)
+    total = sum(c for *_, c in counts)
     if not total:
         return [none] * CLASSES
-    by_class: dict[int, list[float]] = {}
-    for k, _, c, n in counts:
-        by = by_class.setdefault(k, [0, 0.0])
-        by[0] += c
-        by[1] += n
-    mean = sum(n for _, n in by_class.values()) / total
-    weight = {k: n / c / mean for k, (c, n) in by_class.items()}
-    ranked = sorted((10 ** (-g / GRID) / weight[k], c) for k, g, c, _ in counts)
+    mean = sum((4 + k) * c for k, _, c in counts) / total
+    weight = [(4 + k) / mean for k in range(CLASSES)]
+    ranked = sorted((10 ** (-g / GRID) / weight[k], c) for k, g, c in counts)
     upto, level = 0, -1.0
     for p, c in ranked:
         upto += c
         if p <= FDR * upto / total:
             level = p
     # ties at the level are counted with the last of them, so the loop above ends on their sum
-    return [none if k not in weight or level <= 0 else min(none, max(0, math.ceil(-GRID * math.log10(min(1.0, level * weight[k])) - 1e-9))) for k in range(CLASSES)]
+    return [none if level <= 0 else min(none, max(0, math.ceil(-GRID * math.log10(min(1.0, level * weight[k])) - 1e-9))) for k in range(CLASSES)]
 
 
 def _random(df: DataFrame, least: list[int]) -> DataFrame:

@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ipquarry.llm import exact_dedup, near_dup, packing, quality, secrets
-from ipquarry.llm.common import stored, table
+from ipquarry.llm.common import small_batches, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, doesn't reject."""
+    small_batches(spark)
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each text, white space aside."""
+    small_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
@@ -34,6 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

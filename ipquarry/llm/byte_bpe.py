@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ipquarry.llm.common import texts
+from ipquarry.llm.common import table, texts, trim
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Texts go to the library in groups of about so many characters, which bounds what is held at once.
@@ -143,6 +143,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            trim()
             n, ids_sha, text_sha, n_bytes = [], [], [], []
             for ids in encode(path, batch.column("text").to_pylist()):
                 back = decode(path, ids.tolist())
@@ -155,5 +156,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
 
-QUERIES = {"op2_byte_bpe": lambda spark, sf_dir: round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+QUERIES = {"op2_byte_bpe": lambda spark, sf_dir: round_trip(table(spark, sf_dir, "documents"))}
 ORACLE_SQL: dict[str, str] = {}

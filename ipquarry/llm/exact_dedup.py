@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import few, stored, texts
+from ipquarry.llm.common import few, stored, table, texts
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 4
@@ -266,7 +266,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     return out.drop("_digest")
 
 
-QUERIES = {"op3_exact_dedup": lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+QUERIES = {"op3_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents"))}
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
 WITH n AS (

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ipquarry.llm.common import table
+
 SCALE = 1024
 #: Most bytes of a broadcast block of queries.
 QUERY_BYTES = 16 << 20
@@ -206,7 +208,7 @@ def _blocks(queries: DataFrame, per_block: int):
 
 
 def _query(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ipquarry.llm.common import texts
+from ipquarry.llm.common import table, texts, trim
 
 #: Phrase, label.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -197,6 +197,7 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES)) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            trim()
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 got = scan_text(text.as_buffer().to_pybytes(), templates)
@@ -212,5 +213,5 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES)) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:long,end:long>>")
 
 
-QUERIES = {"op5_license_scan": lambda spark, sf_dir: scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("matches")}
+QUERIES = {"op5_license_scan": lambda spark, sf_dir: scan(table(spark, sf_dir, "documents")).drop("matches")}
 ORACLE_SQL: dict[str, str] = {}

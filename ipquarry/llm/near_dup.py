@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import drop, few, stored, texts, trim
+from ipquarry.llm.common import drop, few, stored, table, texts, trim
 from ipquarry.llm.components import components
 from ipquarry.llm.ngram_lm import _pack, _unpack
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
@@ -500,7 +500,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int,
     return docs.join(few(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 
-QUERIES = {"op9_ngram_jaccard": lambda spark, sf_dir: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))}
+QUERIES = {"op9_ngram_jaccard": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents"), 3, (90, 100))}
 ORACLE_SQL = {
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE w AS (

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import new_folder, texts, trim
+from ipquarry.llm.common import new_folder, table, texts, trim
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
 
 ORDER = 2
@@ -510,7 +510,7 @@ def held_out(column: str = "doc_id"):
 
 
 def _query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs.where(~held_out())), held_out())
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import stored, texts
+from ipquarry.llm.common import stored, table, texts, trim
 
 SIZE = 1024
 END = 2
@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFr
 
         part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
+            trim()
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(path, text.as_py())
@@ -210,5 +211,5 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-QUERIES = {"op8_best_fit_packing": lambda spark, sf_dir: pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+QUERIES = {"op8_best_fit_packing": lambda spark, sf_dir: pack(table(spark, sf_dir, "documents"))}
 ORACLE_SQL: dict[str, str] = {}

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import texts
-from ipquarry.llm.wordhash import buffer, slices, words
+from ipquarry.llm.common import table, texts, trim
+from ipquarry.llm.wordhash import WINDOW, buffer, slices, words
 
 PASSAGE = 64
 THRESHOLD = 0.3
@@ -164,7 +164,7 @@ class Model:
     def score(self, texts_: pa.Array) -> np.ndarray:
         """Of every row of a string array."""
         out = np.zeros(len(texts_))
-        for at, n in slices(texts_):
+        for at, n in slices(texts_, WINDOW):
             if self.prior is not None:
                 out[at : at + n] = self.prior
             else:
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bag:
     def run(batches):
         for batch in batches:
             column = batch.column("text")
-            for at, n in slices(column, 1 << 22):
+            for at, n in slices(column, WINDOW):
                 x, first = passages(column.slice(at, n))
                 bags = []
                 for a, b in zip(first, first[1:], strict=False):
@@ -207,6 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = pickle.loads(sent.value)
         for batch in batches:
+            trim()
             p = own.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -221,14 +222,15 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = pickle.loads(sent.value)
         for batch in batches:
+            trim()
             yield batch.filter(pa.array(own.score(batch.column(at).cast(pa.string())) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def _query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {"op6_quality_mil": _query}

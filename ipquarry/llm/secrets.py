@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import texts
+from ipquarry.llm.common import table, texts
 
 KINDS = ("assign", "access", "hex", "random")
 #: kind -> (expression for Spark, group whose length counts, least length of it)
@@ -230,5 +230,5 @@ def redact(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-QUERIES = {"op10_secret_scan": lambda spark, sf_dir: report(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+QUERIES = {"op10_secret_scan": lambda spark, sf_dir: report(table(spark, sf_dir, "documents"))}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ipquarry.llm.byte_bpe import encode, vocabulary_path
-from ipquarry.llm.common import stored, texts
+from ipquarry.llm.common import stored, table, texts, trim
 
 BLOCK = 1024
 
@@ -31,6 +31,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            trim()
             n = np.fromiter((len(x) for x in encode(path, batch.column("text").to_pylist())), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
 
@@ -86,7 +87,7 @@ def quantile(sums: DataFrame, share: float) -> int | None:
 
 def _query(spark, sf_dir):
     # The sums read the histogram twice; it's written once so that documents are encoded once.
-    return suffix_sums(stored(histogram(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "histogram"))
+    return suffix_sums(stored(histogram(lengths(table(spark, sf_dir, "documents"))), "histogram"))
 
 
 QUERIES = {"op4_token_counts": _query}

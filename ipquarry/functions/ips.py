@@ -19,10 +19,6 @@ _GROUPS = "[0-9a-f]{1,4}(:[0-9a-f]{1,4})*"
 IPV6 = rf"^({_GROUPS})?(::({_GROUPS})?)?$"
 
 
-def _octets(text: str) -> str:
-    return "concat(" + ", ".join(f"lpad(hex(cast(split_part({text}, '.', {k}) as int)), 2, '0')" for k in (1, 2, 3, 4)) + ")"
-
-
 def _sql(column: Column | str, make) -> Column:
     """make(name) as an expression over a column that is evaluated once for each row."""
     source = F.col(column) if isinstance(column, str) else column
@@ -32,8 +28,11 @@ def _sql(column: Column | str, make) -> Column:
 def parse_ipv4(column: Column | str) -> Column:
     """Four bytes, or null for anything but four decimal octets without leading zeros."""
     c = F.col(column) if isinstance(column, str) else column
-    part = lambda k: F.lpad(F.hex(F.split_part(c, F.lit("."), F.lit(k)).cast("int")), 2, "0")
-    return F.when(c.rlike(IPV4), F.unhex(F.concat(*(part(k) for k in (1, 2, 3, 4)))))
+    head, tail = F.substring_index(c, ".", 2), F.substring_index(c, ".", -2)
+    octets = [F.substring_index(head, ".", 1), F.substring_index(head, ".", -1), F.substring_index(tail, ".", 1), F.substring_index(tail, ".", -1)]
+    number = sum((o.cast("long") * 256 ** (3 - k) for k, o in enumerate(octets)), F.lit(0))
+    # the test goes first, so the casts see digits only
+    return F.when(c.rlike(IPV4), F.unhex(F.lpad(F.hex(number), 8, "0")))
 
 
 def parse_ipv6(column: Column | str) -> Column:
@@ -76,8 +75,8 @@ def family(ip: Column | str) -> Column:
 def format_ip(column: Column | str) -> Column:
     """Canonical text: dotted IPv4; IPv6 in lower case with the first longest run of zero groups shortened."""
     c = F.col(column) if isinstance(column, str) else column
-    part = lambda k: F.conv(F.substring(F.hex(c), 2 * k + 1, 2), 16, 10)
-    four = F.concat_ws(".", *(part(k) for k in range(4)))
+    number = F.conv(F.hex(c), 16, 10).cast("long")
+    four = F.concat_ws(".", *(F.shiftrightunsigned(number, 24 - 8 * k).bitwiseAND(255).cast("string") for k in range(4)))
     group = lambda k: F.lower(F.conv(F.substring(F.hex(c), 4 * k + 1, 4), 16, 16))
     padded = F.concat(F.lit(":"), F.concat_ws(":", *(group(k) for k in range(8))), F.lit(":"))
 

@@ -34,7 +34,7 @@ def flow_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, ip): distinct addresses of each derived log."""
-    return flow_text(spark, sf_dir).select("doc", parse_ipv4("src").alias("ip")).distinct()
+    return flow_text(spark, sf_dir).select("doc", "src").distinct().select("doc", parse_ipv4("src").alias("ip"))
 
 
 #: The same views in DuckDB; addresses as numbers.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime
+import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,17 +18,36 @@ def timed(hits: DataFrame, regex: str | None) -> DataFrame:
     return hits.select("filename", at.alias("doc_time"))
 
 
+#: Characters beyond what all names share that a part of the order is cut by; a date's length.
+CUT = 10
+
+
+def _ordered_parts(files: DataFrame) -> DataFrame:
+    """files with `part`, the beginning of the name: ordering by (part, filename) is ordering by filename."""
+    ends = files.agg(F.min("filename").alias("a"), F.max("filename").alias("b")).first()
+    shared = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
+    return files.withColumn("part", F.substring("filename", 1, shared + CUT))
+
+
 def histogram(files: DataFrame, groupby: str, count: str) -> DataFrame:
     """(island, bucket, hits): runs of equal labels in name order, and how often the finer label changes in each.
 
-    It follows the files, not the labels: a label that comes back later begins another run.
+    It follows the files, not the labels: a label that comes back later begins another run. The order is
+    worked through part by part, each with the last labels of the one before and the runs that began
+    earlier, so no task sorts all files; only the parts themselves, one row each, are put in one order.
     """
     known = files.where("doc_time is not null").select("filename", bucket("doc_time", groupby).alias("bucket"), bucket("doc_time", count).alias("label"))
-    order = Window.orderBy("filename")
-    before = known.withColumns({"b0": F.lag("bucket").over(order), "l0": F.lag("label").over(order)})
-    opens = F.when(F.col("b0").isNull() | (F.col("b0") != F.col("bucket")), 1).otherwise(0)
-    hit = F.when((opens == 1) | (F.col("l0") != F.col("label")), 1).otherwise(0)
-    marked = before.select("filename", "bucket", opens.alias("open"), hit.alias("hit")).withColumn("island", F.sum("open").over(order))
+    known = _ordered_parts(known)
+    order, parts = Window.partitionBy("part").orderBy("filename"), Window.orderBy("part")
+    last = known.groupBy("part").agg(F.max_by(F.struct("bucket", "label"), "filename").alias("last"))
+    before = last.select("part", F.lag("last").over(parts).alias("before"))
+    rows = known.join(before, "part").withColumn("prior", F.coalesce(F.lag(F.struct("bucket", "label")).over(order), "before"))
+    opens = F.when(F.col("prior").isNull() | (F.col("prior.bucket") != F.col("bucket")), 1).otherwise(0)
+    hit = F.when((F.col("open") == 1) | (F.col("prior.label") != F.col("label")), 1).otherwise(0)
+    rows = rows.withColumn("open", opens).select("part", "filename", "bucket", "open", hit.alias("hit"))
+    began = rows.groupBy("part").agg(F.sum("open").alias("n"))
+    began = began.select("part", F.coalesce(F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    marked = rows.join(began, "part").withColumn("island", F.sum("open").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("earlier"))
     return marked.groupBy("island", "bucket").agg(F.sum("hit").alias("hits"))
 
 
@@ -46,10 +65,6 @@ def errors(files: DataFrame) -> DataFrame:
     return files.where("doc_time is null").select("filename", said.alias("error"))
 
 
-def _iso(time: datetime.datetime | None) -> str:
-    return NO_TIME if time is None else time.strftime("%Y-%m-%dT%H:%M:%SZ")
-
-
 def report(hits: DataFrame, regex: str | None, groupby: str, count: str) -> dict:
     """All of it, for JSON. A unit that isn't one raises ValueError, if any file has a time."""
     files = timed(hits, regex).cache()

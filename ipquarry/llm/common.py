@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors, for small tables that are read more than once outside of loops.
+
+    Its lineage stays, so blocks of a lost executor are made again; nothing is written to the shared folder.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def drop(spark: SparkSession, what: DataFrame | str) -> None:
     """Removes a stored table that nothing reads any more."""
     path = what if isinstance(what, str) else what.ipquarry_path

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is a minimum per vertex, with partial aggregation, and a join that adaptive execution may split
-at hot vertices; every step's links are written to the shared folder, so lineage stays short and no task
+at hot vertices; every round's links are written to the shared folder, so lineage stays short and no task
 or driver ever holds a component. It ends when a round leaves the links as they were; they are stars then.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import drop, stored
+from ipquarry.llm.common import drop, held, stored
 
 
 def _print(links: DataFrame):
@@ -28,12 +28,12 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("u")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # what has no larger neighbour still has to point to its least one
         large = large.union(least.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        down = stored(large, "links")
+        down = held(large)
         least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = down.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         new = stored(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "links")
         drop(spark, now)
-        drop(spark, down)
+        down.unpersist()
         now, before = new, seen
         seen = _print(now)
         if seen == before:

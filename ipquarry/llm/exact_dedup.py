@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import few, stored, table, texts
+from ipquarry.llm.common import few, held, stored, table, texts
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 4
@@ -256,7 +256,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     found = stored(marked.select(key.alias("doc_id"), F.col("_digest").alias("digest")), "digests")
     judged = found.groupBy("doc_id", "digest").agg(F.count("*").alias("times")).join(groups(found), "digest")
     judged = judged.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_kept"), "times")
-    odd = stored(judged.where("not _kept or times > 1"), "odd")
+    odd = held(judged.where("not _kept or times > 1"))
     gone, again = odd.where("not _kept"), odd.where("_kept")
     same = key.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
     out = marked.join(few(gone), same, "left_anti")

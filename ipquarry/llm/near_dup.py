@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import drop, few, stored, table, texts, trim
+from ipquarry.llm.common import drop, few, held, stored, table, texts, trim
 from ipquarry.llm.components import components
 from ipquarry.llm.ngram_lm import _pack, _unpack
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
@@ -431,11 +431,11 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str, str]) ->
 def _members(rows: DataFrame, documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, members) of nodes, from the text of one document each."""
     wanted = documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
-    wanted = stored(wanted.select("id").distinct(), "wanted")
+    wanted = held(wanted.select("id").distinct())
     again = rows.join(few(wanted), rows.doc_id.eqNullSafe(wanted.id), "left_semi")
     sets = again.select("text").mapInArrow(_sets(k), "node long, members binary").join(nodes, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
-    drop(rows.sparkSession, wanted)
+    wanted.unpersist()
     return sets
 
 
@@ -452,7 +452,7 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     met = stored(emitted.where(f"kind <> {_DOCUMENT}").select("kind", "bucket", "data").groupBy("bucket").applyInArrow(_meet, "sig long, a long, b long"), "stars")
     drop(spark, emitted)
     near = _both(met.select("a", "b").distinct(), sketched, ("n", "n", "m"), ("sketch", "x", "y")).mapInArrow(_near(similarity), "a long, b long")
-    near = stored(near, "near")
+    near = held(near)
     sets = _members(rows, documents, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k)
     links = stored(_both(near, sets, ("members", "x", "y")).mapInArrow(_verified(similarity), "a long, b long"), "links")
     drop(spark, sets)
@@ -468,17 +468,24 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     tiled = tiled.join(sketched, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "root", "sketch")
     tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(similarity), TILES)
-    tiled = stored(tiled, "tiles")
+    tiled = held(tiled)
     if not tiled.isEmpty():
-        sets = _members(rows, documents, tiled.select("node").distinct(), k)
-        again = tiled.join(sets, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        # copies of a group meet in many signatures; tiles that are left with the same sets are one
+        side = F.xxhash64("node", F.col("tile") == F.col("i"))
+        alike = tiled.groupBy("sig", "i", "j").agg(F.count("*").alias("m"), F.bit_xor(side).alias("print"))
+        one = alike.groupBy("m", "print", F.col("i") == F.col("j")).agg(F.min(F.struct("sig", "i", "j")).alias("one")).select("one.*")
+        chosen = tiled.join(one, ["sig", "i", "j"], "left_semi")
+        sets = _members(rows, documents, chosen.select("node").distinct(), k)
+        again = chosen.join(sets, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         more = stored(again.select("sig", "i", "j", "tile", "node", "root", "members").mapInArrow(_joining(similarity), "a long, b long"), "more_links")
         drop(spark, sets)
         if not more.isEmpty():
             links = stored(links.union(more), "links")
             roots = stored(components(links), "roots")
-    for used in (met, members, sketched, near, tiled):
+    for used in (met, members, sketched):
         drop(spark, used)
+    for used in (near, tiled):
+        used.unpersist()
     return documents, links, roots
 
 
@@ -496,7 +503,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component by id."""
     found = near_duplicates(docs, k, similarity)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = held(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(few(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 

@@ -54,6 +54,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

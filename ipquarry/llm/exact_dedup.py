@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import few, held, stored, table, texts
+from ipquarry.llm.common import few, fresh, held, stored, table, texts
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 4
@@ -251,19 +251,20 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     What leaves is joined against docs, not what stays, so that texts needn't move where copies are few.
     Rows that repeat both an id and its text are copies too; one of them stays.
     """
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256)))
-    key = F.col("doc_id").cast("long")
-    found = stored(marked.select(key.alias("doc_id"), F.col("_digest").alias("digest")), "digests")
+    own, other, key = fresh(docs, "digest"), fresh(docs, "other_id"), fresh(docs, "other_digest")
+    marked = docs.withColumn(own, F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256)))
+    doc_id = F.col("doc_id").cast("long")
+    found = stored(marked.select(doc_id.alias("doc_id"), F.col(own).alias("digest")), "digests")
     judged = found.groupBy("doc_id", "digest").agg(F.count("*").alias("times")).join(groups(found), "digest")
-    judged = judged.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_kept"), "times")
-    odd = held(judged.where("not _kept or times > 1"))
-    gone, again = odd.where("not _kept"), odd.where("_kept")
-    same = key.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
+    judged = judged.select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "times")
+    odd = held(judged.where("not kept or times > 1"))
+    gone, again = (odd.where(test).select(F.col("doc_id").alias(other), F.col("digest").alias(key)) for test in ("not kept", "kept"))
+    same = doc_id.eqNullSafe(F.col(other)) & (F.col(own) == F.col(key))
     out = marked.join(few(gone), same, "left_anti")
     if not again.isEmpty():
-        once = out.join(few(again), same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        once = out.join(few(again), same, "left_semi").dropDuplicates(["doc_id", own])
         out = out.join(few(again), same, "left_anti").unionByName(once)
-    return out.drop("_digest")
+    return out.drop(own)
 
 
 QUERIES = {"op3_exact_dedup": lambda spark, sf_dir: exact_dedup(table(spark, sf_dir, "documents"))}

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import drop, few, held, stored, table, texts, trim
+from ipquarry.llm.common import drop, few, fresh, held, stored, table, texts, trim
 from ipquarry.llm.components import components
 from ipquarry.llm.ngram_lm import _pack, _unpack
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
@@ -503,8 +503,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component by id."""
     found = near_duplicates(docs, k, similarity)
-    gone = held(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(few(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = held(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(few(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 QUERIES = {"op9_ngram_jaccard": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents"), 3, (90, 100))}

@@ -26,8 +26,8 @@ from ipquarry.sources import readers
 
 DOCUMENTS = "batch_id string, doc_id long, filename string, doc_time timestamp, records long, n_ips long, size long, mtime timestamp, error string, indexer string, db string"
 POSTINGS = "batch_id string, doc_id long, ip binary, n long, indexer string, db string, family int"
-#: Documents up to so many are broadcast against postings; more are joined by shuffle.
-FEW = 200_000
+#: Files of one commit; what a commit broadcasts has a row for each of them.
+MOST_FILES = 20_000
 
 
 @dataclass
@@ -101,8 +101,8 @@ class Store:
             except ValueError:
                 at = None
             rows.append((p, db, at, size, mtime))
-        if rows:
-            self._commit(indexer, backend, rows, out)
+        for at in range(0, len(rows), MOST_FILES):
+            self._commit(indexer, backend, rows[at : at + MOST_FILES], out)
         return list(out.values())
 
     def _stat(self, path: str):
@@ -123,8 +123,7 @@ class Store:
         files = files.join(last, "db", "left").select("filename", "db", "doc_time", "size", "mtime", (number + F.coalesce(F.col("last") + 1, F.lit(0))).alias("doc_id"))
         files = spark.createDataFrame(files.collect(), files.schema)  # as many rows as paths were given
         records = readers.records(spark, backend, [r[0] for r in rows])
-        names = F.broadcast(files) if len(rows) <= FEW else files
-        found = readers.counted(records, own.bad() if own.bad else None).join(names.select(F.col("filename").alias("path"), "db", "doc_id"), "path")
+        found = readers.counted(records, own.bad() if own.bad else None).join(F.broadcast(files).select(F.col("filename").alias("path"), "db", "doc_id"), "path")
         found = found.select(F.lit(batch).alias("batch_id"), "doc_id", "ip", "n", F.lit(indexer).alias("indexer"), "db", F.coalesce(family("ip"), F.lit(0)).cast("int").alias("family"))
         self._write(found)
         mine = self._table("postings", POSTINGS).where((F.col("indexer") == indexer) & (F.col("batch_id") == batch))

@@ -31,6 +31,8 @@ TEXT_FORMS = (
 )
 #: The address fields of JSON records.
 JSON_FIELDS = ("id.orig_h", "id.resp_h", "src", "dst")
+#: Files up to so many have the places of their columns broadcast, a row each.
+FEW = 50_000
 TSV_FIELDS = ("id.orig_h", "id.resp_h")
 
 RECORDS = "path string, value string, texts array<string>"
@@ -95,11 +97,18 @@ def _cells() -> Column:
     return F.array(*(F.when(F.col(f"at_{i}").isNotNull(), F.try_element_at(cells, F.col(f"at_{i}"))) for i in range(len(TSV_FIELDS))))
 
 
-def from_tsv(rows: DataFrame) -> DataFrame:
+def headers(rows: DataFrame) -> DataFrame:
+    """(path, header): the different header lines of each file."""
+    return rows.where(F.col("value").startswith("#fields")).select("path", F.col("value").alias("header")).distinct()
+
+
+def from_tsv(rows: DataFrame, heads: DataFrame | None = None, files: int | None = None) -> DataFrame:
     """Records of rows whose files have one header each at most; it's found wherever it stands."""
-    headers = rows.where(F.col("value").startswith("#fields")).groupBy("path").agg(F.first("value").alias("header")).select("path", *_places("header"))
+    places = (headers(rows) if heads is None else heads).select("path", *_places("header"))
+    if files is not None and files <= FEW:
+        places = F.broadcast(places)
     data = rows.where(~F.col("value").startswith("#"))
-    return data.join(headers, "path", "left").select("path", "value", _cells().alias("texts"))
+    return data.join(places, "path", "left").select("path", "value", _cells().alias("texts"))
 
 
 def from_tsv_whole(files: DataFrame) -> DataFrame:
@@ -115,11 +124,12 @@ def _with_header(rows: DataFrame) -> DataFrame:
 
 def _read_tsv(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = lines.read(spark, paths)
+    # one row per file, as a rule; kept, as finding them takes a pass over the files
+    heads = headers(rows).persist()
     # files whose header changes are few; only they are read with their lines in order
-    several = rows.where(F.col("value").startswith("#fields")).groupBy("path").agg(F.count_distinct("value").alias("n")).where("n > 1").select("path")
-    odd = {r["path"] for r in several.collect()}
+    odd = {r["path"] for r in heads.groupBy("path").count().where("count > 1").select("path").collect()}
     if not odd:
-        return from_tsv(rows)
+        return from_tsv(rows, heads, len(paths))
     # a file in a store that only Spark reads comes as one row; others a task reads line by line
     remote = {p for p in odd if "://" in p and not p.startswith("file://")}
     parts = []
@@ -128,7 +138,7 @@ def _read_tsv(spark: SparkSession, paths: list[str]) -> DataFrame:
     if remote:
         parts.append(from_tsv_whole(lines.by_spark(spark, sorted(remote), whole=True)))
     if even := [p for p in paths if p not in odd]:
-        parts.append(from_tsv(lines.read(spark, even)))
+        parts.append(from_tsv(lines.read(spark, even), heads, len(even)))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -101,7 +101,7 @@ def _malloc():
 
 
 def trim() -> None:
-    """For a worker: memory that arrays have given up goes back to the system.
+    """Memory that arrays have given up goes back to the system, on a worker or the driver.
 
     Spark keeps workers between stages, so what one holds on to adds to what others need.
     """

@@ -196,6 +196,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
     counts = stored(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "piece_counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     runs = plan(histogram, size)
+    trim()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     ranked = cut.join(earlier, ["part", "length"]).withColumn("rank", F.col("earlier") + F.col("local"))

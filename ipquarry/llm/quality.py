@@ -142,8 +142,14 @@ class Model:
         self.prior = None if len(set(labels.tolist())) > 1 else (float(labels.mean()) if len(labels) else 0.5)
         if self.prior is not None:
             return self
-        every = np.concatenate(bags)
-        self.mean, self.std = every.mean(0), every.std(0) + 0.02
+        n = sum(map(len, bags))
+        total, squares = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for bag in bags:
+            bag = bag.astype(np.float64)
+            total += bag.sum(0)
+            squares += (bag * bag).sum(0)
+        self.mean = (total / n).astype(np.float32)
+        self.std = (np.sqrt(np.maximum(0, squares / n - (total / n) ** 2)) + 0.02).astype(np.float32)
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -153,7 +159,7 @@ class Model:
                 some = order[at : at + BATCH]
                 first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])])
                 step += 1
-                for k, grad in self.gradients(np.concatenate([bags[i] for i in some]), first, labels[some]).items():
+                for k, grad in self.gradients(np.concatenate([bags[i] for i in some]).astype(np.float32), first, labels[some]).items():
                     grad = grad + decay * getattr(self, k)
                     m[k] = 0.9 * m[k] + 0.1 * grad
                     v[k] = 0.999 * v[k] + 0.001 * grad * grad
@@ -196,8 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bag:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), batch.column("y").slice(at, n), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
     rows = taken.mapInArrow(run, "doc_id long, y int, bag binary").orderBy("doc_id", "y", "bag").limit(2 * max_train).collect()
-    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in rows]
-    return Model().fit(bags, np.array([r["y"] for r in rows], np.float32))
+    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, N_FEATURES) for r in rows]
+    model = Model().fit(bags, np.array([r["y"] for r in rows], np.float32))
+    del rows, bags
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

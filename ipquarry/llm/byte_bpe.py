@@ -81,6 +81,13 @@ def encode(path: str, items: list[str]):
             yield np.array(got.ids, np.uint32)
 
 
+def counts(path: str, items: list[str]):
+    """The number of ids of each text; the ids themselves stay in the library."""
+    tk = tokenizer(path)
+    for part in grouped(items):
+        yield from map(len, tk.encode_batch_fast(part, add_special_tokens=False))
+
+
 def spans(path: str, text: str, ids) -> tuple[np.ndarray, np.ndarray]:
     """Byte and character spans [n, 2] of the tokens of a text, ends exclusive."""
     lengths = np.array([len(token_bytes(path)[i]) for i in ids], np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ipquarry.llm.byte_bpe import encode, vocabulary_path
+from ipquarry.llm.byte_bpe import counts, vocabulary_path
 from ipquarry.llm.common import stored, table, texts, trim
 
 BLOCK = 1024
@@ -32,7 +32,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             trim()
-            n = np.fromiter((len(x) for x in encode(path, batch.column("text").to_pylist())), np.int64, batch.num_rows)
+            n = np.fromiter(counts(path, batch.column("text").to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long")

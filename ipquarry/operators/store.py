@@ -30,6 +30,14 @@ POSTINGS = "batch_id string, doc_id long, ip binary, n long, indexer string, db
 MOST_FILES = 20_000
 
 
+#: Fixed by Spark: characters that it writes as %XX in names of partition folders.
+ESCAPED = "\"#%'*/:=?\\{}[]^\x7f" + "".join(map(chr, range(1, 32)))
+
+
+def partition_name(value: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
 @dataclass
 class Indexed:
     """What became of a path: "indexed", "known" or an error."""
@@ -125,7 +133,7 @@ class Store:
         records = readers.records(spark, backend, [r[0] for r in rows])
         found = readers.counted(records, own.bad() if own.bad else None).join(F.broadcast(files).select(F.col("filename").alias("path"), "db", "doc_id"), "path")
         found = found.select(F.lit(batch).alias("batch_id"), "doc_id", "ip", "n", F.lit(indexer).alias("indexer"), "db", F.coalesce(family("ip"), F.lit(0)).cast("int").alias("family"))
-        self._write(found)
+        self._write(indexer, found)
         mine = self._table("postings", POSTINGS).where((F.col("indexer") == indexer) & (F.col("batch_id") == batch))
         plain = F.col("family") == 0
         counts = mine.groupBy("db", "doc_id").agg(
@@ -134,35 +142,36 @@ class Store:
         done = files.join(counts, ["db", "doc_id"], "left").withColumn("error", F.when(F.col("bad") > 0, F.concat("bad", F.lit(" records can't be read"))))
         done.select(
             F.lit(batch).alias("batch_id"), "doc_id", "filename", "doc_time", F.coalesce("records", F.lit(0)).cast("long").alias("records"),
-            F.coalesce("n_ips", F.lit(0)).cast("long").alias("n_ips"), "size", "mtime", "error", F.lit(indexer).alias("indexer"), "db",
-        ).coalesce(1).write.partitionBy("indexer", "db").mode("append").parquet(f"{self.root}/documents")
+            F.coalesce("n_ips", F.lit(0)).cast("long").alias("n_ips"), "size", "mtime", "error", "db",
+        ).coalesce(1).write.partitionBy("db").mode("append").parquet(self._folder("documents", indexer))
         for r in rows:
             out[r[0]] = Indexed(r[0], "indexed")
 
-    def _write(self, postings: DataFrame, mode: str = "append") -> None:
-        ranged = postings.repartitionByRange("indexer", "db", "family", "ip").sortWithinPartitions("indexer", "db", "family", "ip")
-        ranged.write.partitionBy("indexer", "db", "family").option("parquet.bloom.filter.enabled#ip", "true").mode(mode).parquet(f"{self.root}/postings")
+    def _folder(self, table: str, indexer: str) -> str:
+        """An indexer's own folder of a table, so that indexers can write side by side."""
+        return f"{self.root}/{table}/indexer={partition_name(indexer)}"
+
+    def _write(self, indexer: str, postings: DataFrame) -> None:
+        ranged = postings.drop("indexer").repartitionByRange("db", "family", "ip").sortWithinPartitions("db", "family", "ip")
+        ranged.write.partitionBy("db", "family").option("parquet.bloom.filter.enabled#ip", "true").mode("append").parquet(self._folder("postings", indexer))
 
     def compact(self, indexer: str) -> None:
         """Rewrites an indexer's postings without those of failed attempts, in fewer sorted files, then swaps them in."""
         spark = self.spark
-        fs, at = self._path(f"postings/indexer={indexer}")
+        fs, at = self._path(f"postings/indexer={partition_name(indexer)}")
         if not fs.exists(at):
             return
         live = self.documents(indexer).select("indexer", "db", "batch_id", "doc_id")
         own = self._table("postings", POSTINGS).where(F.col("indexer") == indexer)
         name = f"compacting-{uuid.uuid4().hex}"
         kept = own.join(live, ["indexer", "db", "batch_id", "doc_id"], "left_semi").select(*own.columns)
-        ranged = kept.repartitionByRange("db", "family", "ip").sortWithinPartitions("db", "family", "ip")
-        ranged.write.partitionBy("indexer", "db", "family").option("parquet.bloom.filter.enabled#ip", "true").parquet(f"{self.root}/{name}")
+        ranged = kept.drop("indexer").repartitionByRange("db", "family", "ip").sortWithinPartitions("db", "family", "ip")
+        ranged.write.partitionBy("db", "family").option("parquet.bloom.filter.enabled#ip", "true").parquet(f"{self.root}/{name}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        old = path(f"{self.root}/{name}-old")
-        new = path(f"{self.root}/{name}/indexer={indexer}")
+        new, old = path(f"{self.root}/{name}"), path(f"{self.root}/{name}-old")
         fs.rename(at, old)
-        if fs.exists(new):
-            fs.rename(new, at)
+        fs.rename(new, at)
         fs.delete(old, True)
-        fs.delete(path(f"{self.root}/{name}"), True)
 
     # questions
 

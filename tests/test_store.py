@@ -82,7 +82,7 @@ def test_indexing_again_and_more(small):
 def test_failed_attempts_leave_nothing(small):
     store, tmp = small
     lost = store.spark.createDataFrame([("lost", 0, bytearray(b"\x09\x09\x09\x09"), 1, "i", "flows.db", 4)], "batch_id string, doc_id long, ip binary, n long, indexer string, db string, family int")
-    store._write(lost)
+    store._write("i", lost)
     assert names(store.search("i", "9.9.9.9")) == [] and ips(store.expand("i", "9.0.0.0/8")) == []
     assert store.postings("i").where("batch_id = 'lost'").count() == 1
     before = ips(store.expand("i", "0.0.0.0/0"))
@@ -183,6 +183,21 @@ def test_engine(engine):
         engine.search("nope", "1.1.1.1")
 
 
+def test_indexers_side_by_side(spark, tmp_path):
+    names = ["a", "b:c/d", "x=y z%", "ü"]
+    for i, _ in enumerate(names):
+        for j in range(3):
+            logs.write(tmp_path / f"in{i}" / f"{j}.txt", f"x 10.0.{i}.{j} y\n")
+    text = {"indexers": [{"name": n, "backend": "syslog", "file_glob": f"{tmp_path}/in{i}/*", "database_root": f"{tmp_path}/db"} for i, n in enumerate(names)]}
+    engine = Engine(spark, parse_config(json.dumps(text)))
+    assert [[r.status for r in v] for v in engine.index_all().values()] == [["indexed"] * 3] * 4
+    for i, n in enumerate(names):
+        assert ips(engine.expand(n, "10.0.0.0/8")) == [f"10.0.{i}.{j}" for j in range(3)]
+        assert len(engine.search(n, f"10.0.{i}.1").collect()) == 1
+    engine.compact(names[1])
+    assert len(engine.search(names[1], "10.0.1.0/24").collect()) == 3
+
+
 def test_errors_stay_with_their_indexer(spark, tmp_path):
     text = configuration(tmp_path)
     text["indexers"][0]["backend"] = "nope"

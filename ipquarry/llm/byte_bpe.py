@@ -13,9 +13,11 @@ Rows repeat as often as they occur; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import os
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +75,26 @@ def grouped(items: list[str]):
         yield items[at:]
 
 
-def encode(path: str, items: list[str]):
-    """The ids of each text, as numpy arrays."""
+def encode_lists(path: str, items: list[str]):
+    """The ids of each text, as lists."""
     tk = tokenizer(path)
     for part in grouped(items):
         for got in tk.encode_batch_fast(part, add_special_tokens=False):
-            yield np.array(got.ids, np.uint32)
+            yield got.ids
+
+
+def encode(path: str, items: list[str]):
+    """The ids of each text, as numpy arrays."""
+    for ids in encode_lists(path, items):
+        yield np.array(ids, np.uint32)
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def counts(path: str, items: list[str]):
@@ -152,10 +168,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             trim()
             n, ids_sha, text_sha, n_bytes = [], [], [], []
-            for ids in encode(path, batch.column("text").to_pylist()):
-                back = decode(path, ids.tolist())
+            for ids in encode_lists(path, batch.column("text").to_pylist()):
+                back = decode(path, ids)
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                ids_sha.append(hashlib.sha256(packed(ids)).hexdigest())
                 text_sha.append(hashlib.sha256(back).hexdigest())
                 n_bytes.append(len(back))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(n_bytes, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])

@@ -17,7 +17,7 @@ Join: a task collapses each signature that several of its sets have to one of th
 to it; only that one is shuffled, so a group of copies costs a row per task and signature. What meets in
 the shuffle is linked to one of its sets in turn. These stars, a row per set and signature, are verified
 by wide sketches, then on the shingles themselves, and give first components. A signature whose sets then
-lie in more than one component is gone through in tiles of TILE sets: sets that the wide sketches leave a
+lie in more than one component is gone through in tiles of bounded size: sets that the wide sketches leave a
 chance of a link into another component are compared with such sets on their shingles, and a link that is
 found joins the components for the rest of the tile. So no link between components is lost, and the pairs
 of a component are never listed.
@@ -51,7 +51,8 @@ SPARE = 0.25
 #: Signatures that a task holds before it sends them on, and bytes of text for each bucket of them.
 HELD = 1_000_000
 BUCKET_BYTES = 24 << 20
-TILE = 1024
+#: Sets of one side of a tile, and bytes of their members, at most.
+TILE, TILE_BYTES = 4096, 16 << 20
 LEAST_BITS = 256
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
@@ -459,13 +460,15 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     roots = stored(components(links), "roots")
 
     # signatures whose sets lie in several components; with two sets, their pair has been looked at
-    members = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    members = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct().join(sketched.select("node", "n"), "node")
+    members = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
     members = stored(members, "members")
-    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("print")).where("r0 <> r1 and m > 2")
+    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print")).where("r0 <> r1 and m > 2")
     # of signatures with the same sets one is enough
-    open_ = open_.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    open_ = open_.groupBy("m", "n", "print").agg(F.min("sig").alias("sig"))
+    open_ = open_.select("sig", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
     tiled = members.join(open_, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = tiled.join(sketched, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.join(sketched.select("node", "sketch"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "root", "sketch")
     tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(similarity), TILES)
     tiled = held(tiled)

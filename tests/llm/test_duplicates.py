@@ -146,6 +146,7 @@ def test_join_against_brute_force(spark, k, p, q, monkeypatch):
     rows = [(i + 10, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     monkeypatch.setattr(near_dup, "TILE", 16)
+    monkeypatch.setattr(near_dup, "TILE_BYTES", 1 << 15)
     got = near_dup.near_duplicates(docs_of(spark, rows), k, (p, q)).collect()
     assert sorted(tuple(r) for r in got) == sorted(oracle(rows, k, p, q))
 

@@ -16,11 +16,11 @@ first d + 1 of them, and those, the ones that say most, are what is joined.
 Join: a task collapses each signature that several of its sets have to one of them and links the others
 to it; only that one is shuffled, so a group of copies costs a row per task and signature. What meets in
 the shuffle is linked to one of its sets in turn. These stars, a row per set and signature, are verified
-by wide sketches, then on the shingles themselves, and give first components. A signature whose sets then
-lie in more than one component is gone through in tiles of bounded size: sets that the wide sketches leave a
-chance of a link into another component are compared with such sets on their shingles, and a link that is
-found joins the components for the rest of the tile. So no link between components is lost, and the pairs
-of a component are never listed.
+by wide sketches, then on the shingles themselves, and give first components. Of signatures with the same
+sets one is gone through, in tiles of bounded size: every pair of its sets that has no smaller such signature
+in common, and that the wide sketches leave a chance, is compared on the shingles. So each link is verified
+once. A tile adds up every set's links, and lists a link only where it joins two components, so the links
+of every document are counted and the pairs of a component are never listed.
 
 Sets are known by a 64-bit digest, which copies share: what is shuffled is sets, not documents.
 
@@ -327,7 +327,7 @@ def _near(similarity: tuple[int, int]):
     return run
 
 
-TILES = "sig long, i int, j int, tile int, node long, root long"
+TILES = "sig long, i int, j int, tile int, node long"
 
 
 def _groups(batches, names: list[str]):
@@ -341,7 +341,7 @@ def _groups(batches, names: list[str]):
         if not batch.num_rows:
             continue
         keys = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
-        columns = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in (batch.column(n) for n in names)]
+        columns = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in (batch.column(n) for n in names)]
         new = np.ones(batch.num_rows, bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         cut = np.append(np.nonzero(new)[0], batch.num_rows)
@@ -357,10 +357,10 @@ def _groups(batches, names: list[str]):
 
 
 class _Tile:
-    """The rows of a tile, with sketches of one width."""
+    """The rows of a tile, with sketches of one width; signatures are the sorted ones that are gone through."""
 
-    def __init__(self, key, tile, node, n, root, sketch, similarity):
-        self.node, self.n, self.root, self.similarity = node, n, root, similarity
+    def __init__(self, key, tile, node, n, signatures, sketch, similarity):
+        self.node, self.n, self.similarity = node, n, similarity
         self.left, self.right = np.nonzero(tile == key[1])[0], np.nonzero(tile == key[2])[0]
         self.inner = key[1] == key[2]
         width = min(map(len, sketch)) // 8
@@ -370,11 +370,23 @@ class _Tile:
         self.flat = np.empty((len(sketch), width), np.uint64)
         for size, rows in wide.items():
             self.flat[rows] = folded(np.frombuffer(b"".join(sketch[r] for r in rows), np.uint64).reshape(-1, size), width)
+        # signatures before this one that rows share: of each row, and the rows of each
+        sig, row = np.concatenate(signatures), np.repeat(np.arange(len(node)), [len(x) for x in signatures])
+        sig, row = sig[sig < key[0]], row[sig < key[0]]
+        _, which, count = np.unique(sig, return_inverse=True, return_counts=True)
+        many = count[which] > 1
+        which, row = which[many], row[many]
+        self.before, self.before_at = which, np.searchsorted(row, np.arange(len(node) + 1))
+        order = np.argsort(which, kind="stable")
+        self.having, self.having_at = row[order], np.searchsorted(which[order], np.arange(len(count) + 1))
 
     def near(self, x: int) -> np.ndarray:
-        """Rows of other components that the sketches and sizes don't rule out for a row of the left side."""
+        """Rows that the sketches and sizes don't rule out for a row of the left side; of pairs that no signature before has."""
         p, q = self.similarity
-        y = self.right[self.root[self.right] != self.root[x]]
+        met = np.zeros(len(self.node), bool)
+        for s in self.before[self.before_at[x] : self.before_at[x + 1]].tolist():
+            met[self.having[self.having_at[s] : self.having_at[s + 1]]] = True
+        y = self.right[~met[self.right]]
         if self.inner:
             y = y[self.node[y] > self.node[x]]
         y = y[q * np.minimum(self.n[y], self.n[x]) >= p * np.maximum(self.n[y], self.n[x])]
@@ -384,41 +396,78 @@ class _Tile:
         return np.concatenate(parts) if parts else y
 
 
-def _across(similarity: tuple[int, int]):
-    """For mapInArrow over sorted tiles: their rows that may link with a row of another component."""
+class _Sets:
+    """Sets by dense numbers of their members, so that one is compared with many at once."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: tuple[int, int]):
+        self.n, self.similarity = np.array([len(x) for x in sets]), similarity
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.number, self.flag = number.astype(np.int32), np.zeros(len(distinct), bool)
+
+    def linked(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of y that link with x."""
+        p, q = self.similarity
+        own = self.number[self.at[x] : self.at[x + 1]]
+        self.flag[own] = True
+        part = np.cumsum(self.n[y]) >> 21  # bounds what is compared at once
+        out = []
+        for some in np.split(y, np.nonzero(np.diff(part))[0] + 1):
+            n = self.n[some]
+            first = np.cumsum(n) - n
+            place = np.repeat(self.at[some] - first, n) + np.arange(int(n.sum()))
+            both = np.add.reduceat(self.flag[self.number[place]].astype(np.int64), first)
+            out.append(some[q * both >= p * (n + len(own) - both)])
+        self.flag[own] = False
+        return np.concatenate(out)
+
+
+def _candidates(similarity: tuple[int, int]):
+    """For mapInArrow over sorted tiles: their rows that may link with another."""
 
     def run(batches):
-        for key, (tile, node, n, root, sketch) in _groups(batches, ["tile", "node", "n", "root", "sketch"]):
-            rows = _Tile(key, tile, node, n, root, sketch, similarity)
+        for key, (tile, node, n, signatures, sketch) in _groups(batches, ["tile", "node", "n", "signatures", "sketch"]):
+            rows = _Tile(key, tile, node, n, signatures, sketch, similarity)
             some = np.zeros(len(node), bool)
             for x in rows.left.tolist():
                 near = rows.near(x)
                 if len(near):
                     some[x] = some[near] = True
             if size := int(some.sum()):
-                yield pa.RecordBatch.from_arrays([pa.array([k] * size, t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)] + [pa.array(c[some]) for c in (tile, node, root)], ["sig", "i", "j", "tile", "node", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * size, t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)] + [pa.array(c[some]) for c in (tile, node)], ["sig", "i", "j", "tile", "node"])
 
     return run
 
 
-def _joining(similarity: tuple[int, int]):
-    """For mapInArrow over sorted tiles with members: links, one at most for each component that they join."""
+def _counting(similarity: tuple[int, int]):
+    """For mapInArrow over sorted tiles with members: every pair is verified.
+
+    Rows (a, null, n) are a set's number of linked documents in the tile, rows (a, b, null) links, one at
+    most for each component that they join.
+    """
 
     def run(batches):
-        for key, (tile, node, root, members) in _groups(batches, ["tile", "node", "root", "members"]):
+        for key, (tile, node, copies, root, signatures, members) in _groups(batches, ["tile", "node", "copies", "root", "signatures", "members"]):
             sets = [np.frombuffer(x, np.uint64) for x in members]
             n = np.array([len(x) for x in sets])
             wide, at = sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
-            rows = _Tile(key, tile, node, n, root.copy(), [wide[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], similarity)
+            rows = _Tile(key, tile, node, n, signatures, [wide[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], similarity)
+            exact, root, count = _Sets(sets, similarity), root.copy(), np.zeros(len(node), np.int64)
             a, b = [], []
             for x in rows.left.tolist():
-                for y in rows.near(x).tolist():
-                    if rows.root[y] != rows.root[x] and linked(sets[x], sets[y], similarity):
-                        rows.root[rows.root == rows.root[y]] = rows.root[x]
-                        a.append(min(node[x], node[y]))
-                        b.append(max(node[x], node[y]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                y = rows.near(x)
+                if not len(y):
+                    continue
+                y = exact.linked(x, y)
+                count[x] += copies[y].sum()
+                count[y] += copies[x]
+                for z in y[root[y] != root[x]].tolist():
+                    if root[z] != root[x]:
+                        root[root == root[z]] = root[x]
+                        a.append(min(node[x], node[z]))
+                        b.append(max(node[x], node[z]))
+            some = count > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], np.array(a, np.int64)])), pa.array([None] * int(some.sum()) + b, pa.int64()), pa.array(count[some].tolist() + [None] * len(a), pa.int64())], ["a", "b", "n"])
 
     return run
 
@@ -440,8 +489,9 @@ def _members(rows: DataFrame, documents: DataFrame, nodes: DataFrame, k: int) ->
     return sets
 
 
-def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, node, n; links: a, b of verified sets, enough for every component; roots: node, root)."""
+def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, node, n; links: a, b of verified sets, enough for every component; roots: node, root;
+    counts: node, n_links: how many documents of other sets link with it, over all pairs; none is without a row)."""
     spark = docs.sparkSession
     rows = texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -449,7 +499,7 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     emitted = stored(rows.mapInArrow(_emit(k, similarity, buckets), KINDS), "signatures")
     of_documents = emitted.where(f"kind = {_DOCUMENT}")
     documents = stored(of_documents.select("doc_id", "node", "n"), "sets_of_documents")
-    sketched = stored(of_documents.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("sketch")), "sketches")
+    sketched = stored(of_documents.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("sketch"), F.count("*").alias("copies")), "sketches")
     met = stored(emitted.where(f"kind <> {_DOCUMENT}").select("kind", "bucket", "data").groupBy("bucket").applyInArrow(_meet, "sig long, a long, b long"), "stars")
     drop(spark, emitted)
     near = _both(met.select("a", "b").distinct(), sketched, ("n", "n", "m"), ("sketch", "x", "y")).mapInArrow(_near(similarity), "a long, b long")
@@ -459,48 +509,61 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     drop(spark, sets)
     roots = stored(components(links), "roots")
 
-    # signatures whose sets lie in several components; with two sets, their pair has been looked at
+    # every other pair of a signature's sets; of signatures with the same sets one is enough
     members = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct().join(sketched.select("node", "n"), "node")
-    members = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
     members = stored(members, "members")
-    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print")).where("r0 <> r1 and m > 2")
-    # of signatures with the same sets one is enough
-    open_ = open_.groupBy("m", "n", "print").agg(F.min("sig").alias("sig"))
-    open_ = open_.select("sig", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
-    tiled = members.join(open_, "sig").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = tiled.join(sketched.select("node", "sketch"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "root", "sketch")
-    tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(similarity), TILES)
+    shared = members.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("node").alias("a"), F.max("node").alias("b"))
+    shared = stored(shared.groupBy("m", "n", "print").agg(F.min("sig").alias("sig"), F.first("a").alias("a"), F.first("b").alias("b")), "shared")
+    open_ = shared.where("m > 2").select("sig", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
+    opened = stored(members.join(open_, "sig"), "opened")
+    of_sets = opened.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("signatures"))
+    of_sets = of_sets.join(sketched, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_sets = stored(of_sets, "open_sets")
+    tiled = opened.select("sig", "node", "tiles").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = tiled.join(of_sets.select("node", "n", "signatures", "sketch"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "signatures", "sketch")
+    tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_candidates(similarity), TILES)
     tiled = held(tiled)
+    # with two sets, their pair has been looked at; it counts where no signature with more sets has both
+    two = shared.where("m = 2").select("a", "b").join(links, ["a", "b"], "left_semi")
+    listed = lambda side: of_sets.select(F.col("node").alias(side), F.col("signatures").alias(f"of_{side}"))
+    two = two.join(listed("a"), "a", "left").join(listed("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)))
+    ends = two.select("a", "b").union(two.select("b", "a")).toDF("node", "other")
+    counts = ends.join(sketched.select(F.col("node").alias("other"), F.col("copies").alias("n")), "other").select("node", "n")
     if not tiled.isEmpty():
-        # copies of a group meet in many signatures; tiles that are left with the same sets are one
-        side = F.xxhash64("node", F.col("tile") == F.col("i"))
-        alike = tiled.groupBy("sig", "i", "j").agg(F.count("*").alias("m"), F.bit_xor(side).alias("print"))
-        one = alike.groupBy("m", "print", F.col("i") == F.col("j")).agg(F.min(F.struct("sig", "i", "j")).alias("one")).select("one.*")
-        chosen = tiled.join(one, ["sig", "i", "j"], "left_semi")
-        sets = _members(rows, documents, chosen.select("node").distinct(), k)
-        again = chosen.join(sets, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        more = stored(again.select("sig", "i", "j", "tile", "node", "root", "members").mapInArrow(_joining(similarity), "a long, b long"), "more_links")
+        sets = _members(rows, documents, tiled.select("node").distinct(), k)
+        again = tiled.join(of_sets.select("node", "copies", "root", "signatures"), "node").join(sets, "node")
+        again = again.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        more = stored(again.select("sig", "i", "j", "tile", "node", "copies", "root", "signatures", "members").mapInArrow(_counting(similarity), "a long, b long, n long"), "more_links")
         drop(spark, sets)
-        if not more.isEmpty():
-            links = stored(links.union(more), "links")
+        counts = counts.union(more.where("b is null").select(F.col("a").alias("node"), "n"))
+        joining = more.where("b is not null").select("a", "b")
+        if not joining.isEmpty():
+            links = stored(links.union(joining), "links")
             roots = stored(components(links), "roots")
-    for used in (met, members, sketched):
+    counts = stored(counts.groupBy("node").agg(F.sum("n").alias("n_links")), "link_counts")
+    for used in (met, members, sketched, shared, opened, of_sets):
         drop(spark, used)
     for used in (near, tiled):
         used.unpersist()
-    return documents, links, roots
+    return documents, links, roots, counts
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id."""
-    documents, _, roots = join(docs, k, similarity)
-    per_set = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def link_counts(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, n_links: how many other documents it links with."""
+    documents, _, roots, counts = join(docs, k, similarity)
+    per_set = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = per_set.select("node", "root").join(ids, "root").select("node", "component_id")
+    ids = per_set.select("node", "root", "copies").join(ids, "root").join(counts, "node", "left")
+    ids = ids.select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # Sets of one document only need no join; adaptive execution may split the partition of a hot one.
     out = documents.join(ids, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id."""
+    return link_counts(docs, k, similarity).drop("n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

@@ -195,3 +195,25 @@ def test_components_against_union_find(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("k", "p", "q"), [(3, 90, 100), (5, 80, 100)])
+def test_links_against_brute_force(spark, k, p, q, monkeypatch):
+    rng = random.Random(k)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for size in (6, 20, 60, 150):
+        base = fresh(size)
+        texts += [mutated(rng, base, share) for share in (0, 0, 0.005, 0.01, 0.01, 0.02, 0.02, 0.03, 0.05)]
+    star, passage = fresh(300), fresh(30)
+    texts += [mutated(rng, star, 0.01) for _ in range(40)] + [star, star]
+    texts += [fresh(8) + passage + fresh(8) for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(-1, ""), (-2, None), (-3, "one"), (-4, "ONE")]
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for w in words]
+    links = [{j for j, b in enumerate(sets) if j != i and a and q * len(a & b) >= p * len(a | b)} for i, a in enumerate(sets)]
+    assert any(links[x] - links[y] - {y} for x in range(len(rows)) for y in links[x])  # not only cliques
+    monkeypatch.setattr(near_dup, "TILE", 16)
+    monkeypatch.setattr(near_dup, "TILE_BYTES", 1 << 15)
+    got = {r["doc_id"]: r["n_links"] for r in near_dup.link_counts(docs_of(spark, rows), k, (p, q)).collect()}
+    assert got == {doc_id: len(own) for (doc_id, _), own in zip(rows, links)}

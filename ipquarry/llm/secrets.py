@@ -8,12 +8,23 @@ Randomness: maximal runs of CANDIDATE are tokens. The encoding of a token is the
 fits. On the alphabet's indexes three statistics are taken: chi-squared against uniform use, the runs
 above and below the middle of the alphabet, and the lag-1 serial correlation. A token is discovered if
 
-* chi-squared is too small for wording: the number of equal pairs of symbols, of which chi-squared is a
-  linear function, lies so far below what wording of that length has (COINCIDENCE) that its lower-tail
-  p-value passes the false-discovery control, and
+* its p-value under its encoding's null passes the false-discovery control, and
 * none of the three tests rejects uniform, independent symbols at level BATTERY_ALPHA.
 
-False-discovery control is Benjamini-Hochberg at level FDR over every token of the corpus, weighted by
+The null is wording: the p-value is the lower tail of the number of equal pairs of symbols, of which
+chi-squared is a linear function (COINCIDENCE). Three encodings have their own, as uniform symbols of small
+alphabets repeat as often as wording does:
+
+* hex: letters as wording has them, of which HEX_LETTERS are a to f; p is the chance that all letters are.
+  Digits say nothing, so numbers with few letters aren't found.
+* decimal: formatted numbers, with DECIMAL_ZERO of their digits zero and the others equally frequent; the
+  lower tail of the number of equal pairs. Only long ones can be told apart.
+* base32: wording, and capitals with numbers, which change between letters and digits at a rate of
+  BASE32_CHANGES; Fisher's combination of both p-values, taken as independent, the second as the Chernoff
+  bound of a Poisson tail.
+
+False-discovery control is Benjamini-Hochberg at level FDR over the tokens of the corpus that overlap no
+fixed form; a token that the three tests reject counts with a p-value of 1. It's weighted by
 length: longer tokens, which the test can tell apart, get more of the level, in proportion to 2 + log2(n /
 20) by class, so that a few very long ones don't take it from the rest. p-values are
 rounded up to a grid, so the step-up runs over a histogram of bounded size (length class x grid), which
@@ -44,6 +55,8 @@ FORMS = {
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Rates at which two, and three, symbols of wording are equal (English letters).
 COINCIDENCE = (0.0655, 0.0055)
+#: Share of a to f in English letters; zeros of formatted numbers; changes of class for each symbol of capitals with numbers.
+HEX_LETTERS, DECIMAL_ZERO, BASE32_CHANGES = 0.317, 0.3, 0.05
 BATTERY_ALPHA = 1e-3
 FDR = 0.01
 #: p-values on a grid of 1/GRID decades, down to 10 ** -DECADES.
@@ -111,42 +124,69 @@ def _normal_tail(z: str) -> str:
     return f"(if({z} >= 0, {upper}, 1 - {upper}))"
 
 
+def _z_pairs(q2: float, q3: float) -> str:
+    """SQL: by how many deviations equal pairs differ from symbols of which two, three are equal at these rates."""
+    return f"(x.pairs + 0.5D - x.all * {q2!r}D) / sqrt(x.all * {q2 * (1 - q2)!r}D + x.n * (x.n - 1) * (x.n - 2) * {q3 - q2 * q2!r}D)"
+
+
+def _place(p: str) -> str:
+    """SQL: a p-value's place on the grid, 0 for 1."""
+    return f"cast(least({GRID * DECADES}, greatest(0, floor(-{GRID} * log10(greatest(1e-300D, {p}))))) as int)"
+
+
 def _battery(tokens: str) -> str:
-    """SQL: array of tokens -> array<struct<n, class, grid, passes>>; grid is the p-value's place, 0 for 1."""
-    cases = " ".join(f"when t rlike {_quoted(form)} then named_struct('a', '{alphabet}', 's', {'lower(t)' if fold else 't'})" for _, form, alphabet, fold in ENCODINGS[:-1])
+    """SQL: array of tokens -> array<struct<n, class, grid, passes, own>>.
+
+    grid is the place of wording's p-value, own of the encoding's; own is 0 where the tests reject.
+    """
+    cases = " ".join(f"when t rlike {_quoted(form)} then named_struct('e', '{name}', 'a', '{alphabet}', 's', {'lower(t)' if fold else 't'})" for name, form, alphabet, fold in ENCODINGS[:-1])
     last = ENCODINGS[-1]
     x = f"transform({tokens}, t0 -> rtrim('=', t0))"
-    x = f"transform({x}, t -> case {cases} else named_struct('a', '{last[2]}', 's', t) end)"
+    x = f"transform({x}, t -> case {cases} else named_struct('e', '{last[0]}', 'a', '{last[2]}', 's', t) end)"
     half = "cast(length(x.a) div 2 as int)"
-    x = f"""transform({x}, x -> named_struct('n', cast(length(x.s) as double), 'k', cast(length(x.a) as double), 's', x.s,
+    x = f"""transform({x}, x -> named_struct('e', x.e, 'n', cast(length(x.s) as double), 'k', cast(length(x.a) as double), 's', x.s,
+        'kinds', translate(lower(x.s), '{_LOWER}{_DIGITS}', concat(repeat('a', 26), repeat('0', 10))),
         'bits', translate(x.s, x.a, concat(repeat('0', {half}), repeat('1', length(x.a) - {half}))),
         'at', transform(filter(split(x.s, ''), c -> c != ''), c -> cast(instr(x.a, c) - 1 as double))))"""
-    x = f"""transform({x}, x -> named_struct('n', x.n, 'k', x.k, 'at', x.at,
+    x = f"""transform({x}, x -> named_struct('e', x.e, 'n', x.n, 'k', x.k, 'at', x.at,
+        'letters', cast(length(replace(x.kinds, '0', '')) as double),
+        'changes', (2 * length(x.kinds) - length(replace(x.kinds, '0a', '')) - length(replace(x.kinds, 'a0', ''))) / 2D,
         'squares', aggregate(array_distinct(filter(split(x.s, ''), c -> c != '')), 0D, (a, c) -> a + power(length(x.s) - length(replace(x.s, c, '')), 2)),
         'ones', cast(length(replace(x.bits, '0', '')) as double),
         'runs', 1D + (length(x.bits) - length(replace(x.bits, '01', ''))) / 2 + (length(x.bits) - length(replace(x.bits, '10', ''))) / 2,
         'mean', aggregate(x.at, 0D, (a, v) -> a + v) / x.n))"""
-    x = f"""transform({x}, x -> named_struct('n', x.n, 'k', x.k,
+    x = f"""transform({x}, x -> named_struct('e', x.e, 'n', x.n, 'k', x.k, 'letters', x.letters, 'changes', x.changes,
         'pairs', (x.squares - x.n) / 2, 'all', x.n * (x.n - 1) / 2,
         'chi', x.k / x.n * x.squares - x.n,
         'runs', x.runs, 'both', 2 * x.ones * (x.n - x.ones),
         'var', aggregate(x.at, 0D, (a, v) -> a + (v - x.mean) * (v - x.mean)),
         'cov', aggregate(zip_with(slice(x.at, 1, size(x.at) - 1), slice(x.at, 2, size(x.at) - 1), (u, v) -> (u - x.mean) * (v - x.mean)), 0D, (a, v) -> a + v)))"""
-    q2, q3 = COINCIDENCE
-    x = f"""transform({x}, x -> named_struct('n', x.n,
-        'z_text', (x.pairs + 0.5D - x.all * {q2}D) / sqrt(x.all * {q2 * (1 - q2)!r}D + x.n * (x.n - 1) * (x.n - 2) * {q3 - q2 * q2!r}D),
+    rest = (1 - DECIMAL_ZERO) / 9
+    x = f"""transform({x}, x -> named_struct('e', x.e, 'n', x.n, 'letters', x.letters, 'changes', x.changes, 'expected', x.n * {BASE32_CHANGES}D,
+        'z_text', {_z_pairs(*COINCIDENCE)},
+        'z_decimal', {_z_pairs(DECIMAL_ZERO**2 + 9 * rest**2, DECIMAL_ZERO**3 + 9 * rest**3)},
         'z_chi', (power(x.chi / (x.k - 1), 1D / 3) - (1 - 2 / (9 * (x.k - 1)))) / sqrt(2 / (9 * (x.k - 1))),
         'z_runs', if(x.both > x.n, abs(x.runs - 1 - x.both / x.n) / sqrt(x.both * (x.both - x.n) / (x.n * x.n * (x.n - 1))), 99D),
         'z_serial', if(x.var > 0, abs(x.cov / x.var) * sqrt(x.n), 99D)))"""
-    return f"""transform({x}, x -> if(x.n < 20, named_struct('n', x.n, 'class', 0, 'grid', 0, 'passes', false), named_struct('n', x.n,
+    text = _normal_tail("(-x.z_text)")
+    changes = "if(x.changes > x.expected, exp(-(x.changes * ln(x.changes / x.expected) - x.changes + x.expected)), 1D)"
+    both = f"greatest(1e-300D, {text} * {changes})"
+    own = f"case x.e when 'hex' then power({HEX_LETTERS}D, x.letters) when 'decimal' then {_normal_tail('(-x.z_decimal)')} when 'base32' then {both} * (1 - ln({both})) else {text} end"
+    x = f"""transform({x}, x -> if(x.n < 20, named_struct('n', x.n, 'class', 0, 'grid', 0, 'passes', false, 'own', 0), named_struct('n', x.n,
         'class', cast(least({CLASSES - 1}, greatest(0, floor(2 * log2(x.n / 20)))) as int),
-        'grid', cast(least({GRID * DECADES}, greatest(0, floor(-{GRID} * log10(greatest(1e-300D, {_normal_tail('(-x.z_text)')}))))) as int),
-        'passes', {_normal_tail('x.z_chi')} >= {BATTERY_ALPHA}D and 2 * {_normal_tail('x.z_runs')} >= {BATTERY_ALPHA}D and 2 * {_normal_tail('x.z_serial')} >= {BATTERY_ALPHA}D)))"""
+        'grid', {_place(text)},
+        'passes', {_normal_tail('x.z_chi')} >= {BATTERY_ALPHA}D and 2 * {_normal_tail('x.z_runs')} >= {BATTERY_ALPHA}D and 2 * {_normal_tail('x.z_serial')} >= {BATTERY_ALPHA}D,
+        'own', {_place(own)})))"""
+    return f"transform({x}, x -> named_struct('n', x.n, 'class', x.class, 'grid', x.grid, 'passes', x.passes, 'own', if(x.passes, x.own, 0)))"
 
 
 def _tested(df: DataFrame) -> DataFrame:
     """Adds random_m, random_s and tests for the tokens of each text."""
-    return _found(df, "random", CANDIDATE).withColumn("tests", F.expr(f"if(random_has, {_battery('random_m')}, cast(array() as array<struct<n:double,class:int,grid:int,passes:boolean>>))"))
+    return _found(df, "random", CANDIDATE).withColumn("tests", F.expr(f"if(random_has, {_battery('random_m')}, cast(array() as array<struct<n:double,class:int,grid:int,passes:boolean,own:int>>))"))
+
+
+#: SQL: whether a span overlaps no fixed form.
+FREE = "not exists(base, b -> b.start < {end} and {start} < b.end)"
 
 
 def cutoffs(docs: DataFrame) -> list[int]:
@@ -154,8 +194,10 @@ def cutoffs(docs: DataFrame) -> list[int]:
 
     What is collected is the histogram, CLASSES x (GRID * DECADES + 1) rows at most.
     """
-    counts = _tested(texts(docs).where(F.expr(f"text rlike {_quoted(CANDIDATE)}"))).select(F.explode("tests").alias("x")).where("x.n >= 20").groupBy("x.class", "x.grid").agg(F.count("*").alias("c")).collect()
-    return step_up([(r["class"], r["grid"], r["c"]) for r in counts])
+    found = _tested(_fixed(texts(docs).where(F.expr(f"text rlike {_quoted(CANDIDATE)}"))))
+    free = f"filter(tests, (x, i) -> {FREE.format(start='random_s[i]', end='random_s[i] + length(random_m[i])')})"
+    counts = found.select(F.explode(F.expr(free)).alias("x")).where("x.n >= 20").groupBy("x.class", "x.own").agg(F.count("*").alias("c")).collect()
+    return step_up([(r["class"], r["own"], r["c"]) for r in counts])
 
 
 def step_up(counts: list[tuple[int, int, int]]) -> list[int]:
@@ -181,7 +223,7 @@ def _random(df: DataFrame, least: list[int]) -> DataFrame:
     levels = f"array({', '.join(map(str, least))})"
     df = _tested(df)
     spans = f"zip_with(random_s, random_m, (s, m) -> struct(s as start, {KINDS.index('random')} as rank, 'random' as kind, s + length(m) as end))"
-    spans = f"filter({spans}, (x, i) -> tests[i].passes and tests[i].grid >= {levels}[tests[i].class] and not exists(base, b -> b.start < x.end and x.start < b.end))"
+    spans = f"filter({spans}, (x, i) -> tests[i].passes and tests[i].own >= {levels}[tests[i].class] and {FREE.format(start='x.start', end='x.end')})"
     return df.withColumn("more", F.expr(f"if(random_has, {spans}, cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>))")).drop("random_m", "random_s", "random_has", "tests")
 
 
@@ -223,7 +265,7 @@ def redact(docs: DataFrame) -> DataFrame:
         out = replaced(out, expression, f"length(values[i]) >= {size}" if group else "true")
     levels = f"array({', '.join(map(str, least))})"
     out = _tested(out)
-    out = replaced(out, CANDIDATE, f"tests[i].passes and tests[i].grid >= {levels}[tests[i].class]")
+    out = replaced(out, CANDIDATE, f"tests[i].passes and tests[i].own >= {levels}[tests[i].class]")
     out = out.withColumn("text", F.when(~F.col("was_null"), F.col("text")))
     kept = [F.col("text").alias(c) if c == "text" else F.col(f"own_{i}").alias(c) for i, c in enumerate(names)]
     out = out.select(*kept)

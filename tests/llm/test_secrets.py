@@ -159,3 +159,18 @@ def test_runs_without_python(spark):
 def test_level_depends_on_all_rows(spark, n):
     _, docs = frame(spark, [f"x {t} y" for t in RANDOM] * n)
     assert min(S.cutoffs(docs)) <= S.GRID * S.DECADES
+
+
+def test_encodings_are_found_among_many_base_hits(spark):
+    rng = random.Random(6)
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    keys = [made("0123456789ABCDEF", n) for n in (32, 40, 64)] + [made("0123456789abcdef", 22)]
+    keys += [made("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n) for n in (40, 52)] + [made("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n) for n in (32, 36, 40)]
+    others = ["20240101000000000000", "00000000000000000012345", "DEADBEEFDEADBEEFDEADBEEF", "INTERNATIONALIZATIONOFTHECATALOGUE", "20240101120000202401021"]
+    texts = [f"key {t} end" for t in keys + others] + [f"sum {made('0123456789abcdef', 40)} end" for _ in range(300)]
+    _, docs = frame(spark, texts)
+    got = {r["doc_id"]: r["n_random"] for r in S.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [1] * len(keys) + [0] * (len(others) + 300)
+    masked = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
+    assert all(masked[i] == f"key {S.MARK} end" for i in range(len(keys)))
+    assert all(masked[i] == texts[i] for i in range(len(keys), len(keys) + len(others)))

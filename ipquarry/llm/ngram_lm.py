@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ipquarry.llm.common import new_folder, table, texts, trim
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
 
-ORDER = 2
+ORDER = 3
 #: Pairs that a task sorts at once, and pairs for each shard, about.
 BUFFER = 1_000_000
 SHARD_PAIRS = 1_500_000

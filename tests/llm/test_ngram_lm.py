@@ -56,3 +56,9 @@ def test_model_beats_base_on_held_out_rows(spark):
 def test_store_must_be_mounted(spark):
     with pytest.raises(ValueError, match="mount"):
         ngram_lm.train(spark.createDataFrame([(1, "a")], "doc_id long, text string"), folder="hdfs://x/y")
+
+
+def test_the_query_has_trigrams():
+    import inspect
+
+    assert inspect.signature(ngram_lm.train).parameters["order"].default >= 3

@@ -10,9 +10,9 @@ lengths, then by a learned tanh layer. Gated attention weighs the passages,
 and all parameters are learned from the labels of documents by Adam on the log loss. Weights depend on
 the passage, so a document that is clean for a page and junk for ten is told from one that isn't.
 
-Fitting uses at most MAX_TRAIN labelled documents, the ones with the smallest hash of their id, and of
-each at most MAX_BAG evenly spaced passages; these two bounds concern fitting only. Scoring reads every
-passage of every document. Only the text is an input.
+Fitting uses at most MAX_TRAIN labelled documents, the ones with the smallest hash of their id, and every
+passage of each; the bound concerns fitting only. Scoring reads every passage of every document. Only the
+text is an input.
 
 Defined results: null texts count as empty; an empty text is one passage of zeros and gets a score like
 any other; null or unknown labels aren't learned from; an id that has both labels is learned with both;
@@ -35,7 +35,6 @@ from ipquarry.llm.wordhash import WINDOW, buffer, slices, words
 PASSAGE = 64
 THRESHOLD = 0.3
 MAX_TRAIN = 6000
-MAX_BAG = 32
 WIDTH = 24
 EPOCHS = 30
 BATCH = 256
@@ -183,8 +182,8 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bag: int = MAX_BAG) -> Model:
-    """A model from the labelled rows that aren't held out; both bounds concern fitting only."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """A model from the labelled rows that aren't held out; the bound concerns fitting only."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out()).dropDuplicates()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "y").limit(max_train)
     # at most max_train rows are broadcast
@@ -195,10 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bag:
             column = batch.column("text")
             for at, n in slices(column, WINDOW):
                 x, first = passages(column.slice(at, n))
-                bags = []
-                for a, b in zip(first, first[1:], strict=False):
-                    pick = np.unique(np.linspace(a, b - 1, min(b - a, max_bag)).round().astype(int))
-                    bags.append(x[pick].astype(np.float16).tobytes())
+                bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), batch.column("y").slice(at, n), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
     rows = taken.mapInArrow(run, "doc_id long, y int, bag binary").orderBy("doc_id", "y", "bag").limit(2 * max_train).collect()

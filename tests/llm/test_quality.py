@@ -86,3 +86,13 @@ def test_labels_are_no_inputs(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     scores = {r["score"] for r in Q.score(docs, Q.fit(docs, labels)).collect()}
     assert len(scores) == 1
+
+
+def test_fitting_takes_every_passage(spark, monkeypatch):
+    sizes = {1: 10, 2: Q.PASSAGE * 100 + 1, 3: Q.PASSAGE * 40}
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n))) for i, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id long, quality int")
+    held, seen = {r[0] for r in docs.where(Q.held_out()).select("doc_id").collect()}, []
+    monkeypatch.setattr(Q.Model, "fit", lambda self, bags, y: seen.extend(map(len, bags)) or self)
+    Q.fit(docs, labels)
+    assert 2 not in held and sorted(seen) == sorted(-(-n // Q.PASSAGE) for i, n in sizes.items() if i not in held)

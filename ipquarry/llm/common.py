@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 _OWN: list[tuple[SparkSession, str]] = []
 
 
-#: Rows of an Arrow batch; documents are some KB each, and a worker holds a batch and what it makes of it.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, at most; one longer row is a batch of its own. A worker holds a batch and
+#: what it makes of it, so long texts have to be bounded by their bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Fixed by Spark: its own bound of a batch's bytes, as its setting is written.
+DEFAULT_BYTES = "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS, unless the session has a setting of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's default
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Sets the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, where the session has Spark's defaults.
+
+    Batches are cut when a plan runs, by the session's settings of that time, so they can't be put back here.
+    """
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", DEFAULT_BYTES, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, str(value))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +46,16 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are this machine, gets one of our own where that is unset.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir isn't set; on a cluster it has to name a folder that all executors share")
     if not _OWN or not any(s is spark for s, _ in _OWN):
         _OWN.append((spark, "file://" + tempfile.mkdtemp(prefix="ipquarry-")))
     return next(d for s, d in _OWN if s is spark)

@@ -3,11 +3,16 @@
 Texts are equal when they are identical after each run of white space has become one space. Their
 SHA-256 is computed JVM-side; what moves is (digest, smallest id, count), one row per digest and Arrow
 batch, so a text that a third of all rows share weighs no more than a few rows per task. Digests fall
-into buckets by their first two bytes. Each bucket owns a cuckoo filter and the bucket's content, the
+into buckets by their first bits; the number of buckets follows the rows, about BUCKET_ROWS each, so what a
+task holds doesn't grow with the corpus. Each bucket owns a cuckoo filter and the bucket's content, the
 full digests with their smallest id and count. A miss in the filter proves a digest new; a hit is
 verified against the content, and a false one is inserted like a miss. A filter that can't place a
 fingerprint is rebuilt at twice the size from the stored keys.
 
+Deletion takes rows: a digest's count goes down by the rows that leave, and the digest leaves the filter
+with its last one. Where the smallest id leaves and others stay, the smallest of those is looked up in
+the rows that are left, for these digests only.
+
 Defined results: null texts count as empty; empty texts are equal to each other; rows with a null id
 never stay beside a row that has one; rows that repeat the staying id are all marked kept; no rows give
 no rows; other columns are ignored.
@@ -27,6 +32,9 @@ from ipquarry.llm.common import few, fresh, held, stored, table, texts
 SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 4
 MAX_KICKS = 64
+#: Rows of a bucket, about, and bits of the bucket numbers.
+BUCKET_ROWS = 20_000
+LEAST_BITS, MOST_BITS = 12, 30
 
 
 class CuckooFilter:
@@ -118,17 +126,21 @@ class CuckooIndex:
         """The live entry of a digest, or None."""
         return self.content.get(digest) if digest in self.filter else None
 
-    def remove(self, digest: bytes) -> bool:
-        """False if the digest isn't live."""
-        if digest not in self.filter or digest not in self.content:
+    def remove(self, digest: bytes, rows: int | None = None) -> bool:
+        """Takes rows of a digest away, by default all; with the last one it goes. False if it isn't live."""
+        if digest not in self.filter or (entry := self.content.get(digest)) is None:
             return False
+        if rows is not None and rows < entry[1]:
+            entry[1] -= rows
+            return True
         del self.content[digest]
         return self.filter.delete(digest)
 
     def pack(self) -> dict:
         return {
             "n_buckets": self.filter.n, "cells": self.filter.cells.tobytes(), "digests": b"".join(self.content),
-            "keep_ids": [x[0] for x in self.content.values()], "sizes": [x[1] for x in self.content.values()],
+            "keep_ids": np.array([x[0] or 0 for x in self.content.values()], "<i8").tobytes(), "known": bytes(x[0] is not None for x in self.content.values()),
+            "sizes": np.array([x[1] for x in self.content.values()], "<i8").tobytes(),
         }
 
     @classmethod
@@ -136,7 +148,8 @@ class CuckooIndex:
         out = cls(1)
         out.filter = CuckooFilter(int(row["n_buckets"]), bytes(row["cells"]))
         keys = bytes(row["digests"])
-        out.content = {keys[32 * i : 32 * i + 32]: [k, int(n)] for i, (k, n) in enumerate(zip(row["keep_ids"], row["sizes"], strict=True))}
+        ids, sizes = (np.frombuffer(row[c], "<i8").tolist() for c in ("keep_ids", "sizes"))
+        out.content = {keys[32 * i : 32 * i + 32]: [k if known else None, n] for i, (k, known, n) in enumerate(zip(ids, bytes(row["known"]), sizes, strict=True))}
         return out
 
 
@@ -152,18 +165,27 @@ def digest_of(text: str | None) -> bytes:
     return hashlib.sha256(re.sub(SPACE, " ", text or "").encode()).digest()
 
 
-def _condensed(batches):
+def bucket_bits(rows: int) -> int:
+    """Bits of the bucket numbers for so many rows."""
+    return min(MOST_BITS, max(LEAST_BITS, (rows // BUCKET_ROWS).bit_length()))
+
+
+def _condensed(bits: int):
     """One row for each digest of a batch: (bucket, digest, keep_id, rows)."""
-    for batch in batches:
-        if batch.num_rows:
-            got = pa.Table.from_batches([batch]).group_by("digest").aggregate([("doc_id", "min"), ("doc_id", "count"), ("digest", "count")])
-            keys = got["digest"].combine_chunks().cast(pa.binary())
-            bucket = pa.array([int.from_bytes(x[:2], "big") for x in keys.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([bucket, keys, got["doc_id_min"].combine_chunks(), got["digest_count"].combine_chunks()], ["bucket", "digest", "keep_id", "rows"])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                got = pa.Table.from_batches([batch]).group_by("digest").aggregate([("doc_id", "min"), ("digest", "count")])
+                keys = got["digest"].combine_chunks().cast(pa.binary())
+                bucket = pa.array([int.from_bytes(x[:4], "big") >> (32 - bits) for x in keys.to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([bucket, keys, got["doc_id_min"].combine_chunks(), got["digest_count"].combine_chunks()], ["bucket", "digest", "keep_id", "rows"])
+
+    return run
 
 
 CONDENSED = "bucket int, digest binary, keep_id long, rows long"
-INDEX = "bucket int, n_buckets int, cells binary, digests binary, keep_ids array<long>, sizes array<long>"
+INDEX = "bucket int, bits int, n_buckets int, cells binary, digests binary, keep_ids binary, known binary, sizes binary"
 
 
 def _indexes(batches):
@@ -186,60 +208,92 @@ def _groups(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x[0] for x in entries], pa.int64()), pa.array([x[1] for x in entries], pa.int64())], ["digest", "keep_id", "group_size"])
 
 
-def _packed(batches):
-    for bucket, index in _indexes(batches):
-        yield pa.RecordBatch.from_pylist([{"bucket": bucket} | index.pack()], pa.schema([("bucket", pa.int32()), ("n_buckets", pa.int32()), ("cells", pa.binary()), ("digests", pa.binary()), ("keep_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]))
+def _packed(bits: int):
+    shape = pa.schema([("bucket", pa.int32()), ("bits", pa.int32()), ("n_buckets", pa.int32()), ("cells", pa.binary()), ("digests", pa.binary()), ("keep_ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary())])
 
+    def run(batches):
+        for bucket, index in _indexes(batches):
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "bits": bits} | index.pack()], shape)
 
-def _bucketed(found: DataFrame) -> DataFrame:
-    return found.mapInArrow(_condensed, CONDENSED).repartition("bucket").sortWithinPartitions("bucket")
+    return run
+
+
+def _changes(found: DataFrame, bits: int) -> DataFrame:
+    return found.select("doc_id", "digest").mapInArrow(_condensed(bits), CONDENSED)
 
 
 def groups(found: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of (doc_id, digest) rows, resolved by the buckets' indexes."""
-    return _bucketed(found.select("doc_id", "digest")).mapInArrow(_groups, "digest binary, keep_id long, group_size long")
+    rows = _changes(found, bucket_bits(found.count()))
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "digest binary, keep_id long, group_size long")
+
+
+def build_index(docs: DataFrame, rows: int | None = None) -> DataFrame:
+    """The index of a corpus as a table, one row per bucket (see INDEX); rows: how many it's laid out for, by default its own."""
+    bits = bucket_bits(docs.count() if rows is None else rows)
+    return _changes(digests(docs), bits).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_packed(bits), INDEX)
+
 
+def _bits(index: DataFrame) -> int:
+    first = index.select("bits").first()
+    return bucket_bits(0) if first is None else first["bits"]
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The index of a corpus as a table, one row per bucket (see INDEX)."""
-    return _bucketed(digests(docs).select("doc_id", "digest")).mapInArrow(_packed, INDEX)
 
+def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, left: DataFrame) -> DataFrame:
+    """The index after the rows of deletes have gone and those of inserts have come.
 
-def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """The index after the texts of deletes have gone and those of inserts have come."""
+    Both, and left, the rows of the corpus without those that have gone, are (doc_id, text); of left only
+    texts are used that lose their smallest id. Rows of deletes have to be rows of the corpus; those whose
+    text isn't live are ignored.
+    """
     import pandas as pd
 
+    bits = _bits(index)
+    gone = _changes(digests(deletes), bits)
+    out_of = held(lookup_digests(index, gone).join(digests(deletes).select("digest", F.col("doc_id").alias("gone_id")), "digest").where(F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("digest").distinct())
+    next_ids = digests(left).join(few(out_of), "digest", "left_semi")
+    found = _changes(next_ids, bits).groupBy("bucket", "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("rows").alias("rows"))
+
     def change(key, old, new):
         at = CuckooIndex.unpack(old.iloc[0]) if len(old) else CuckooIndex()
-        for digest in new.loc[new["gone"], "digest"]:
-            at.remove(bytes(digest))
-        for digest, keep, rows in new.loc[~new["gone"], ["digest", "keep_id", "rows"]].itertuples(index=False):
+        kind = {k: new[new["kind"] == k] for k in range(3)}
+        for digest, rows in kind[0][["digest", "rows"]].itertuples(index=False):
+            at.remove(bytes(digest), int(rows))
+        for digest, keep in kind[1][["digest", "keep_id"]].itertuples(index=False):
+            if (entry := at.find(bytes(digest))) is not None:
+                entry[0] = None if pd.isna(keep) else int(keep)
+        for digest, keep, rows in kind[2][["digest", "keep_id", "rows"]].itertuples(index=False):
             at.add(bytes(digest), None if pd.isna(keep) else int(keep), int(rows))
-        return pd.DataFrame([{"bucket": int(key[0])} | at.pack()])
+        return pd.DataFrame([{"bucket": int(key[0]), "bits": bits} | at.pack()])
 
-    changes = digests(inserts).select("doc_id", "digest").mapInArrow(_condensed, CONDENSED).withColumn("gone", F.lit(False))
-    changes = changes.unionByName(digests(deletes).select("doc_id", "digest").mapInArrow(_condensed, CONDENSED).withColumn("gone", F.lit(True)))
+    changes = gone.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1))).unionByName(_changes(digests(inserts), bits).withColumn("kind", F.lit(2)))
+    changes = changes.withColumn("keep_id", F.col("keep_id").cast("decimal(19,0)"))  # pandas makes floats of longs with nulls
     return index.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInPandas(change, INDEX)
 
 
-def lookup(index: DataFrame, docs: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of those texts of docs that are live in the index."""
-    import pandas as pd
+def lookup_digests(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of those digests of asked, (bucket, digest) rows, that are live in the index."""
+
+    def look(old, asked):
+        import pandas as pd
 
-    def look(key, old, asked):
         if not len(old):
             return pd.DataFrame({"digest": [], "keep_id": pd.array([], "Int64"), "group_size": []})
         at = CuckooIndex.unpack(old.iloc[0])
         hits = [(bytes(d), e) for d in dict.fromkeys(map(bytes, asked["digest"])) if (e := at.find(d)) is not None]
         return pd.DataFrame({"digest": [d for d, _ in hits], "keep_id": pd.array([e[0] for _, e in hits], "Int64"), "group_size": [e[1] for _, e in hits]})
 
-    asked = digests(docs).select("doc_id", "digest").mapInArrow(_condensed, CONDENSED)
-    return index.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(look, "digest binary, keep_id long, group_size long")
+    return index.groupBy("bucket").cogroup(asked.select("bucket", "digest").groupBy("bucket")).applyInPandas(look, "digest binary, keep_id long, group_size long")
+
+
+def lookup(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of those texts of docs that are live in the index."""
+    return lookup_digests(index, _changes(digests(docs), _bits(index)))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = stored(digests(docs), "digests")
+    found = stored(digests(docs), "digests")  # its rows are counted, moved and joined
     # The join's shuffles are its own, so that adaptive execution can split the partition of a hot digest.
     out = found.join(groups(found), "digest")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -77,11 +77,50 @@ def test_false_hits_are_verified():
 
 def test_index_updates(spark):
     first, second, third = (docs_of(spark, list(enumerate(x))) for x in (["a", "b", "c"], ["d", "a"], ["b", "zz"]))
-    index = exact_dedup.update_index(exact_dedup.build_index(first), second, third)
+    index = exact_dedup.update_index(exact_dedup.build_index(first), second, docs_of(spark, [(1, "b"), (9, "zz")]), docs_of(spark, [(0, "a"), (2, "c")]))
     found = {bytes(r["digest"]): r["group_size"] for r in exact_dedup.lookup(index, docs_of(spark, list(enumerate("abcde")))).collect()}
     assert found == {exact_dedup.digest_of(t): n for t, n in (("a", 2), ("c", 1), ("d", 1))}
 
 
+@pytest.mark.parametrize("bits", [1, 12])
+def test_index_against_brute_force(spark, monkeypatch, bits):
+    """Inserts and deletes of rows with repeated texts, repeated ids and null ids."""
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", bits)
+    rng = random.Random(bits)
+    big = 1 << 60
+    row = lambda: (rng.choice([None, big + rng.randrange(40), rng.randrange(40)]), rng.choice(["a", "b ", "b\t", "c", "", None, "d d", "d  d"]) if rng.random() < 0.7 else f"t{rng.randrange(30)}")
+    live = [row() for _ in range(60)] + [(3, "a"), (3, "a")]
+    index = exact_dedup.build_index(docs_of(spark, live))
+    for _ in range(2):
+        rng.shuffle(live)
+        cut = rng.randrange(5, 30)
+        gone, left = live[:cut], live[cut:]
+        new = [row() for _ in range(rng.randrange(0, 20))]
+        missing = [(7, "never there")]
+        index = exact_dedup.update_index(index, docs_of(spark, new), docs_of(spark, gone + missing), docs_of(spark, left))
+        index = exact_dedup.stored(index, "index")
+        live = left + new
+        want = defaultdict(list)
+        for i, t in live:
+            want[exact_dedup.digest_of(t)].append(i)
+        got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.lookup(index, docs_of(spark, live + gone)).collect()}
+        assert got == {d: (min((x for x in ids if x is not None), default=None), len(ids)) for d, ids in want.items()}
+
+
+def test_removing_some_rows_of_a_digest():
+    index = exact_dedup.CuckooIndex()
+    key = bytes(32)
+    index.add(key, 5, 3)
+    assert index.remove(key, 2) and index.find(key) == [5, 1]
+    assert index.remove(key, 1) and index.find(key) is None and not index.remove(key)
+
+
+def test_buckets_follow_the_rows():
+    assert exact_dedup.bucket_bits(0) == exact_dedup.bucket_bits(10**6) == exact_dedup.LEAST_BITS
+    for rows in (10**9, 10**12):
+        assert rows / 2 ** exact_dedup.bucket_bits(rows) <= exact_dedup.BUCKET_ROWS
+
+
 def oracle(rows, k, p, q):
     sets = []
     for _, text in rows:

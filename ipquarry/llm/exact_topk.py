@@ -1,17 +1,18 @@
 """Exact top-k search by tiled integer matrix products.
 
 Every component x becomes floor(1024 * x). Queries are taken in blocks whose size in bytes is bounded
-(QUERY_BYTES) and broadcast block by block; every task multiplies a block with the tiles of its shard of
-vectors, selects partially in each tile and merges into one running top list per query. The lists of
-the tasks are merged in a tree: FAN_IN lists at a time, grouped by query, until one is left.
+(QUERY_BYTES); one block is broadcast at a time, and its lists are stored. Every task multiplies a block
+with the tiles of its shard of vectors, selects partially in each tile and merges into one running top list
+per query. The lists of the tasks are merged in a tree: FAN_IN lists at a time, grouped by query, until one
+is left.
 
 Products are exact: float64 while every sum stays below 2 ** 53, Python integers beyond that.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither do
-rows with a null id or vectors of another length than the query's; a query isn't its own candidate, nor
-are other rows that repeat its id; repeated rows are candidates each and may repeat in the list; equal
-scores go to the smaller id. No vectors, or no queries, give no rows. Scores beyond a long
-count as the nearest long.
+rows with a null id or vectors of another length than the query's; of rows that repeat a query's id the
+one with the least vector asks; a query isn't its own candidate, nor are other rows that repeat its id;
+repeated rows are candidates each and may repeat in the list; equal scores go to the smaller id. No vectors,
+or no queries, give no rows. Scores beyond a long count as the nearest long.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ipquarry.llm.common import table
+from ipquarry.llm.common import new_folder, table
 
 SCALE = 1024
 #: Most bytes of a broadcast block of queries.
@@ -36,27 +37,22 @@ _LONG = (1 << 63) - 1
 LISTS = "chunk long, part long, queries binary, scores binary, ids binary"
 
 
-def _vectors(batch) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and scaled vectors of the rows that take part."""
-    ids, kept = [], []
-    for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-        if i is None or not x.is_valid or x.values.null_count:
-            continue
-        v = np.floor(SCALE * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-        if np.isfinite(v).all():
-            ids.append(i)
-            kept.append(v)
-    return np.array(ids, np.int64), kept
-
-
-def _by_length(ids, vectors):
-    """The same as {length: (ids sorted, matrix)}."""
-    out: dict[int, list[int]] = {}
-    for r, v in enumerate(vectors):
-        out.setdefault(len(v), []).append(r)
-    for n, rows in out.items():
-        order = np.array(rows)[np.argsort(ids[rows], kind="stable")]
-        yield n, ids[order], np.stack([vectors[r] for r in order]) if n else np.zeros((len(order), 0))
+def _vectors(batch):
+    """{length: (ids sorted, matrix)} of the rows that take part, with scaled components."""
+    ids, column = batch.column("vec_id"), batch.column("embedding")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    start = np.asarray(column.offsets).astype(np.int64)
+    flat = column.values.cast(pa.float64())
+    flat = np.floor(SCALE * flat.fill_null(np.nan).to_numpy(zero_copy_only=False))
+    wrong = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    use = (wrong[start[1:]] == wrong[start[:-1]]) & column.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+    size = np.diff(start)
+    own = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for n in np.unique(size[use]).tolist():
+        rows = np.nonzero(use & (size == n))[0]
+        rows = rows[np.argsort(own[rows], kind="stable")]
+        yield n, own[rows], flat[start[rows][:, None] + np.arange(n)]
 
 
 def product(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
@@ -115,7 +111,7 @@ def _search(block: bytes, k: int):
         ids, matrix = pickle.loads(block.value)
         lists, part = Lists(ids, k), TaskContext.get().partitionId()
         for batch in batches:
-            for n, own, vectors in _by_length(*_vectors(batch)):
+            for n, own, vectors in _vectors(batch):
                 if n != matrix.shape[1]:
                     continue
                 for at in range(0, len(own), TILE):
@@ -161,27 +157,31 @@ def _merge(k: int, fan: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of vectors for each of queries (both vec_id, embedding)."""
+    """query_id, rank, vec_id, score: the k best of vectors for each of queries (both vec_id, embedding).
+
+    The queries are gone through in blocks. Each is broadcast, its lists are written to the shared folder, and it's
+    taken back before the next one, so driver and executors hold one, and plans stay as long as one block's.
+    """
     import pickle
 
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
+    queries = queries.where("not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     most = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
     per_block = max(1, query_bytes // (8 * max(most, 1)))
-    blocks = _blocks(queries, per_block)
     parts = vectors.rdd.getNumPartitions()
-    out = None
-    for block in blocks:
-        ids, kept = _vectors(block)
-        for _, own, matrix in _by_length(ids, kept):
-            own, at = np.unique(own, return_index=True)  # of rows that repeat an id one asks
-            found = vectors.mapInArrow(_search(spark.sparkContext.broadcast(pickle.dumps((own, matrix[at]))), k), LISTS)
+    folder = new_folder(spark, "top_lists")
+    for block in _blocks(queries, per_block):
+        for _, own, matrix in _vectors(block):
+            sent = spark.sparkContext.broadcast(pickle.dumps((own, matrix)))  # query_bytes
+            found = vectors.mapInArrow(_search(sent, k), LISTS)
             left = parts
             while left > 1:
                 left = -(-left // FAN_IN)
                 found = found.groupBy("chunk", (F.col("part") % left).alias("to")).applyInPandas(_merge(k, FAN_IN), LISTS)
-            out = found if out is None else out.unionByName(found)
+            found.write.mode("append").parquet(folder)
+            sent.destroy()
 
     def rows(batches):
         for batch in batches:
@@ -191,7 +191,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(i), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
 
     shape = "query_id long, rank int, vec_id long, score long"
-    return spark.createDataFrame([], shape) if out is None else out.mapInArrow(rows, shape)
+    spark.createDataFrame([], LISTS).write.mode("append").parquet(folder)  # there may be no query at all
+    return spark.read.schema(LISTS).parquet(folder).mapInArrow(rows, shape)
 
 
 def _blocks(queries: DataFrame, per_block: int):

@@ -28,15 +28,61 @@ from ipquarry.llm.common import table, texts, trim
 #: Phrase, label.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
+#: The wordings of licences and of the notices that their publishers ask for.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this {{3}} [[and associated documentation files]]
+[[(the "{{1}}")]], to deal in the {{1}} without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the {{1}}, and to permit persons to whom the {{1}} is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all
+copies or substantial portions of the {{1}}. THE {{1}} IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {{8}} BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE {{1}} OR THE USE OR OTHER DEALINGS IN THE {{1}}."""
+_ISC = """Permission to use, copy, modify, [[and]] [[or]] distribute this software [[and its documentation]] for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS"
+AND {{8}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+SHALL {{8}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
+OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+_BSD_GRANT = """Redistribution and use [[of this software]] in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: [[1|a]] Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. [[2|b]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. """
+_BSD_NAMES = """[[3|c]] Neither the name of {{12}} nor the names of {{3}} contributors may be used to endorse or promote products derived from this
+software without specific prior written permission. """
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY
+OF SUCH DAMAGE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this {{2}} except in compliance with the License. You may
+obtain a copy of the License at [[http|https]] www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at [[http|https]] [[www]] mozilla.org/MPL/2.0 [[This Source Code Form is "Incompatible With Secondary Licenses", as defined
+by the Mozilla Public License, v. 2.0.]]"""
+_GNU = """is free software; you can redistribute it and/or modify it under the terms of the GNU NAME General Public License as published by the Free
+Software Foundation, [[either]] version {{2}} of the License[[, or (at your option) any later version|only]]. {{6}} is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+the GNU NAME General Public License for more details. [[You should have received a copy of the GNU NAME General Public License along with {{4}}
+[[If not, see [[http|https]] [[www]] gnu.org/licenses]] ]]"""
+
 #: label, template
 TEMPLATES = [
     ("mit-notice", "[[this [[software|work|project|program|code]] is]] [[released|licensed|distributed|available]] under the [[terms of the]] mit license"),
-    ("mit-text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this {{3}} [[and associated documentation files]] [[(the "Software")]], to deal in the {{2}} without restriction'),
+    ("mit-text", _MIT),
+    ("isc-text", _ISC),
     ("apache-2.0-notice", 'Licensed under the Apache License, [[Version]] 2.0 [[(the "License")]] [[you may not use this {{2}} except in compliance with the License]] [[You may obtain a copy of the License at {{12}} licenses license 2.0]]'),
+    ("apache-2.0-text", _APACHE),
+    ("mpl-2.0-text", _MPL),
     ("gpl-notice", "[[this [[work|program|software]] is]] [[licensed|released|distributed]] under the [[terms of the]] gnu [[lesser|affero]] general public license [[as published by the free software foundation]] [[either]] [[version {{1}} [[0]] [[of the license]]]] [[or at your option any later version]]"),
-    ("gpl-text", "is free software you can redistribute it and or modify it under the terms of the gnu [[lesser|affero]] general public license as published by the free software foundation"),
+    ("gpl-text", _GNU.replace("NAME ", "")),
+    ("lgpl-text", _GNU.replace("NAME", "Lesser")),
+    ("agpl-text", _GNU.replace("NAME", "Affero")),
     ("cc-notice", "[[this {{2}} is]] licensed under [[a|the]] [[creative commons]] cc by [[nc]] [[nd|sa]] {{1}} [[0]] [[international|unported]] [[license]]"),
-    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-text", _BSD_GRANT + _BSD_WARRANTY),
+    ("bsd-3-text", _BSD_GRANT + _BSD_NAMES + _BSD_WARRANTY),
     ("copyright-notice", "copyright [[c]] {{8}} all rights reserved"),
 ]
 

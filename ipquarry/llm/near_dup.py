@@ -22,7 +22,10 @@ in common, and that the wide sketches leave a chance, is compared on the shingle
 once. A tile adds up every set's links, and lists a link only where it joins two components, so the links
 of every document are counted and the pairs of a component are never listed.
 
-Sets are known by a 64-bit digest, which copies share: what is shuffled is sets, not documents.
+Sets are known by a 64-bit digest, which copies share: what is shuffled is sets, not documents. A second
+64-bit digest goes with every document; sets that have the first in common but not the second are found
+before anything is joined, and the join begins again with the second one standing for those. Shingles are
+64-bit hashes, compared within a pair of sets only.
 
 Defined results: null texts count as empty; texts without words have an empty set and link with nothing;
 texts with fewer words than a shingle have the whole sequence as their one shingle; copies are linked;
@@ -80,10 +83,20 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(len(per) + 1))
 
 
-def digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each row's set, as signed integers."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)))])
-    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
+def digests(h: np.ndarray, bounds: np.ndarray, moved: np.ndarray | None = None, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each row's set, as signed integers.
+
+    Where the first, of which so many bits are used, is among the sorted ones in moved, it's the second too.
+    """
+
+    def of(salt: int) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))])
+        return mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.diff(bounds).astype(np.uint64)))
+
+    first, second = (of(0x2545F4914F6CDD1D) >> np.uint64(64 - bits)).view(np.int64), of(0x6A09E667F3BCC909).view(np.int64)
+    if moved is not None and len(moved):
+        first = np.where(np.isin(first, moved), second, first)
+    return first, second
 
 
 @functools.lru_cache(8)
@@ -136,8 +149,8 @@ def signatures(h: np.ndarray, bounds: np.ndarray, similarity: tuple[int, int]) -
 
 # signatures that meet
 
-KINDS = "kind int, bucket int, doc_id long, node long, n long, data binary"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+KINDS = "kind int, bucket int, doc_id long, key long, node long, second long, n long, data binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((name, pa.int64()) for name in ("doc_id", "key", "node", "second", "n")), ("data", pa.binary())])
 _DOCUMENT, _SIGNATURES, _STARS = 0, 1, 2
 _PAIRS = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -173,10 +186,10 @@ def _read(data: bytes):
 
 def _rows(kind: int, bucket, data) -> pa.RecordBatch:
     n = len(data)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(data, pa.binary())], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array(data, pa.binary())], schema=_SCHEMA)
 
 
-def _emit(k: int, similarity: tuple[int, int], buckets: int):
+def _emit(k: int, similarity: tuple[int, int], buckets: int, moved: np.ndarray, bits: int):
     def flush(held):
         sig, node, own = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
@@ -194,9 +207,10 @@ def _emit(k: int, similarity: tuple[int, int], buckets: int):
             column = batch.column("text")
             for at, n in slices(column, WINDOW):
                 h, bounds = shingles(column.slice(at, n), k)
-                node, count = digests(h, bounds), np.diff(bounds)
+                (node, second), count = digests(h, bounds, moved, bits), np.diff(bounds)
                 wide, at_ = sketches(h, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array([_DOCUMENT] * n, pa.int32()), pa.array([-1] * n, pa.int32()), batch.column("doc_id").slice(at, n), pa.array(node, mask=count == 0), pa.array(count), pa.array([wide[a:b].tobytes() for a, b in zip(at_, at_[1:], strict=False)], pa.binary())], schema=_SCHEMA)
+                columns = [batch.column("doc_id").slice(at, n), batch.column("key").slice(at, n), pa.array(node, mask=count == 0), pa.array(second), pa.array(count), pa.array([wide[a:b].tobytes() for a, b in zip(at_, at_[1:], strict=False)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([_DOCUMENT] * n, pa.int32()), pa.array([-1] * n, pa.int32()), *columns], schema=_SCHEMA)
                 fresh = [i for i, (x, c) in enumerate(zip(node.tolist(), count.tolist(), strict=True)) if c and not (x in seen or seen.add(x))]
                 if not fresh:
                     continue
@@ -245,13 +259,13 @@ def _meet(key, table):
 # verification
 
 
-def _sets(k: int):
+def _sets(k: int, moved: np.ndarray, bits: int):
     def run(batches):
         for batch in batches:
             column = batch.column("text")
             for at, n in slices(column, WINDOW):
                 h, bounds = shingles(column.slice(at, n), k)
-                yield pa.RecordBatch.from_arrays([pa.array(digests(h, bounds)), pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests(h, bounds, moved, bits)[0]), pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["node", "members"])
 
     return run
 
@@ -478,33 +492,53 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str, str]) ->
     return pairs.join(of("b", 2), "b").join(of("a", 1), "a").select("a", "b", *(c[k] for c in columns for k in (1, 2)))
 
 
-def _members(rows: DataFrame, documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _members(rows: DataFrame, documents: DataFrame, nodes: DataFrame, sets_of) -> DataFrame:
     """(node, members) of nodes, from the text of one document each."""
     wanted = documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     wanted = held(wanted.select("id").distinct())
     again = rows.join(few(wanted), rows.doc_id.eqNullSafe(wanted.id), "left_semi")
-    sets = again.select("text").mapInArrow(_sets(k), "node long, members binary").join(nodes, "node", "left_semi")
+    sets = again.select("text").mapInArrow(sets_of, "node long, members binary").join(nodes, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
     wanted.unpersist()
     return sets
 
 
-def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, node, n; links: a, b of verified sets, enough for every component; roots: node, root;
-    counts: node, n_links: how many documents of other sets link with it, over all pairs; none is without a row)."""
+def _emitted(rows: DataFrame, k: int, similarity: tuple[int, int], buckets: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """(signatures and stars; documents; sketches; first digests that second ones stand for)."""
+    spark, moved = rows.sparkSession, np.zeros(0, np.int64)
+    while True:
+        emitted = stored(rows.mapInArrow(_emit(k, similarity, buckets, moved, bits), KINDS), "signatures")
+        of_documents = emitted.where(f"kind = {_DOCUMENT}")
+        sketched = of_documents.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("sketch"), F.count("*").alias("copies"), (F.min("second") != F.max("second")).alias("clash"))
+        sketched = stored(sketched, "sketches")
+        # of N sets some N ** 2 / 2 ** 65
+        clashes = np.array([r["node"] for r in sketched.where("clash").select("node").collect()], np.int64)
+        if not len(clashes):
+            return emitted, stored(of_documents.select("doc_id", "key", "node", "n"), "sets_of_documents"), sketched, moved
+        if np.isin(clashes, moved).all():
+            raise ValueError("sets that differ have both digests in common")
+        moved = np.union1d(moved, clashes)
+        drop(spark, emitted)
+        drop(spark, sketched)
+
+
+def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, digest_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, key, node, n; links: a, b of verified sets, enough for every component; roots: node, root;
+    counts: node, n_links: how many documents of other sets link with it, over all pairs; none is without a row).
+
+    key is a hash of the text, by which rows that repeat an id are told apart.
+    """
     spark = docs.sparkSession
-    rows = texts(docs)
+    rows = texts(docs).withColumn("key", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    emitted = stored(rows.mapInArrow(_emit(k, similarity, buckets), KINDS), "signatures")
-    of_documents = emitted.where(f"kind = {_DOCUMENT}")
-    documents = stored(of_documents.select("doc_id", "node", "n"), "sets_of_documents")
-    sketched = stored(of_documents.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("sketch"), F.count("*").alias("copies")), "sketches")
+    emitted, documents, sketched, moved = _emitted(rows, k, similarity, buckets, digest_bits)
+    sets_of = _sets(k, moved, digest_bits)
     met = stored(emitted.where(f"kind <> {_DOCUMENT}").select("kind", "bucket", "data").groupBy("bucket").applyInArrow(_meet, "sig long, a long, b long"), "stars")
     drop(spark, emitted)
     near = _both(met.select("a", "b").distinct(), sketched, ("n", "n", "m"), ("sketch", "x", "y")).mapInArrow(_near(similarity), "a long, b long")
     near = held(near)
-    sets = _members(rows, documents, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k)
+    sets = _members(rows, documents, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets_of)
     links = stored(_both(near, sets, ("members", "x", "y")).mapInArrow(_verified(similarity), "a long, b long"), "links")
     drop(spark, sets)
     roots = stored(components(links), "roots")
@@ -531,7 +565,7 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     ends = two.select("a", "b").union(two.select("b", "a")).toDF("node", "other")
     counts = ends.join(sketched.select(F.col("node").alias("other"), F.col("copies").alias("n")), "other").select("node", "n")
     if not tiled.isEmpty():
-        sets = _members(rows, documents, tiled.select("node").distinct(), k)
+        sets = _members(rows, documents, tiled.select("node").distinct(), sets_of)
         again = tiled.join(of_sets.select("node", "copies", "root", "signatures"), "node").join(sets, "node")
         again = again.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         more = stored(again.select("sig", "i", "j", "tile", "node", "copies", "root", "signatures", "members").mapInArrow(_counting(similarity), "a long, b long, n long"), "more_links")
@@ -549,9 +583,9 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     return documents, links, roots, counts
 
 
-def link_counts(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, digest_bits: int = 64) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, n_links: how many other documents it links with."""
-    documents, _, roots, counts = join(docs, k, similarity)
+    documents, _, roots, counts = join(docs, k, similarity, digest_bits)
     per_set = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = per_set.select("node", "root", "copies").join(ids, "root").join(counts, "node", "left")
@@ -561,17 +595,26 @@ def link_counts(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = S
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id."""
-    return link_counts(docs, k, similarity).drop("n_links")
-
-
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component by id."""
-    found = near_duplicates(docs, k, similarity)
-    name = fresh(docs, "gone")
-    gone = held(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(few(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """The rows of docs that stay, with all their columns: one of each component, and all without words.
+
+    It's the row with the smallest id; a null id comes after all others, and of equal ids the text decides.
+    """
+    documents, _, roots, _ = join(docs, k, similarity)
+    rooted = documents.where("node is not null").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    groups = rooted.groupBy("root").agg(first, F.count("*").alias("rows")).where("rows > 1")
+    judged = rooted.join(groups, "root").groupBy("doc_id", "key").agg(F.any_value(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))).alias("kept"), F.count("*").alias("times"))
+    own, other, key = fresh(docs, "text_key"), fresh(docs, "other_id"), fresh(docs, "other_key")
+    odd = stored(judged.where("not kept or times > 1"), "judged")
+    gone, again = (odd.where(test).select(F.col("doc_id").alias(other), F.col("key").alias(key)) for test in ("not kept", "kept"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(key))
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = marked.join(few(gone), same, "left_anti")
+    if not again.isEmpty():
+        once = out.join(few(again), same, "left_semi").dropDuplicates(["doc_id", own])
+        out = out.join(few(again), same, "left_anti").unionByName(once)
+    return out.drop(own)
 
 
 QUERIES = {"op9_ngram_jaccard": lambda spark, sf_dir: near_duplicates(table(spark, sf_dir, "documents"), 3, (90, 100))}
@@ -585,8 +628,9 @@ s AS MATERIALIZED (
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 link AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+links AS (SELECT a, count(*) AS n_links FROM link GROUP BY a),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
-FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, coalesce(any_value(links.n_links), 0) AS n_links
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN links ON links.a = d.doc_id GROUP BY d.doc_id, n.n
 """
 }

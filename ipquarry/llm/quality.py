@@ -10,12 +10,13 @@ lengths, then by a learned tanh layer. Gated attention weighs the passages,
 and all parameters are learned from the labels of documents by Adam on the log loss. Weights depend on
 the passage, so a document that is clean for a page and junk for ten is told from one that isn't.
 
-Fitting uses at most MAX_TRAIN labelled documents, the ones with the smallest hash of their id, and every
-passage of each; the bound concerns fitting only. Scoring reads every passage of every document. Only the
-text is an input.
+Fitting uses at most MAX_TRAIN labelled rows, the ones with the smallest hash of their id, as far as their
+texts come to MAX_TRAIN_BYTES together, and every passage of each; the bounds concern fitting only. Scoring
+reads every passage of every document. Only the text is an input.
 
 Defined results: null texts count as empty; an empty text is one passage of zeros and gets a score like
 any other; null or unknown labels aren't learned from; an id that has both labels is learned with both;
+of rows of documents that repeat an id, the one with the least text is learned from;
 rows with a null id are never learned from (held_out is true); with no usable label, or only one kind,
 the score is the share of label 1 (0.5 without labels); repeated rows repeat; other columns are ignored.
 """
@@ -34,7 +35,8 @@ from ipquarry.llm.wordhash import WINDOW, buffer, slices, words
 
 PASSAGE = 64
 THRESHOLD = 0.3
-MAX_TRAIN = 6000
+#: Labelled rows that are learned from, and bytes of their texts, at most; the first row is taken whatever its length.
+MAX_TRAIN, MAX_TRAIN_BYTES = 6000, 128 << 20
 WIDTH = 24
 EPOCHS = 30
 BATCH = 256
@@ -182,12 +184,21 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """A model from the labelled rows that aren't held out; the bound concerns fitting only."""
+def chosen(docs: DataFrame, labels: DataFrame, max_train: int, max_bytes: int) -> DataFrame:
+    """(doc_id, y) of the labelled rows that are learned from, max_train at most."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out()).dropDuplicates()
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "y").limit(max_train)
-    # at most max_train rows are broadcast
-    taken = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    ids = usable.orderBy(F.xxhash64("doc_id"), "y").limit(max_train)
+    sized = texts(docs).select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(ids), "doc_id")  # max_train rows
+    rows = sized.groupBy("doc_id", "y").agg(F.max("size").alias("size")).orderBy(F.xxhash64("doc_id"), "y").collect()
+    upto = np.cumsum([r["size"] for r in rows])
+    kept = [(r["doc_id"], r["y"]) for i, r in enumerate(rows) if not i or upto[i] <= max_bytes]
+    return docs.sparkSession.createDataFrame(kept, "doc_id long, y int")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+    """A model from the labelled rows that aren't held out; the bounds concern fitting only."""
+    taken = texts(docs).join(F.broadcast(chosen(docs, labels, max_train, max_bytes)), "doc_id")  # max_train rows
+    taken = taken.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -197,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
                 bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), batch.column("y").slice(at, n), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
-    rows = taken.mapInArrow(run, "doc_id long, y int, bag binary").orderBy("doc_id", "y", "bag").limit(2 * max_train).collect()
+    rows = taken.mapInArrow(run, "doc_id long, y int, bag binary").orderBy("doc_id", "y").collect()  # max_train rows
     bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, N_FEATURES) for r in rows]
     model = Model().fit(bags, np.array([r["y"] for r in rows], np.float32))
     del rows, bags

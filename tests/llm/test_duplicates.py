@@ -186,14 +186,14 @@ def test_join_against_brute_force(spark, k, p, q, monkeypatch):
     rng.shuffle(rows)
     monkeypatch.setattr(near_dup, "TILE", 16)
     monkeypatch.setattr(near_dup, "TILE_BYTES", 1 << 15)
-    got = near_dup.near_duplicates(docs_of(spark, rows), k, (p, q)).collect()
+    got = near_dup.near_duplicates(docs_of(spark, rows), k, (p, q)).drop("n_links").collect()
     assert sorted(tuple(r) for r in got) == sorted(oracle(rows, k, p, q))
 
 
 def test_join_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(None, long), (7, long), (7, long), (None, "alone here"), (None, None), (8, long + " x")]
-    got = sorted((tuple(r) for r in near_dup.near_duplicates(docs_of(spark, rows), 3, (90, 100)).collect()), key=repr)
+    got = sorted((tuple(r) for r in near_dup.near_duplicates(docs_of(spark, rows), 3, (90, 100)).drop("n_links").collect()), key=repr)
     assert got == sorted(oracle(rows, 3, 90, 100), key=repr)
     assert near_dup.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
     left = near_dup.drop_near_duplicates(docs_of(spark, [(1, long), (2, long + " y"), (3, "b"), (4, None)]))
@@ -201,6 +201,25 @@ def test_join_edge_rows(spark):
     assert left.columns == docs_of(spark, rows).columns
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated ids, and rows that repeat both an id and its text."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long + " x"), (7, long), (7, long), (7, long + " y"), (7, "other words here"), (8, "other words HERE"), (None, "alone here"), (None, "alone here"), (None, "alone too"), (9, ""), (9, "")]
+    left = near_dup.drop_near_duplicates(docs_of(spark, rows))
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert len([r for r in got if r[1].startswith("w0 ")]) == 1 and all(r[0] == 7 for r in got if r[1].startswith("w0 "))
+    assert [r for r in got if not r[1].startswith("w0 ")] == sorted([(7, "other words here"), (None, "alone here"), (None, "alone too"), (9, ""), (9, "")], key=repr)
+
+
+def test_sets_with_one_digest_in_common(spark):
+    """With digests of few bits different sets share them; the second digest tells them apart."""
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(120)]
+    rows = list(enumerate(texts + [t + " x" for t in texts[:30]] + texts[:20]))
+    got = near_dup.near_duplicates(docs_of(spark, rows), 3, (90, 100), digest_bits=8).drop("n_links").collect()
+    assert sorted(tuple(r) for r in got) == sorted(oracle(rows, 3, 90, 100))
+
+
 def test_sketches_bound_differences_from_below():
     import numpy as np
 
@@ -254,5 +273,5 @@ def test_links_against_brute_force(spark, k, p, q, monkeypatch):
     assert any(links[x] - links[y] - {y} for x in range(len(rows)) for y in links[x])  # not only cliques
     monkeypatch.setattr(near_dup, "TILE", 16)
     monkeypatch.setattr(near_dup, "TILE_BYTES", 1 << 15)
-    got = {r["doc_id"]: r["n_links"] for r in near_dup.link_counts(docs_of(spark, rows), k, (p, q)).collect()}
+    got = {r["doc_id"]: r["n_links"] for r in near_dup.near_duplicates(docs_of(spark, rows), k, (p, q)).collect()}
     assert got == {doc_id: len(own) for (doc_id, _), own in zip(rows, links)}

@@ -62,3 +62,23 @@ def test_same_query_in_many_rows(spark):
 
 def test_corpus_against_sql(spark):
     assert check(spark, "/root/testdata/sf0.001", T.QUERIES["op7_exact_topk"], T.ORACLE_SQL["op7_exact_topk"]) == 50
+
+
+def test_blocks_are_given_back(spark, monkeypatch):
+    """However many blocks there are, one broadcast is held at a time, and a query is asked once."""
+    sent, most = [], []
+    real = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        out = real(self, value)
+        sent.append(out)
+        destroy = out.destroy
+        out.destroy = lambda *a: (sent.remove(out), destroy(*a))
+        most.append(len(sent))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    rows = [(100 * (i % 20), [float(i % 20), 1.0]) for i in range(40)] + [(i, [1.0, float(i)]) for i in range(1, 9)]
+    got = run(spark, rows, 3, query_bytes=64)
+    assert got == oracle(rows, lambda i: i % 100 == 0, 3)
+    assert len(most) >= 5 and set(most) == {1} and not sent

@@ -63,26 +63,23 @@ def describe(seconds: int, fraction: float, found: list[bytes]) -> str:
     return f"{seconds + fraction:.6f} " + (" ".join(pairs) or "-")
 
 
-def _parsed(batches):
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            held: list[tuple] = []
-
-            def out(held):
-                texts, found = zip(*held)
-                return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(texts), pa.array(found, pa.list_(pa.string()))], ["path", "value", "texts"])
-
-            with lines.open_file(path) as source:
-                for seconds, fraction, data in packets(source):
-                    found = addresses(data)
-                    held.append((describe(seconds, fraction, found), [str(ipaddress.ip_address(a)) for a in found]))
-                    if len(held) == 4096:
-                        yield out(held)
-                        held = []
-            if held:
-                yield out(held)
-
-
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+def rows(path: str):
+    """(value, texts) of each packet of a file."""
+    with lines.open_file(path) as source:
+        for seconds, fraction, data in packets(source):
+            found = addresses(data)
+            yield describe(seconds, fraction, found), [str(ipaddress.ip_address(a)) for a in found]
+
+
+def _parsed(salvage: bool):
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield from lines.batched(path, rows(path), ("value", "texts"), (pa.string(), pa.list_(pa.string())), salvage)
+
+    return run
+
+
+def read(spark: SparkSession, paths: list[str], salvage: bool = False) -> DataFrame:
     """(path, value, texts): one row per packet; value is its time and addresses."""
-    return lines.paths_frame(spark, paths).mapInArrow(_parsed, "path string, value string, texts array<string>")
+    return lines.paths_frame(spark, paths).mapInArrow(_parsed(salvage), "path string, value string, texts array<string>")

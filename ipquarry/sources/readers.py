@@ -10,6 +10,7 @@ from __future__ import annotations
 import shutil
 import subprocess
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,15 +21,15 @@ from ipquarry.sources import lines, pcap
 
 #: Fixed value: the delimited forms of addresses in free text. One delimiter on either side is part of a
 #: match, so two addresses with one character between them give one match.
-_H = "[0-9A-Fa-f]"
-_N = "[^0-9A-Fa-f]"
-_IPV4_FORM = r"(?:[^0-9](?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})[^0-9])"
 TEXT_FORMS = (
-    _IPV4_FORM + rf"|(?:{_N}(?:(?:{_H}{{1,4}}:){{7}}{_H}{{1,4}}){_N})"
-    rf"|(?:{_N}(?:(?:{_H}{{1,4}}(?::{_H}{{1,4}})*)?::(?:{_H}{{1,4}}(?::{_H}{{1,4}})*)?){_N})"
-    rf"|(?:{_N}(?:(?:{_H}{{1,4}}:){{6,6}}[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+){_N})"
-    rf"|(?:{_N}(?:(?:{_H}{{1,4}}(?::{_H}{{1,4}})*)?::(?:{_H}{{1,4}}:)*[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+){_N})"
+    r"(?:[^0-9](?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})[^0-9])"
+    r"|(?:[^0-9A-Fa-f](?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})[^0-9A-Fa-f])"
+    r"|(?:[^0-9A-Fa-f](?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)[^0-9A-Fa-f])"
+    r"|(?:[^0-9A-Fa-f](?:(?:[0-9A-Fa-f]{1,4}:){6,6}[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)[^0-9A-Fa-f])"
+    r"|(?:[^0-9A-Fa-f](?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}:)*[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)[^0-9A-Fa-f])"
 )
+#: The first of them alone.
+IPV4_FORM = TEXT_FORMS[: TEXT_FORMS.index("|")]
 #: The address fields of JSON records.
 JSON_FIELDS = ("id.orig_h", "id.resp_h", "src", "dst")
 #: Files up to so many have the places of their columns broadcast, a row each.
@@ -40,13 +41,22 @@ RECORDS = "path string, value string, texts array<string>"
 
 @dataclass(frozen=True)
 class Reader:
-    """read: files -> RECORDS rows. literal: the predicate of a literal dump. bad: the test of a record that can't be read."""
+    """How a format is read.
+
+    read: files -> RECORDS rows; with salvage, damaged local files give what comes before the damage.
+    rows: what a task goes through to find a file's damage. literal: the predicate of a literal dump.
+    bad: the test of a record that can't be read. once: as read, in one pass over the files, where some of
+    the rows may be odd: files that have one have to be read again by read.
+    """
 
     name: str
-    read: Callable[[SparkSession, list[str]], DataFrame]
+    read: Callable[[SparkSession, list[str], bool], DataFrame]
     literal: Callable[[Column, str], Column] | None
     check: Callable[[], None] = lambda: None
     bad: Callable[[], Column] | None = None
+    rows: Callable[[str], Iterable] = lines.file_lines
+    once: Callable[[SparkSession, list[str]], DataFrame] | None = None
+    odd: Callable[[], Column] | None = None
 
 
 READERS: dict[str, Reader] = {}
@@ -74,8 +84,8 @@ def text_forms(value: Column | str) -> Column:
     """
     c = F.col(value) if isinstance(value, str) else value
     line = F.concat(c, F.lit("\n"))
-    every = c.contains("::") | (c.contains(":") & c.rlike(rf"(?:{_H}{{1,4}}:){{6}}"))
-    found = F.when(every, F.regexp_extract_all(line, F.lit(TEXT_FORMS), F.lit(0))).otherwise(F.regexp_extract_all(line, F.lit(_IPV4_FORM), F.lit(0)))
+    every = c.contains("::") | (c.contains(":") & c.rlike(r"(?:[0-9A-Fa-f]{1,4}:){6}"))
+    found = F.when(every, F.regexp_extract_all(line, F.lit(TEXT_FORMS), F.lit(0))).otherwise(F.regexp_extract_all(line, F.lit(IPV4_FORM), F.lit(0)))
     return F.transform(found, lambda m: F.substr(m, F.lit(2), F.length(m) - 2))
 
 
@@ -122,52 +132,97 @@ def _with_header(rows: DataFrame) -> DataFrame:
     return rows.select("path", "value", *_places("header")).select("path", "value", _cells().alias("texts"))
 
 
-def _read_tsv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    rows = lines.read(spark, paths)
-    # one row per file, as a rule; kept, as finding them takes a pass over the files
-    heads = headers(rows).persist()
-    # files whose header changes are few; only they are read with their lines in order
-    odd = {r["path"] for r in heads.groupBy("path").count().where("count > 1").select("path").collect()}
-    if not odd:
-        return from_tsv(rows, heads, len(paths))
-    # a file in a store that only Spark reads comes as one row; others a task reads line by line
-    remote = {p for p in odd if "://" in p and not p.startswith("file://")}
-    parts = []
-    if odd - remote:
-        parts.append(_ordered(spark, sorted(odd - remote)))
-    if remote:
-        parts.append(from_tsv_whole(lines.by_spark(spark, sorted(remote), whole=True)))
-    if even := [p for p in paths if p not in odd]:
-        parts.append(from_tsv(lines.read(spark, even), heads, len(even)))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+def first_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, header) of files that begin with a header, among lines that begin with #; only those lines are read."""
+
+    def of(source):
+        for raw in source:
+            line = raw.removesuffix(b"\n").decode("utf-8", "replace")
+            if line.startswith("#fields"):
+                return line
+            if not line.startswith("#"):
+                return None
+        return None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with lines.open_file(path) as source:
+                        header = of(source)
+                except lines.DAMAGE:  # reading the file shows it
+                    continue
+                if header is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([header])], ["path", "header"])
+
+    def remote(path):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            source = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            return of(x.encode() for x in iter(source.readLine, None))
+        finally:
+            stream.close()
+
+    far = [p for p in paths if lines.remote(p)]
+    near = [p for p in paths if not lines.remote(p)]
+    out = lines.paths_frame(spark, near).mapInArrow(run, "path string, header string") if near else spark.createDataFrame([], "path string, header string")
+    if far:
+        with ThreadPoolExecutor(16) as pool:
+            found = [(p, h) for p, h in zip(far, pool.map(remote, far), strict=True) if h is not None]
+        out = out.unionByName(spark.createDataFrame(found, out.schema))
     return out
 
 
-def _ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of files that a task reads in order."""
+def _tsv_once(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records by the header that each file begins with, and a row for every other header."""
+    places = first_headers(spark, paths).select("path", "header", *_places("header"))
+    rows = lines.read(spark, paths)
+    rows = rows.where(~F.col("value").startswith("#") | F.col("value").startswith("#fields"))
+    rows = rows.join(F.broadcast(places) if len(paths) <= FEW else places, "path", "left").where(~F.col("value").eqNullSafe(F.col("header")))
+    return rows.select("path", "value", F.when(~_is_header(), _cells()).alias("texts"))
 
-    def headed(batches):
-        import pyarrow as pa
 
+def _is_header() -> Column:
+    return F.col("value").startswith("#fields")
+
+
+def _read_tsv(spark: SparkSession, paths: list[str], salvage: bool = False) -> DataFrame:
+    """Records by the last header before each. Local files are read in order, each by a task, in one pass.
+
+    Files in a store that only Spark reads come as one row each.
+    """
+    far = [p for p in paths if lines.remote(p)]
+    near = [p for p in paths if not lines.remote(p)]
+    parts = [_ordered(spark, near, salvage)] if near else []
+    if far:
+        parts.append(from_tsv_whole(lines.by_spark(spark, far, whole=True)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _ordered(spark: SparkSession, paths: list[str], salvage: bool = False) -> DataFrame:
+    """Records of files that a task reads in order."""
+    import pyarrow as pa
+
+    def headed(path):
+        header = None
+        for raw in lines.file_lines(path):
+            line = raw.removesuffix(b"\n").decode("utf-8", "replace")
+            if line.startswith("#fields"):
+                header = line
+            elif not line.startswith("#"):
+                yield line, header
+
+    def run(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                header, held = None, []
-                with lines.open_file(path) as source:
-                    for raw in source:
-                        line = raw.removesuffix(b"\n").decode("utf-8", "replace")
-                        if line.startswith("#fields"):
-                            header = line
-                        elif not line.startswith("#"):
-                            held.append((path, line, header))
-                        if len(held) == 8192:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["path", "value", "header"])
-                            held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["path", "value", "header"])
-
-    return _with_header(lines.paths_frame(spark, paths).mapInArrow(headed, "path string, value string, header string"))
+                yield from lines.batched(path, headed(path), ("value", "header"), (pa.string(), pa.string()), salvage)
+
+    return _with_header(lines.paths_frame(spark, paths).mapInArrow(run, "path string, value string, header string"))
 
 
 # JSON lines
@@ -197,15 +252,15 @@ def from_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _tool(command: list[str], parse: Callable[[DataFrame], DataFrame], export: tuple[str, ...]):
-    """Reads files through a program, or, for those with an export's extension, the exported text itself."""
+    """read and rows of a Reader: through a program, or, for files with an export's extension, the exported text itself."""
+    exported = lambda path: path.removesuffix(".gz").endswith(export)
 
-    def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-        text = [p for p in paths if p.removesuffix(".gz").endswith(export)]
-        raw = [p for p in paths if p not in set(text)]
-        rows = lines.read(spark, text)
-        return parse(rows.unionByName(lines.piped(spark, raw, command)) if raw else rows)
+    def read(spark: SparkSession, paths: list[str], salvage: bool = False) -> DataFrame:
+        text, raw = [p for p in paths if exported(p)], [p for p in paths if not exported(p)]
+        rows = lines.read(spark, text, salvage=salvage)
+        return parse(rows.unionByName(lines.piped(spark, raw, command, salvage)) if raw else rows)
 
-    return read
+    return read, lambda path: lines.file_lines(path) if exported(path) else lines.program_lines(command)(path)
 
 
 def _needs(program: str, arguments: list[str], says: str = "") -> Callable[[], None]:
@@ -227,29 +282,38 @@ def _no_json() -> Column:
     return (F.trim("value") != "") & F.from_json("value", "map<string,string>").isNull()
 
 
-register(Reader("syslog", lambda s, p: from_text(lines.read(s, p)), lambda v, q: v.contains(q)))
-register(Reader("bro", _read_tsv, lambda v, q: v.contains(f"\t{q}\t")))
-register(Reader("bro_json", lambda s, p: from_json(lines.read(s, p)), lambda v, q: v.contains(f'"{q}"'), bad=_no_json))
-register(Reader("nfdump", _tool(["nfdump", "-qr", "-", "-o", "fmt:%sa %da", "-6"], from_pairs, (".txt",)), None, _needs("nfdump", ["-V"]), _no_address))
-register(Reader("nfdump-csv", _tool(["nfdump", "-qr", "-", "-o", "csv6"], from_csv6, (".csv", ".txt")), None, _needs("nfdump", ["-V"]), _no_address))
-register(Reader("argus", _tool(["ra", "-r", "-", "-s", "saddr,daddr", "-c", " ", "-L", "-1"], from_pairs, (".txt",)), None, _needs("ra", ["-h"], "Ra Version"), _no_address))
-register(Reader("pcap", lambda s, p: pcap.read(s, p), None))
+def _lines_of(parse: Callable[[DataFrame], DataFrame]):
+    return lambda spark, paths, salvage=False: parse(lines.read(spark, paths, salvage=salvage))
+
+
+def _register_tool(name: str, command: list[str], parse, export: tuple[str, ...], check: Callable[[], None]) -> None:
+    read, rows = _tool(command, parse, export)
+    register(Reader(name, read, None, check, _no_address, rows))
+
+
+register(Reader("syslog", _lines_of(from_text), lambda v, q: v.contains(q)))
+register(Reader("bro", _read_tsv, lambda v, q: v.contains(f"\t{q}\t"), once=_tsv_once, odd=_is_header))
+register(Reader("bro_json", _lines_of(from_json), lambda v, q: v.contains(f'"{q}"'), bad=_no_json))
+_register_tool("nfdump", ["nfdump", "-qr", "-", "-o", "fmt:%sa %da", "-6"], from_pairs, (".txt",), _needs("nfdump", ["-V"]))
+_register_tool("nfdump-csv", ["nfdump", "-qr", "-", "-o", "csv6"], from_csv6, (".csv", ".txt"), _needs("nfdump", ["-V"]))
+_register_tool("argus", ["ra", "-r", "-", "-s", "saddr,daddr", "-c", " ", "-L", "-1"], from_pairs, (".txt",), _needs("ra", ["-h"], "Ra Version"))
+register(Reader("pcap", pcap.read, None, rows=pcap.rows))
 
 
 # what all formats share
 
 
-def records(spark: SparkSession, name: str, paths: Iterable[str]) -> DataFrame:
+def records(spark: SparkSession, name: str, paths: Iterable[str], salvage: bool = False) -> DataFrame:
     paths = list(dict.fromkeys(paths))
-    return reader(name).read(spark, paths) if paths else spark.createDataFrame([], RECORDS)
+    return reader(name).read(spark, paths, salvage) if paths else spark.createDataFrame([], RECORDS)
 
 
-#: Stands for records that can't be read, among addresses.
-BAD = b""
+#: Stand among addresses for records that can't be read, and for odd rows.
+BAD, ODD = b"", b"\x00"
 
 
-def counted(rows: DataFrame, bad: Column | None = None) -> DataFrame:
-    """(path, ip, n): one row per file and address; a null ip has the number of records, BAD that of bad ones.
+def counted(rows: DataFrame, bad: Column | None = None, odd: Column | None = None) -> DataFrame:
+    """(path, ip, n): one row per file and address; a null ip has the number of records, BAD that of bad ones, ODD of odd rows.
 
     One pass over the records; each adds a mark to its texts. What is shuffled are partial counts of
     (file, text), and after parsing, of (file, address), which differ for other spellings only.
@@ -258,9 +322,12 @@ def counted(rows: DataFrame, bad: Column | None = None) -> DataFrame:
     marks = [F.array(F.lit("n"))]
     if bad is not None:
         marks.append(F.when(bad, F.array(F.lit("b"))).otherwise(F.array().cast("array<string>")))
-    texts = rows.select("path", F.explode(F.concat(*marks, own)).alias("text")).groupBy("path", "text").agg(F.count("*").alias("n"))
+    every = F.concat(*marks, own)
+    if odd is not None:
+        every = F.when(odd, F.array(F.lit("o"))).otherwise(every)
+    texts = rows.select("path", F.explode(every).alias("text")).groupBy("path", "text").agg(F.count("*").alias("n"))
     text, kind = F.substr("text", F.lit(2)), F.substring("text", 1, 1)
-    found = texts.select("path", kind.alias("kind"), F.when(kind == "t", parse_ip(text)).when(kind == "b", F.lit(bytearray(BAD))).alias("ip"), "n")
+    found = texts.select("path", kind.alias("kind"), F.when(kind == "t", parse_ip(text)).when(kind == "b", F.lit(bytearray(BAD))).when(kind == "o", F.lit(bytearray(ODD))).alias("ip"), "n")
     return found.where("kind <> 't' or ip is not null").groupBy("path", "ip").agg(F.sum("n").alias("n"))
 
 

@@ -22,22 +22,31 @@ def timed(hits: DataFrame, regex: str | None) -> DataFrame:
 CUT = 10
 
 
-def _ordered_parts(files: DataFrame) -> DataFrame:
-    """files with `part`, the beginning of the name: ordering by (part, filename) is ordering by filename."""
-    ends = files.agg(F.min("filename").alias("a"), F.max("filename").alias("b")).first()
-    shared = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
-    return files.withColumn("part", F.substring("filename", 1, shared + CUT))
+#: Up to so many hits are put in order by one task.
+FEW = 100_000
+#: Errors of a report, at most; how many there are beyond that is said in one more.
+MOST_ERRORS = 10_000
 
 
 def histogram(files: DataFrame, groupby: str, count: str) -> DataFrame:
     """(island, bucket, hits): runs of equal labels in name order, and how often the finer label changes in each.
 
-    It follows the files, not the labels: a label that comes back later begins another run. The order is
-    worked through part by part, each with the last labels of the one before and the runs that began
+    It follows the files, not the labels: a label that comes back later begins another run. Beyond FEW hits the
+    order is worked through part by part, each with the last labels of the one before and the runs that began
     earlier, so no task sorts all files; only the parts themselves, one row each, are put in one order.
     """
     known = files.where("doc_time is not null").select("filename", bucket("doc_time", groupby).alias("bucket"), bucket("doc_time", count).alias("label"))
-    known = _ordered_parts(known)
+    ends = known.agg(F.count("*").alias("n"), F.min("filename").alias("a"), F.max("filename").alias("b")).first()
+    if ends["n"] <= FEW:
+        every = Window.orderBy("filename")
+        prior = F.lag(F.struct("bucket", "label")).over(every)
+        rows = known.withColumn("prior", prior).withColumn("open", F.when(F.col("prior").isNull() | (F.col("prior.bucket") != F.col("bucket")), 1).otherwise(0))
+        hit = F.when((F.col("open") == 1) | (F.col("prior.label") != F.col("label")), 1).otherwise(0)
+        rows = rows.select("bucket", hit.alias("hit"), F.sum("open").over(every.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+        return rows.groupBy("island", "bucket").agg(F.sum("hit").alias("hits"))
+    # ordering by (part, filename) is ordering by filename
+    shared = len(os.path.commonprefix([ends["a"], ends["b"]]))
+    known = known.withColumn("part", F.substring("filename", 1, shared + CUT))
     order, parts = Window.partitionBy("part").orderBy("filename"), Window.orderBy("part")
     last = known.groupBy("part").agg(F.max_by(F.struct("bucket", "label"), "filename").alias("last"))
     before = last.select("part", F.lag("last").over(parts).alias("before"))
@@ -77,7 +86,9 @@ def report(hits: DataFrame, regex: str | None, groupby: str, count: str) -> dict
             for unit in (groupby, count):
                 bucket_pattern(unit)
             buckets = [{"bucket": r["bucket"], "hits": r["hits"]} for r in histogram(files, groupby, count).orderBy("island").collect()]
-        wrong = [r["error"] for r in errors(files).orderBy("filename").collect()]
+        wrong = [r["error"] for r in errors(files).orderBy("filename").limit(MOST_ERRORS).collect()]
+        if len(wrong) == MOST_ERRORS and (more := errors(files).count() - MOST_ERRORS):
+            wrong.append(f"{more} more files without a time")
     finally:
         files.unpersist()
     return {

@@ -117,7 +117,7 @@ class Store:
                 size, mtime = self._stat(p)
                 db = db_of(p) if db_of else "flows.db"
             except (OSError, ValueError, Py4JJavaError) as error:
-                return Indexed(p, f"error: {_said(error)}")
+                return Indexed(p, f"error: {said(error)}")
             try:
                 at = time_of(p) if time_of else None
             except ValueError:
@@ -150,22 +150,29 @@ class Store:
                 if len(left) == 1 or named:
                     for r in left:
                         if r[0] in named or len(left) == 1:
-                            self._salvage(indexer, backend, r, out, _said(error))
+                            self._salvage(indexer, backend, r, out, said(error))
                     rest = [r for r in left if r[0] not in named] if len(left) > 1 else []
                     todo += [rest] if rest else []
                 else:
                     todo += [left[len(left) // 2 :], left[: len(left) // 2]]
 
-    def _salvage(self, indexer: str, backend: str, row: tuple, out: dict, said: str) -> None:
+    def _salvage(self, indexer: str, backend: str, row: tuple, out: dict, why: str) -> None:
         """Commits one damaged file, with its records before the damage where a task can open it."""
         path = row[0]
         try:
             if not lines.remote(path):
-                said = next((r["error"] for r in lines.errors(self.spark, [path], readers.reader(backend).rows).collect()), said)
-            self._commit(indexer, backend, [row], out, once=False, salvage=True, said=said)
-            out[path] = Indexed(path, f"damaged: {said}")
+                why = next((r["error"] for r in lines.errors(self.spark, [path], readers.reader(backend).rows).collect()), why)
+            self._commit(indexer, backend, [row], out, once=False, salvage=True, why=why)
+            out[path] = Indexed(path, f"damaged: {why}")
         except (PySparkException, Py4JJavaError) as error:
-            out[path] = Indexed(path, f"error: {_said(error)}")
+            out[path] = Indexed(path, f"error: {said(error)}")
+
+    def exists(self, path: str) -> bool:
+        try:
+            self._stat(path)
+        except (OSError, Py4JJavaError):
+            return False
+        return True
 
     def _stat(self, path: str):
         if "://" in path and not path.startswith("file://"):
@@ -177,7 +184,7 @@ class Store:
         with open(path.removeprefix("file://"), "rb"):
             return found.st_size, datetime.datetime.fromtimestamp(found.st_mtime, datetime.timezone.utc)
 
-    def _commit(self, indexer: str, backend: str, rows: list[tuple], out: dict, once: bool = True, salvage: bool = False, said: str | None = None) -> list[tuple]:
+    def _commit(self, indexer: str, backend: str, rows: list[tuple], out: dict, once: bool = True, salvage: bool = False, why: str | None = None) -> list[tuple]:
         """Commits files in one pass over them; returns those with odd rows, which aren't committed.
 
         What is counted of the files, a row per file and address, is kept until it's written and added up.
@@ -212,7 +219,7 @@ class Store:
             self._write(indexer, found.select(F.lit(batch).alias("batch_id"), "doc_id", "ip", "n", F.lit(indexer).alias("indexer"), "db", "family"))
         finally:
             found.unpersist()
-        wrong = lambda r: "; ".join(filter(None, [said, f"{r['bad']} records can't be read" if r["bad"] else None])) or None
+        wrong = lambda r: "; ".join(filter(None, [why, f"{r['bad']} records can't be read" if r["bad"] else None])) or None
         log = [(batch, r["doc_id"], r["filename"], r["doc_time"], r["records"] or 0, r["n_ips"] or 0, r["size"], r["mtime"], wrong(r), r["db"]) for r in done]
         names = DOCUMENTS.replace("indexer string, ", "")
         log = spark.createDataFrame(log, names).coalesce(1)
@@ -310,7 +317,7 @@ def time_of(regex: str | None):
     return lambda filename: to_time(filename, regex)
 
 
-def _said(error: Exception) -> str:
+def said(error: Exception) -> str:
     """What an error says, in a line: the cause that a task or a store gave, without the driver's stack."""
     text = str(getattr(error, "java_exception", None) or error)
     causes = re.findall(r"(?m)^(?:Caused by: )?(?:[\w.$]+\.)?(\w*(?:Exception|Error)): (.+)$", text)

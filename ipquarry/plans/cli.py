@@ -6,12 +6,14 @@ import argparse
 import sys
 import threading
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from ipquarry import __version__
 from ipquarry.functions.filenames import expand_glob
 from ipquarry.functions.ips import format_ip
-from ipquarry.operators.store import Store
+from ipquarry.operators.store import Store, said
 from ipquarry.plans.engine import Engine, load_config
 from ipquarry.plans.http import serve
 
@@ -60,7 +62,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
                     say(f"{name}: {result}")
                 else:
                     for one in result:
-                        failed |= one.status.startswith("error")
+                        failed |= one.status.startswith(("error", "damaged"))
                         say(f"{name}: {one.filename}: {one.status}")
             return int(failed)
         store = Store(spark, args.dbpath)
@@ -69,7 +71,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
             results = store.index(OWN, args.backend, paths)
             for one in results:
                 say(f"{one.filename}: {one.status}")
-            return int(any(r.status.startswith("error") for r in results))
+            return int(any(r.status.startswith(("error", "damaged")) for r in results))
         if args.command == "search":
             for row in store.search(OWN, args.query).select("filename").toLocalIterator():
                 say(row[0])
@@ -78,8 +80,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
                 say(row[0])
         else:
             store.compact(OWN)
-    except (ValueError, OSError) as error:
-        print(error, file=sys.stderr)
+    except (ValueError, OSError, PySparkException, Py4JJavaError) as error:
+        print(said(error), file=sys.stderr)
         return 1
     return 0
 

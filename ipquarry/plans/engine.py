@@ -15,8 +15,8 @@ from ipquarry.functions.filenames import expand_glob, parse_bucket, recent_globs
 from ipquarry.functions.ips import query_range
 from ipquarry.operators import stats
 from ipquarry.operators.store import Indexed, Store, database_of, time_of
-from ipquarry.sources import readers
-from ipquarry.streaming.ingest import poll, settled
+from ipquarry.sources import lines, readers
+from ipquarry.streaming.ingest import log, poll, settled
 
 
 @dataclass
@@ -118,8 +118,15 @@ class Engine:
         names = self.indexers()
         if not names:
             return
+
+        def index(name: str, paths: list[str]) -> None:
+            for one in self.index(name, paths):
+                if one.status.startswith(("error", "damaged")):
+                    log.warning("%s: %s: %s", name, one.filename, one.status)
+
+        # a pass that raises is logged by poll, so an indexer's loop goes on whatever happens
         with ThreadPoolExecutor(len(names)) as pool:
-            list(pool.map(lambda n: poll(lambda paths: self.index(n, paths), lambda: self.list_recent(n), passes, wait), names))
+            list(pool.map(lambda n: poll(lambda paths: index(n, paths), lambda: self.list_recent(n), passes, wait), names))
 
     # questions
 
@@ -133,11 +140,26 @@ class Engine:
         groupby, count = parse_bucket(bucket)
         return stats.report(self.search(name, query).select("filename"), self.get(name).filename_to_time_regex or None, groupby, count)
 
-    def dump(self, name: str, query: str, mode: str = "ip") -> DataFrame:
-        """(path, value): matching records, read from the files that the index names and no others."""
+    def dump(self, name: str, query: str, mode: str = "ip", missing: list[str] | None = None) -> DataFrame:
+        """(path, value): matching records, read from the files that the index names and no others.
+
+        Files that are gone are left out and added to missing, or, without that list, raise FileNotFoundError. Damaged
+        ones are read as far as they can be.
+        """
         own, block = self.get(name), query_range(query)
-        paths = [r["filename"] for r in self.search(name, query).collect()]
-        rows = readers.records(self.spark, own.backend, paths)
+        hits = self.search(name, query).join(self.store(name).documents(name).select("db", "doc_id", "error"), ["db", "doc_id"]).collect()
+        with ThreadPoolExecutor(32) as pool:
+            there = dict(zip((r["filename"] for r in hits), pool.map(lambda r: self.store(name).exists(r["filename"]), hits), strict=True))
+        gone = sorted(p for p, found in there.items() if not found)
+        if gone and missing is None:
+            raise FileNotFoundError(f"indexed files are gone: {', '.join(gone)}")
+        if gone:
+            missing += gone
+        damaged = {r["filename"] for r in hits if r["error"] and not lines.remote(r["filename"])}
+        whole = [p for p in there if there[p] and p not in damaged]
+        rows = readers.records(self.spark, own.backend, whole)
+        if cut := [p for p in there if there[p] and p in damaged]:
+            rows = rows.unionByName(readers.records(self.spark, own.backend, cut, salvage=True))
         return readers.dump(rows, own.backend, query, block, mode).select("path", F.col("value"))
 
     def compact(self, name: str) -> None:

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, quote, urlsplit
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 
 from ipquarry.functions.ips import format_ip
+from ipquarry.operators.store import said
 from ipquarry.plans.engine import Engine
 
 
 class Handler(BaseHTTPRequestHandler):
     engine: Engine
+    began = False
 
     def log_message(self, *_) -> None:
         pass
 
     def do_GET(self) -> None:
+        self.began = False
         parts = urlsplit(self.path)
         route = parts.path.removeprefix("/v1")
         asked = {k: v[0] for k, v in parse_qs(parts.query).items()}
@@ -29,10 +35,19 @@ class Handler(BaseHTTPRequestHandler):
                     return self.answer(400, f"Missing parameter: {name}")
         try:
             handle(asked)
-        except (ValueError, KeyError) as error:
-            self.answer(500, str(error.args[0]))
         except (BrokenPipeError, ConnectionError):
             pass
+        except (ValueError, KeyError) as error:
+            self.fail(str(error.args[0]))
+        except (OSError, PySparkException, Py4JJavaError) as error:
+            self.fail(said(error))
+
+    def fail(self, text: str) -> None:
+        """500, or, where rows have been sent already, the text after them."""
+        if self.began:
+            self.wfile.write((text + "\n").encode())
+        else:
+            self.answer(500, text)
 
     def answer(self, status: int, text: str, kind: str = "text/plain; charset=utf-8") -> None:
         body = (text + "\n").encode() if text else b""
@@ -42,11 +57,19 @@ class Handler(BaseHTTPRequestHandler):
         self.end_headers()
         self.wfile.write(body)
 
-    def lines(self, rows) -> None:
-        """Rows of one string, sent as they come; the first is fetched before the head, so errors still show."""
+    def lines(self, rows, missing: list[str] | None = None) -> None:
+        """Rows of one string, sent as they come; the first is fetched before the head, so errors still show.
+
+        Files that are missing are named in a head of their own; with no row at all they are an error.
+        """
         rows = rows.toLocalIterator()
         first = next(rows, None)
+        if missing and first is None:
+            return self.answer(500, f"indexed files are gone: {', '.join(missing)}")
         self.send_response(200)
+        self.began = True
+        if missing:
+            self.send_header("X-Missing-Files", quote(",".join(missing), safe="/,:"))
         self.send_header("Content-Type", "text/plain; charset=utf-8")
         self.end_headers()
         while first is not None:
@@ -66,7 +89,8 @@ class Handler(BaseHTTPRequestHandler):
         self.lines(self.engine.expand(asked["i"], asked["q"]).select(format_ip("ip")))
 
     def dump(self, asked: dict) -> None:
-        self.lines(self.engine.dump(asked["i"], asked["q"]).select("value"))
+        missing: list[str] = []
+        self.lines(self.engine.dump(asked["i"], asked["q"], missing=missing).select("value"), missing)
 
 
 def serve(engine: Engine, bind: str | None = None) -> ThreadingHTTPServer:

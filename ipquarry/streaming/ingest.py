@@ -6,6 +6,7 @@ batch that runs again after a failure indexes what the failed one didn't commit,
 
 from __future__ import annotations
 
+import logging
 import os
 import time
 from collections.abc import Callable
@@ -13,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger("ipquarry")
+
 #: Seconds that a file must have been left alone before it's indexed.
 SETTLED = 2.0
 #: Fixed by Spark's source of whole files.
@@ -22,7 +25,14 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 def settled(paths: list[str], age: float = SETTLED, now: float | None = None) -> list[str]:
     """Paths whose files haven't changed for a while; those still growing wait for the next pass."""
     at = time.time() if now is None else now
-    return [p for p in paths if os.path.exists(p.removeprefix("file://")) and at - os.stat(p.removeprefix("file://")).st_mtime >= age]
+
+    def is_settled(path: str) -> bool:
+        try:
+            return at - os.stat(path.removeprefix("file://")).st_mtime >= age
+        except OSError:  # it has gone since
+            return False
+
+    return [p for p in paths if is_settled(p)]
 
 
 def is_growing(path: str, times: int = 10, wait: float = 0.2) -> bool:
@@ -36,9 +46,15 @@ def is_growing(path: str, times: int = 10, wait: float = 0.2) -> bool:
 
 
 def poll(index: Callable[[list[str]], object], listing: Callable[[], list[str]], passes: int | None = None, wait: float = 60.0, stop: Callable[[], bool] = lambda: False) -> None:
-    """Indexes what a listing shows, again and again; for listings that a directory stream can't express."""
+    """Indexes what a listing shows, again and again; for listings that a directory stream can't express.
+
+    A pass that raises is logged, and the next one comes all the same.
+    """
     while passes is None or passes > 0:
-        index(settled(listing()))
+        try:
+            index(settled(listing()))
+        except Exception as error:
+            log.exception("indexing failed: %s", error)
         passes = None if passes is None else passes - 1
         if passes == 0 or stop():
             return
@@ -55,7 +71,13 @@ def stream(spark: SparkSession, directory: str, name_filter: str, index: Callabl
     def batch(rows: DataFrame, _: int) -> None:
         # one row for each new file
         names = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/").alias("path")
-        index(sorted({r["path"] for r in rows.select(names).collect()}))
+        paths = sorted({r["path"] for r in rows.select(names).collect()})
+        try:
+            index(paths)
+        except Exception as error:
+            # a stream that ends for good would leave later files out as well; the batch is tried once more
+            log.exception("indexing failed, trying again: %s", error)
+            index(paths)
 
     writer = files.select("path").writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")

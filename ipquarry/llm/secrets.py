@@ -12,15 +12,15 @@ above and below the middle of the alphabet, and the lag-1 serial correlation. A
 * none of the three tests rejects uniform, independent symbols at level BATTERY_ALPHA.
 
 The null is wording: the p-value is the lower tail of the number of equal pairs of symbols, of which
-chi-squared is a linear function (COINCIDENCE). Three encodings have their own, as uniform symbols of small
+chi-squared is a linear function (COINCIDENCE). Four encodings have their own, as uniform symbols of small
 alphabets repeat as often as wording does:
 
 * hex: letters as wording has them, of which HEX_LETTERS are a to f; p is the chance that all letters are.
   Digits say nothing, so numbers with few letters aren't found.
 * decimal: formatted numbers, with DECIMAL_ZERO of their digits zero and the others equally frequent; the
   lower tail of the number of equal pairs. Only long ones can be told apart.
-* base32: wording, and capitals with numbers, which change between letters and digits at a rate of
-  BASE32_CHANGES; Fisher's combination of both p-values, taken as independent, the second as the Chernoff
+* base32 and base36: wording, and words with numbers, which change between letters and digits at a rate of
+  CHANGES; Fisher's combination of both p-values, taken as independent, the second as the Chernoff
   bound of a Poisson tail.
 
 False-discovery control is Benjamini-Hochberg at level FDR over the tokens of the corpus that overlap no
@@ -55,8 +55,8 @@ FORMS = {
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Rates at which two, and three, symbols of wording are equal (English letters).
 COINCIDENCE = (0.0655, 0.0055)
-#: Share of a to f in English letters; zeros of formatted numbers; changes of class for each symbol of capitals with numbers.
-HEX_LETTERS, DECIMAL_ZERO, BASE32_CHANGES = 0.317, 0.3, 0.05
+#: Share of a to f in English letters; zeros of formatted numbers; changes of class for each symbol of words with numbers.
+HEX_LETTERS, DECIMAL_ZERO, CHANGES = 0.317, 0.3, 0.05
 BATTERY_ALPHA = 1e-3
 FDR = 0.01
 #: p-values on a grid of 1/GRID decades, down to 10 ** -DECADES.
@@ -162,7 +162,7 @@ def _battery(tokens: str) -> str:
         'var', aggregate(x.at, 0D, (a, v) -> a + (v - x.mean) * (v - x.mean)),
         'cov', aggregate(zip_with(slice(x.at, 1, size(x.at) - 1), slice(x.at, 2, size(x.at) - 1), (u, v) -> (u - x.mean) * (v - x.mean)), 0D, (a, v) -> a + v)))"""
     rest = (1 - DECIMAL_ZERO) / 9
-    x = f"""transform({x}, x -> named_struct('e', x.e, 'n', x.n, 'letters', x.letters, 'changes', x.changes, 'expected', x.n * {BASE32_CHANGES}D,
+    x = f"""transform({x}, x -> named_struct('e', x.e, 'n', x.n, 'letters', x.letters, 'changes', x.changes, 'expected', x.n * {CHANGES}D,
         'z_text', {_z_pairs(*COINCIDENCE)},
         'z_decimal', {_z_pairs(DECIMAL_ZERO**2 + 9 * rest**2, DECIMAL_ZERO**3 + 9 * rest**3)},
         'z_chi', (power(x.chi / (x.k - 1), 1D / 3) - (1 - 2 / (9 * (x.k - 1)))) / sqrt(2 / (9 * (x.k - 1))),
@@ -171,7 +171,7 @@ def _battery(tokens: str) -> str:
     text = _normal_tail("(-x.z_text)")
     changes = "if(x.changes > x.expected, exp(-(x.changes * ln(x.changes / x.expected) - x.changes + x.expected)), 1D)"
     both = f"greatest(1e-300D, {text} * {changes})"
-    own = f"case x.e when 'hex' then power({HEX_LETTERS}D, x.letters) when 'decimal' then {_normal_tail('(-x.z_decimal)')} when 'base32' then {both} * (1 - ln({both})) else {text} end"
+    own = f"case x.e when 'hex' then power({HEX_LETTERS}D, x.letters) when 'decimal' then {_normal_tail('(-x.z_decimal)')} when 'base32' then {both} * (1 - ln({both})) when 'base36' then {both} * (1 - ln({both})) else {text} end"
     x = f"""transform({x}, x -> if(x.n < 20, named_struct('n', x.n, 'class', 0, 'grid', 0, 'passes', false, 'own', 0), named_struct('n', x.n,
         'class', cast(least({CLASSES - 1}, greatest(0, floor(2 * log2(x.n / 20)))) as int),
         'grid', {_place(text)},

@@ -161,6 +161,23 @@ def test_level_depends_on_all_rows(spark, n):
     assert min(S.cutoffs(docs)) <= S.GRID * S.DECADES
 
 
+def test_recall_by_encoding_and_length(spark):
+    """Keys of every encoding among plain documents: nine tenths from 32 symbols on, and no clean text is hit."""
+    rng = random.Random(8)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    clean = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("text").collect()]
+    base = {i: len(HEX.findall(t or "")) for i, t in enumerate(clean)}
+    for alphabet in (digits + "ABCDEF", digits + "abcdef", upper + "234567", digits + lower, digits + upper, upper + lower + digits + "+/", upper + lower + digits + "-_"):
+        sizes = [n for n in (20, 28, 32, 40, 48, 64, 88) for _ in range(20)]
+        texts = clean + ["some words then " + "".join(rng.choice(alphabet) for _ in range(n)) + " and more" for n in sizes]
+        _, docs = frame(spark, texts)
+        got = {r["doc_id"]: r for r in S.report(docs).collect()}
+        found = [got[len(clean) + i]["n_random"] + got[len(clean) + i]["n_hex"] > 0 for i in range(len(sizes))]
+        assert sum(got[i]["n_random"] for i in base) == 0
+        long = [f for f, n in zip(found, sizes) if n >= 32]
+        assert sum(long) >= 0.9 * len(long), alphabet
+
+
 def test_encodings_are_found_among_many_base_hits(spark):
     rng = random.Random(6)
     made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ipquarry.functions import postings as forms
 from ipquarry.functions.filenames import BUCKETS, bucket, database_column, time_column
-from ipquarry.functions.ips import cidr_bounds, family, format_ip, ipv4_number, parse_ipv4, query_range
+from ipquarry.functions.ips import cidr_bounds, family, format_ip, ipv4_number, parse_ip, parse_ipv4, query_range
 from ipquarry.operators import stats
 from ipquarry.operators.cidr_join import blocks_frame, join_blocks
-from ipquarry.plans.flows import FLOWS_SQL, flow_text, flows, table, text_records
+from ipquarry.plans.flows import DAILY_SQL, FLOWS_SQL, flow_text, flows, indexed, table, text_records
 from ipquarry.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,11 +21,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 BLOCK = "10.0.1.128/26"
 BLOCKS = ["10.0.0.0/24", "10.0.0.0/16", "10.0.1.128/26", "10.0.2.0/25", "10.0.0.64/32", "192.168.0.0/16", "0.0.0.0/0", "10.0.1.0/31"]
+SIX_BLOCKS = ["2600::1/128", "2600::/16", "fe80::a21e:13ff:ab31:3d60/64", "2600::ff/121", "::/0", "1:2:3:4:5:6:7:8/1"]
 TIMED = r"logs/(?P<year>\d\d\d\d)-(?P<month>\d\d)-(?P<day>\d\d)/\w+\.(?P<hour>\d\d):(?P<minute>\d\d)"
 MONTHLY = (r"logs/(?P<year>\d+)-(?P<month>\d+)-\d+", "$year$month.db")
 DAILY = (r"logs/(?P<year>\d+)-(?P<month>\d+)-(?P<day>\d+)", "$year$month$day.db")
 
-#: IPv4 alternatives of the free-text form in DuckDB; no table holds an IPv6 address.
+#: IPv4 alternatives of the free-text form in DuckDB; no document holds an IPv6 address.
 _TEXT = "'[^0-9](?:[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})[^0-9]'"
 _FOUND = f"unnest(list_transform(regexp_extract_all(COLUMN || chr(10), {_TEXT}), lambda m: substr(m, 2, length(m) - 2)))"
 _VALID = "regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')"
@@ -69,11 +71,37 @@ def extract_syslog_documents(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("doc_id"), format_ip("ip").alias("ip"))
 
 
-@query(_extracted("page_id", "pages", "html"))
+def _bytes_sql(rows: str, keep: str) -> str:
+    """SQL: CTEs that end in `parsed`, the columns keep and bytes, an address's bytes as hexadecimal digits, of rows with a text t.
+
+    IPv6 by its groups: at most one ::, which stands for one group at least, and a dotted end for the last two.
+    """
+    quad = lambda c: "(" + " || ".join(f"format('{{:02x}}', split_part({c}, '.', {k})::INTEGER)" for k in (1, 2, 3, 4)) + ")"
+    valid = lambda c: _VALID.replace("(ip,", f"({c},")
+    return f"""rows_ AS ({rows}),
+tails AS (SELECT *, regexp_extract(t, '[0-9]+([.][0-9]+)+$') AS tail FROM rows_),
+heads AS (
+  SELECT *, CASE WHEN tail = '' THEN t WHEN {valid('tail')} THEN
+    substr(t, 1, length(t) - length(tail)) || substr({quad('tail')}, 1, 4) || ':' || substr({quad('tail')}, 5, 4) END AS head FROM tails),
+sides AS (SELECT *, string_split(head, '::') AS s FROM heads WHERE contains(t, ':') AND head IS NOT NULL),
+sets AS (
+  SELECT *, CASE WHEN s[1] = '' THEN [] ELSE string_split(s[1], ':') END AS l, CASE WHEN len(s) < 2 OR s[2] = '' THEN [] ELSE string_split(s[2], ':') END AS r FROM sides),
+six AS (
+  SELECT *, array_to_string(list_transform(l || list_transform(range(8 - len(l) - len(r)), lambda i: '0') || r, lambda x: lpad(lower(x), 4, '0')), '') AS b FROM sets
+  WHERE len(list_filter(l || r, lambda x: NOT regexp_full_match(x, '[0-9A-Fa-f]{{1,4}}'))) = 0 AND (len(s) = 1 AND len(l) = 8 OR len(s) = 2 AND len(l) + len(r) < 8)),
+parsed AS (
+  SELECT {keep}, {quad('t')} AS bytes FROM rows_ WHERE {valid('t')}
+  UNION ALL SELECT {keep}, CASE WHEN starts_with(b, '00000000000000000000ffff') THEN substr(b, 25) ELSE b END FROM six)"""
+
+
+_FORMS_SQL = "'" + readers.TEXT_FORMS.replace("'", "''") + "'"
+
+
+@query("WITH " + _bytes_sql(f"SELECT page_id, unnest(list_transform(regexp_extract_all(html || chr(10), {_FORMS_SQL}), lambda m: substr(m, 2, length(m) - 2))) AS t FROM pages", "page_id") + "\nSELECT DISTINCT page_id, bytes FROM parsed")
 def extract_syslog_pages(spark, sf_dir):
-    """Free-text reader over pages."""
-    found = readers.extract(text_records(spark, sf_dir, "pages", "page_id", "html")).where(family("ip") == 4)
-    return found.select(F.col("path").cast("long").alias("page_id"), format_ip("ip").alias("ip"))
+    """Free-text reader over pages: distinct addresses of both families, as hexadecimal digits."""
+    found = readers.extract(text_records(spark, sf_dir, "pages", "page_id", "html"))
+    return found.select(F.col("path").cast("long").alias("page_id"), F.lower(F.hex("ip")).alias("bytes"))
 
 
 @query(f"WITH x AS (SELECT doc_id, {_FOUND.replace('COLUMN', 'text')} AS ip FROM documents) SELECT DISTINCT doc_id FROM x WHERE {_VALID}")
@@ -162,6 +190,50 @@ def cidr_bounds_v4(spark, sf_dir):
     return blocks_frame(spark, BLOCKS).select("block", ipv4_number("lo").alias("lo"), ipv4_number("hi").alias("hi"))
 
 
+#: Texts of IPv6 addresses made from events, in each form; n is the user's number and one.
+_SIX_SQL = """SELECT DISTINCT n, CASE k WHEN 0 THEN '2600::' || format('{:x}', n) WHEN 1 THEN '2600:0:00:000:0:A:0:' || format('{:x}', n)
+  WHEN 2 THEN '::FFFF:10.1.' || (n // 256) || '.' || (n % 256) WHEN 3 THEN '64:ff9b::10.1.' || (n // 256) || '.' || (n % 256)
+  WHEN 4 THEN '1:2:3:4:5:6:' || format('{:x}', n) || '::' WHEN 5 THEN format('{:x}', n) || '::' WHEN 6 THEN '1::2::' || format('{:x}', n) ELSE '1:2:3:4:5:6:7:8:' || format('{:x}', n) END AS t
+FROM (SELECT user_id + 1 AS n, event_id % 8 AS k FROM events)"""
+
+
+def _six(spark, sf_dir) -> DataFrame:
+    n, k = F.col("user_id") + 1, F.col("event_id") % 8
+    x, quad = F.lower(F.hex(n)), F.concat(F.lit("10.1."), F.floor(n / 256).cast("string"), F.lit("."), (n % 256).cast("string"))
+    forms = [("2600::", x, ""), ("2600:0:00:000:0:A:0:", x, ""), ("::FFFF:", quad, ""), ("64:ff9b::", quad, ""), ("1:2:3:4:5:6:", x, "::"), ("", x, "::"), ("1::2::", x, ""), ("1:2:3:4:5:6:7:8:", x, "")]
+    text = F.coalesce(*(F.when(k == i, F.concat(F.lit(a), b, F.lit(c))) for i, (a, b, c) in enumerate(forms)))
+    return table(spark, sf_dir, "events").select(n.alias("n"), text.alias("t")).distinct()
+
+
+@query("WITH " + _bytes_sql(_SIX_SQL, "t") + "\nSELECT DISTINCT t, bytes FROM parsed")
+def ip_parse_v6(spark, sf_dir):
+    """Text to address in all forms of IPv6, mapped IPv4 as four bytes, as hexadecimal digits; texts that are no address are left out."""
+    return _six(spark, sf_dir).select("t", F.lower(F.hex(parse_ip("t"))).alias("bytes")).where("bytes is not null").distinct()
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id + 1 AS n FROM events)
+SELECT '2600::' || format('{:x}', n) AS ip, 6::TINYINT AS family FROM a UNION ALL SELECT '2600::a:0:' || format('{:x}', n), 6 FROM a
+UNION ALL SELECT '10.1.' || (n // 256) || '.' || (n % 256), 4 FROM a UNION ALL SELECT '64:ff9b::a01:' || format('{:x}', n), 6 FROM a""")
+def ip_format_v6(spark, sf_dir):
+    """Address to canonical text: the first longest run of zero groups is shortened, mapped addresses are IPv4."""
+    n = F.col("n")
+    x, quad = F.hex(n), F.concat(F.lit("10.1."), F.floor(n / 256).cast("string"), F.lit("."), (n % 256).cast("string"))
+    texts = F.array(F.concat(F.lit("2600:0:0:0::"), x), F.concat(F.lit("2600:0:0:0:0:A:0:"), x), F.concat(F.lit("::ffff:"), quad), F.concat(F.lit("64:FF9B::"), quad))
+    ips = table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("n")).distinct().select(F.explode(texts).alias("t")).select(parse_ip("t").alias("ip"))
+    return ips.select(format_ip("ip").alias("ip"), family("ip").alias("family"))
+
+
+def _bounds_values(blocks: list[str]) -> str:
+    nets = [ipaddress.ip_network(b, strict=False) for b in blocks]
+    return ", ".join(f"('{b}', '{net.network_address.packed.hex()}', '{net.broadcast_address.packed.hex()}')" for b, net in zip(blocks, nets, strict=True))
+
+
+@query(f"SELECT * FROM (VALUES {_bounds_values(SIX_BLOCKS)}) v(block, lo, hi)")
+def cidr_bounds_v6(spark, sf_dir):
+    """First and last address of IPv6 blocks, as hexadecimal digits."""
+    return blocks_frame(spark, SIX_BLOCKS).select("block", F.lower(F.hex("lo")).alias("lo"), F.lower(F.hex("hi")).alias("hi"))
+
+
 @query(_with("SELECT src AS ip, row_number() OVER (ORDER BY n) AS place FROM (SELECT DISTINCT src, n FROM flows)"))
 def ip_order(spark, sf_dir):
     """Distinct addresses in byte order: their places, from range-partitioned counts, not one window over all."""
@@ -357,12 +429,11 @@ for _pair in (("month", "day"), ("day", "hour"), ("year", "month")):
 @query(_with("""SELECT island::BIGINT AS island, b AS bucket, sum(hit)::BIGINT AS hits FROM (
   SELECT *, sum(CASE WHEN b0 IS NULL OR b0 <> b THEN 1 ELSE 0 END) OVER (ORDER BY filename) AS island, CASE WHEN b0 IS NULL OR b0 <> b OR c0 <> c THEN 1 ELSE 0 END AS hit FROM (
     SELECT *, lag(b) OVER (ORDER BY filename) AS b0, lag(c) OVER (ORDER BY filename) AS c0 FROM (
-      SELECT DISTINCT '/' || (event_id % 3) || doc AS filename, substr(doc, 7, 10) AS b, substr(doc, 7, 10) || 'T' || substr(doc, 23, 2) AS c FROM flow_text WHERE event_id % 7 = 0)))
+      SELECT DISTINCT '/' || (event_id % 3) || doc AS filename, substr(doc, 7, 10) AS b, substr(doc, 7, 10) || 'T' || substr(doc, 23, 2) AS c FROM flow_text)))
 GROUP BY 1, 2"""))
 def stats_buckets_islands(spark, sf_dir):
     """A histogram over names whose times aren't in order: labels come back as runs of their own."""
-    rows = flow_text(spark, sf_dir).where("event_id % 7 = 0")
-    hits = rows.select(F.concat(F.lit("/"), (F.col("event_id") % 3).cast("string"), "doc").alias("filename")).distinct()
+    hits = flow_text(spark, sf_dir).select(F.concat(F.lit("/"), (F.col("event_id") % 3).cast("string"), "doc").alias("filename")).distinct()
     return stats.histogram(stats.timed(hits, TIMED), "day", "hour")
 
 
@@ -398,3 +469,67 @@ def cidr_batch_join(spark, sf_dir):
     """Addresses joined with many blocks at once."""
     counts = flows(spark, sf_dir).groupBy("ip").agg(F.count("*").alias("n_docs"))
     return join_blocks(counts, blocks_frame(spark, BLOCKS)).select(format_ip("ip").alias("ip"), "block", "n_docs")
+
+
+# the same questions through the index: daily logs are written, indexed and asked
+
+
+def _day():
+    return F.regexp_extract("filename", r"day=(\d+-\d+-\d+)", 1).alias("day")
+
+
+def _daily(sql: str) -> str:
+    return f"WITH {DAILY_SQL.strip()}\n{sql.strip()}"
+
+
+_DAYS = "(SELECT day, row_number() OVER (ORDER BY day) - 1 AS doc_id FROM (SELECT DISTINCT day FROM daily))"
+
+
+def _between(block: str) -> str:
+    net = ipaddress.ip_network(block, strict=False)
+    return f"length(bytes) = {2 * len(net.network_address.packed)} AND bytes BETWEEN '{net.network_address.packed.hex()}' AND '{net.broadcast_address.packed.hex()}'"
+
+
+def _store_queries(name: str, block: str) -> None:
+    def search(spark, sf_dir):
+        return indexed(spark, sf_dir).search("flows", block).select("db", "doc_id", _day())
+
+    def expand(spark, sf_dir):
+        return indexed(spark, sf_dir).expand("flows", block).select(format_ip("ip").alias("ip"))
+
+    def stat(spark, sf_dir):
+        hits = stats.timed(indexed(spark, sf_dir).search("flows", block).select("filename"), r"day=(?P<year>\d+)-(?P<month>\d+)-(?P<day>\d+)")
+        return stats.histogram(hits, "month", "day").select("bucket", "hits")
+
+    def dump(spark, sf_dir):
+        cells = F.split("value", "\t")
+        found = indexed(spark, sf_dir).dump("flows", block).withColumnRenamed("path", "filename")
+        return found.select(_day(), cells[0].cast("long").alias("event_id"), cells[2].alias("src"))
+
+    hit = f"(SELECT * FROM daily WHERE {_between(block)})"
+    for kind, run, sql in (
+        ("search", search, f"SELECT DISTINCT replace(substr(day, 1, 7), '-', '') || '.db' AS db, doc_id, day FROM {hit} JOIN {_DAYS} USING (day)"),
+        ("expand", expand, f"SELECT DISTINCT ip FROM {hit}"),
+        ("stats", stat, f"SELECT substr(day, 1, 7) AS bucket, count(DISTINCT day) AS hits FROM {hit} GROUP BY 1"),
+        ("dump", dump, f"SELECT DISTINCT h.day, h.event_id, f.src FROM {hit} h JOIN flow_text f USING (event_id)"),
+    ):
+        run.__name__, run.__doc__ = f"store_{kind}_{name}", f"{kind.capitalize()} of {block} through the index."
+        query(_daily(sql))(run)
+
+
+for _name, _block in (("v4", BLOCK), ("v4_ip", "10.8.0.3/32"), ("v6", "2600::8/125"), ("v6_wide", "2600::/16"), ("none", "9.9.9.0/24")):
+    _store_queries(_name, _block)
+
+
+@query(_daily(f"SELECT day, doc_id, count(DISTINCT event_id) AS records, count(DISTINCT bytes) AS n_ips FROM daily JOIN {_DAYS} USING (day) GROUP BY ALL"))
+def store_documents(spark, sf_dir):
+    """The indexed files with their numbers of records and addresses."""
+    engine = indexed(spark, sf_dir)
+    return engine.store("flows").list_documents("flows").select(_day(), "doc_id", "records", "n_ips")
+
+
+@query(_daily("SELECT ip, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS doc_ids FROM daily JOIN " + _DAYS + " USING (day) GROUP BY ip"))
+def store_posting_lists(spark, sf_dir):
+    """Addresses with their files' numbers."""
+    lists = indexed(spark, sf_dir).store("flows").posting_lists("flows")
+    return lists.select(format_ip("ip").alias("ip"), F.array_join(F.array_sort(F.col("doc_ids").cast("array<string>")), ",").alias("doc_ids"))

@@ -6,10 +6,14 @@ and flows derived from events, one hourly log per hour with an address for each
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ipquarry.functions.ips import parse_ipv4
+from ipquarry.plans.engine import Config, Engine, IndexerConfig
 from ipquarry.sources import readers
 
 
@@ -37,6 +41,53 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_text(spark, sf_dir).select("doc", "src").distinct().select("doc", parse_ipv4("src").alias("ip"))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A folder for what a query leaves: in spark.checkpoint.dir, or this machine's own for a local session without one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; on a cluster it has to name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="ipquarry-")
+    return f"{shared.rstrip('/')}/ipquarry-{spark.sparkContext.applicationId}/{name}-{abs(hash((name, id(spark)))):x}"
+
+
+def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(day, value): lines of a tab-separated log for each day of events, a header first; every third record has an IPv6 responder."""
+    rows = flow_text(spark, sf_dir)
+    user = F.split("src", r"\.")
+    number = user[2].cast("long") * 64 + (user[3].cast("long") / 4).cast("long")
+    dst = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("2600::"), F.lower(F.hex(number + 1)))).otherwise(F.concat(F.lit("10.8.0."), (F.col("event_id") % 5).cast("string")))
+    day = F.substring("doc", 7, 10).alias("day")
+    data = rows.select(day, F.lit(1).alias("place"), F.concat_ws("\t", "event_id", F.lit("C"), "src", F.lit("1"), dst).alias("value"))
+    heads = rows.select(day).distinct().select("day", F.lit(0).alias("place"), F.lit("#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h").alias("value"))
+    return data.unionByName(heads).repartition("day").sortWithinPartitions("day", "place").select("day", "value")
+
+
+@functools.lru_cache(8)
+def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
+    folder = work_folder(spark, "flows")
+    logs, root = f"{folder}/{abs(hash(sf_dir)):x}/logs", f"{folder}/{abs(hash(sf_dir)):x}/index"
+    daily_lines(spark, sf_dir).write.mode("overwrite").partitionBy("day").text(logs)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(logs)
+    each, paths = at.getFileSystem(conf).listFiles(at, True), []
+    while each.hasNext():
+        path = each.next().getPath()
+        if path.getName().startswith("part-"):
+            paths.append(path.toString() if path.toUri().getScheme() != "file" else path.toUri().getPath())
+    own = IndexerConfig("flows", "bro", database_root=root, filename_to_database_regex=r"day=(?P<y>\d+)-(?P<m>\d+)", database_path="$y$m.db", filename_to_time_regex=r"day=(?P<year>\d+)-(?P<month>\d+)-(?P<day>\d+)")
+    engine = Engine(spark, Config([own]))
+    wrong = [one for one in engine.index("flows", paths) if one.status != "indexed"]
+    if wrong:
+        raise RuntimeError(f"not indexed: {wrong}")
+    return engine
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose indexer "flows" has the daily logs; files and index are made once for each session and folder."""
+    return _indexed(spark, sf_dir)
+
+
 #: The same views in DuckDB; addresses as numbers.
 FLOWS_SQL = """
 flow_text AS (
@@ -45,3 +96,10 @@ flow_text AS (
     10 * 16777216 + (user_id // 64) * 256 + (user_id % 64) * 4 AS n
   FROM events),
 flows AS (SELECT DISTINCT doc, src, n FROM flow_text)"""
+
+#: What the daily logs hold: day, event, address as text, and its bytes as hexadecimal digits.
+DAILY_SQL = FLOWS_SQL + """,
+daily AS (
+  SELECT substr(doc, 7, 10) AS day, event_id, src AS ip, format('{:08x}', n) AS bytes FROM flow_text
+  UNION ALL SELECT substr(doc, 7, 10), event_id, '2600::' || format('{:x}', (n - 167772160) // 256 * 64 + n % 256 // 4 + 1), '2600' || repeat('0', 20) || format('{:08x}', (n - 167772160) // 256 * 64 + n % 256 // 4 + 1) FROM flow_text WHERE event_id % 3 = 0
+  UNION ALL SELECT substr(doc, 7, 10), event_id, '10.8.0.' || (event_id % 5), format('{:08x}', 168296448 + event_id % 5) FROM flow_text WHERE event_id % 3 <> 0)"""

@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_against_oracle(spark, name):
     n = check(spark, SMALL, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
-    assert n or name == "search_none"
+    assert n or name == "search_none" or name.startswith("store_") and name.endswith("_none")
 
 
 def test_entry(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -34,6 +35,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+#: Fixed by Spark: the setting by which an action removes the files that it has shuffled.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table to work through in small batches."""
     small_batches(spark)
@@ -61,8 +66,36 @@ def shared_dir(spark: SparkSession) -> str:
     return next(d for s, d in _OWN if s is spark)
 
 
+#: What has been written and kept inside of scopes, innermost last.
+_SCOPES: list[list] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables that are stored or held inside go at its end, but for those that the yielded function was given."""
+    own: list = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df.ipquarry_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not own]
+        for what in own:
+            if isinstance(what, str):
+                drop(spark, what)
+            else:
+                what.unpersist()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of the shared one, removed at the end of the scope it's made in, or of the driver."""
     path = f"{shared_dir(spark)}/ipquarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     atexit.register(drop, spark, path)
     return path
 
@@ -76,10 +109,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    What was shuffled to make it isn't needed any more and goes at once, not with the driver's next collection.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.ipquarry_path = path
     return out
@@ -90,7 +131,10 @@ def held(df: DataFrame) -> DataFrame:
 
     Its lineage stays, so blocks of a lost executor are made again; nothing is written to the shared folder.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
 
 
 def drop(spark: SparkSession, what: DataFrame | str) -> None:

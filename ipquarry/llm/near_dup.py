@@ -45,7 +45,8 @@ from pyspark.sql import functions as F
 
 from ipquarry.llm.common import drop, few, fresh, held, stored, table, texts, trim
 from ipquarry.llm.components import components
-from ipquarry.llm.ngram_lm import _pack, _unpack
+from ipquarry.llm.planes import pack as _pack
+from ipquarry.llm.planes import unpack as _unpack
 from ipquarry.llm.wordhash import WINDOW, buffer, mix, slices, words
 
 WORDS, SIMILARITY = 5, (80, 100)

@@ -37,6 +37,60 @@ def test_shards_and_buffers_change_nothing(spark, monkeypatch):
     assert got == pytest.approx(plain)
 
 
+def test_split_contexts_and_wide_keys_against_brute_force(spark, monkeypatch):
+    """Contexts that are split over shards, and n-grams of more ids than fit into one integer."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "the", "a", "of", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_lm, "SHARD_PAIRS", 100)
+    for order in (3, 12):
+        train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+        want = Oracle(train, order)
+        model = ngram_lm.train(docs.where(~ngram_lm.held_out()), order)
+        assert model.bits > 2 and any(len(model.hot[n].have) for n in model.hot)
+        for r in ngram_lm.score(docs, model, ngram_lm.held_out()).collect():
+            assert r["score"] == pytest.approx(want.row(texts[r["doc_id"]])["score"], rel=1e-9)
+
+
+def test_a_missing_file_raises(spark):
+    import glob
+    import os
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for name in ("words", "follows", "2", "3"):
+        model = ngram_lm.train(docs)
+        gone = glob.glob(f"{model.folder}/{name}-*.bin")
+        assert gone
+        for path in gone:
+            os.remove(path)
+        with pytest.raises(Exception, match="FileNotFoundError"):
+            ngram_lm.score(docs, model, F.lit(False)).collect()
+
+
+def test_counts_in_few_bits():
+    import numpy as np
+
+    values = np.array([1, 14, 15, 16, 254, 255, 256, 70000, 2, 1 << 40, 3])
+    for bits in (4, 8):
+        got = ngram_lm._small("x", values, bits)
+        at = np.array([10, 0, 9, 3, 2, 1, 5, 7, 8, 4, 6])
+        assert ngram_lm._values(got, "x", at, bits).tolist() == values[at].tolist()
+
+
+def test_directories():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 1000, 40000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        arrays = ngram_lm._directory("x", keys)
+        asked = np.sort(np.concatenate([keys[::3], rng.integers(0, 1 << 63, 500).astype(np.uint64)]))
+        hit, at = ngram_lm._find(arrays, "x", asked)
+        assert asked[hit].tolist() == keys[at].tolist() == keys[np.isin(keys, asked)].tolist()
+
+
 def test_without_rows_and_with_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string, extra int")
     model = ngram_lm.train(none)

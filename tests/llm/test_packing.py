@@ -72,3 +72,19 @@ def test_packs_every_document(spark):
     total = sum(r["length"] for r in got)
     assert len(filled) <= -(-total // 1024) * 1.05 + 2
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_ids_of_odd_strings_are_those_of_the_tokenizers_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(7)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path(packing.RANKS)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "‍", " ", " ", "　", "\x0b", "\x0c", "\x85", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "’s", "ſ", "İ", "ß", "ﬁ", "é", "१२", "٣", "Ⅷ", "½", "🙂", "👩‍💻", "\U0010ffff", "﻿", "word", "Word", "123", "!?", "_", "日本", "한"]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.8 else chr(rng.choice([x for x in (rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x110000))])) for _ in range(rng.randrange(1, 9)))
+        assert packing.encode(path, text)[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

@@ -96,3 +96,85 @@ def test_fitting_takes_every_passage(spark, monkeypatch):
     monkeypatch.setattr(Q.Model, "fit", lambda self, bags, y: seen.extend(map(len, bags)) or self)
     Q.fit(docs, labels)
     assert 2 not in held and sorted(seen) == sorted(-(-n // Q.PASSAGE) for i, n in sizes.items() if i not in held)
+
+
+def plain_passages(text):
+    """Features of every passage by loops over bytes and words."""
+    import math
+    import re
+
+    def kind(byte):
+        for i, own in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c", b"\n\r", b".", b",;:", b"!?", b"|<>{}[]()")):
+            if byte in own:
+                return i
+        return 10 if byte in b"\"'-" else 11 if byte == 0xC3 else 12 if 0x80 <= byte < 0xC0 else 9
+
+    raw = (text or "").encode()
+    words = [(m.start(), bytes(c + 32 if 65 <= c <= 90 else c for c in m[0])) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    starts = [a for a, _ in words] + [len(raw)]
+    out = []
+    for p in range(max(1, -(-len(words) // Q.PASSAGE))):
+        at = range(p * Q.PASSAGE, min(len(words), (p + 1) * Q.PASSAGE))
+        part = raw[starts[at[0]] if p else 0 : starts[at[-1] + 1] if at else len(raw)]
+        pairs = [0.0] * 169
+        for x, y in zip(part, part[1:]):
+            pairs[kind(x) * 13 + kind(y)] += 1
+        row = [math.sqrt(c / max(1, sum(pairs))) for c in pairs]
+        own, n = [words[i][1] for i in at], len(at)
+        sizes = [min(64, starts[i + 1] - starts[i]) for i in at]
+        mean = sum(sizes) / max(1, n)
+        row += [
+            sum(x == y for x, y in zip(own, own[1:])) / max(1, n), len(set(own)) / max(1, n), mean / 16,
+            math.sqrt(max(0, sum(x * x for x in sizes) / max(1, n) - mean * mean)) / 16, math.log1p(n) / 5, float(n > 0),
+        ]
+        out.append(row)
+    return out
+
+
+def plain_score(model, text):
+    """The score by loops over passages and units."""
+    import math
+
+    def layer(x, weights):
+        return [sum(float(x[i]) * float(weights[i][j]) for i in range(len(x))) for j in range(len(weights[0]))]
+
+    encoded, logits = [], []
+    for row in plain_passages(text):
+        scaled = [(x - float(m)) / float(s) for x, m, s in zip(row, model.mean, model.std)]
+        e = [math.tanh(h + float(b)) for h, b in zip(layer(scaled, model.W), model.b)]
+        gated = [math.tanh(t) / (1 + math.exp(-g)) for t, g in zip(layer(e, model.V), layer(e, model.U))]
+        encoded.append(e)
+        logits.append(sum(float(w) * x for w, x in zip(model.w, gated)))
+    weights = [math.exp(x - max(logits)) for x in logits]
+    z = [sum(w * e[j] for w, e in zip(weights, encoded)) / sum(weights) for j in range(len(encoded[0]))]
+    return 1 / (1 + math.exp(-(sum(float(o) * x for o, x in zip(model.o, z)) + float(model.c[0]))))
+
+
+def test_scores_against_loops(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r["text"] for r in docs.select("text").collect()][:40] + ["", None, "one", " lead", "a a a b ", "é É \x0b ü|<>", "x" * 300, "w " * 200]
+    for text, own in zip(texts, [Q.passages(pa.array([t])) for t in texts]):
+        assert own[0] == pytest.approx(np.array(plain_passages(text)), abs=1e-5)
+    model = Q.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert model.prior is None
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in Q.score(rows, model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(model, text), abs=1e-4)
+
+
+def test_bounds_of_fitting(spark, monkeypatch):
+    rows = [(i % 300, f"text {i} " * (1 + i % 7)) for i in range(1200)]  # ids repeat four times
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(i, 1 - i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q.Model, "fit", lambda self, bags, y: seen.append(len(bags)) or self)
+    Q.fit(docs, labels, max_train=40)
+    Q.fit(docs, labels)
+    usable = [r[0] for r in labels.where(~Q.held_out()).select("doc_id").collect()]
+    assert seen == [40, len(usable)]
+    few = Q.chosen(docs, labels, 10**6, 400)
+    sizes = {i: max(len(t) for j, t in rows if j == i) for i in range(300)}
+    assert 0 < sum(sizes[r["doc_id"]] for r in few.collect()) <= 400
+    assert Q.chosen(docs, labels, 10**6, 0).count() == 1

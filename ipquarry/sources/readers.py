@@ -348,7 +348,7 @@ def dump(rows: DataFrame, name: str, query: str, block: Range, mode: str = "ip")
     test = reader(name).literal
     if mode == "literal" and test is not None:
         return rows.where(test(F.col("value"), query))
-    parse = parse_ipv4 if block.family == 4 else parse_ip
+    found = lambda parse, t: F.coalesce(block.contains(parse(t)), F.lit(False))
     # a mapped IPv4 address is written as IPv6
-    test = lambda t: F.coalesce(block.contains(parse(t)), F.lit(False)) | (F.coalesce(block.contains(parse_ip(t)), F.lit(False)) if block.family == 4 else F.lit(False))
+    test = (lambda t: found(parse_ipv4, t) | (t.contains(":") & found(parse_ip, t))) if block.family == 4 else (lambda t: found(parse_ip, t))
     return rows.where(F.exists("texts", test))

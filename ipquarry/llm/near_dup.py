@@ -437,15 +437,17 @@ class _Sets:
         return np.concatenate(out)
 
 
-def _candidates(similarity: tuple[int, int]):
+def _candidates(similarity: tuple[int, int], counted: bool):
     """For mapInArrow over sorted tiles: their rows that may link with another."""
 
     def run(batches):
-        for key, (tile, node, n, signatures, sketch) in _groups(batches, ["tile", "node", "n", "signatures", "sketch"]):
+        for key, (tile, node, n, root, signatures, sketch) in _groups(batches, ["tile", "node", "n", "root", "signatures", "sketch"]):
             rows = _Tile(key, tile, node, n, signatures, sketch, similarity)
             some = np.zeros(len(node), bool)
             for x in rows.left.tolist():
                 near = rows.near(x)
+                if not counted:
+                    near = near[root[near] != root[x]]
                 if len(near):
                     some[x] = some[near] = True
             if size := int(some.sum()):
@@ -454,8 +456,8 @@ def _candidates(similarity: tuple[int, int]):
     return run
 
 
-def _counting(similarity: tuple[int, int]):
-    """For mapInArrow over sorted tiles with members: every pair is verified.
+def _counting(similarity: tuple[int, int], counted: bool):
+    """For mapInArrow over sorted tiles with members: every pair is verified, or, without counted, of every two roots.
 
     Rows (a, null, n) are a set's number of linked documents in the tile, rows (a, b, null) links, one at
     most for each component that they join.
@@ -471,6 +473,8 @@ def _counting(similarity: tuple[int, int]):
             a, b = [], []
             for x in rows.left.tolist():
                 y = rows.near(x)
+                if not counted:
+                    y = y[root[y] != root[x]]
                 if not len(y):
                     continue
                 y = exact.linked(x, y)
@@ -523,11 +527,12 @@ def _emitted(rows: DataFrame, k: int, similarity: tuple[int, int], buckets: int,
         drop(spark, sketched)
 
 
-def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, digest_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY, digest_bits: int = 64, counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """(documents: doc_id, key, node, n; links: a, b of verified sets, enough for every component; roots: node, root;
     counts: node, n_links: how many documents of other sets link with it, over all pairs; none is without a row).
 
-    key is a hash of the text, by which rows that repeat an id are told apart.
+    key is a hash of the text, by which rows that repeat an id are told apart. Without counted, counts is None, and
+    pairs of sets that are in one component already, whose links change nothing but counts, aren't compared.
     """
     spark = docs.sparkSession
     rows = texts(docs).withColumn("key", F.xxhash64("text"))
@@ -542,41 +547,48 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     sets = _members(rows, documents, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets_of)
     links = stored(_both(near, sets, ("members", "x", "y")).mapInArrow(_verified(similarity), "a long, b long"), "links")
     drop(spark, sets)
-    roots = stored(components(links), "roots")
+    verified, roots = links, stored(components(links), "roots")
 
     # every other pair of a signature's sets; of signatures with the same sets one is enough
     members = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct().join(sketched.select("node", "n"), "node")
+    if not counted:
+        members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = stored(members, "members")
-    shared = members.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("node").alias("a"), F.max("node").alias("b"))
-    shared = stored(shared.groupBy("m", "n", "print").agg(F.min("sig").alias("sig"), F.first("a").alias("a"), F.first("b").alias("b")), "shared")
+    one = F.lit(False) if counted else F.min("root") == F.max("root")
+    shared = members.groupBy("sig").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("node").alias("a"), F.max("node").alias("b"), one.alias("one"))
+    shared = stored(shared.where("not one").groupBy("m", "n", "print").agg(F.min("sig").alias("sig"), F.first("a").alias("a"), F.first("b").alias("b")), "shared")
     open_ = shared.where("m > 2").select("sig", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
-    opened = stored(members.join(open_, "sig"), "opened")
+    opened = stored(members.select("sig", "node", "n").join(open_, "sig"), "opened")
     of_sets = opened.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("signatures"))
     of_sets = of_sets.join(sketched, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_sets = stored(of_sets, "open_sets")
     tiled = opened.select("sig", "node", "tiles").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = tiled.join(of_sets.select("node", "n", "signatures", "sketch"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "signatures", "sketch")
-    tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_candidates(similarity), TILES)
+    tiled = tiled.join(of_sets.select("node", "n", "root", "signatures", "sketch"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("sig", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "n", "root", "signatures", "sketch")
+    tiled = tiled.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_candidates(similarity, counted), TILES)
     tiled = held(tiled)
-    # with two sets, their pair has been looked at; it counts where no signature with more sets has both
-    two = shared.where("m = 2").select("a", "b").join(links, ["a", "b"], "left_semi")
-    listed = lambda side: of_sets.select(F.col("node").alias(side), F.col("signatures").alias(f"of_{side}"))
-    two = two.join(listed("a"), "a", "left").join(listed("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)))
-    ends = two.select("a", "b").union(two.select("b", "a")).toDF("node", "other")
-    counts = ends.join(sketched.select(F.col("node").alias("other"), F.col("copies").alias("n")), "other").select("node", "n")
+    more = None
     if not tiled.isEmpty():
         sets = _members(rows, documents, tiled.select("node").distinct(), sets_of)
         again = tiled.join(of_sets.select("node", "copies", "root", "signatures"), "node").join(sets, "node")
         again = again.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        more = stored(again.select("sig", "i", "j", "tile", "node", "copies", "root", "signatures", "members").mapInArrow(_counting(similarity), "a long, b long, n long"), "more_links")
+        more = stored(again.select("sig", "i", "j", "tile", "node", "copies", "root", "signatures", "members").mapInArrow(_counting(similarity, counted), "a long, b long, n long"), "more_links")
         drop(spark, sets)
-        counts = counts.union(more.where("b is null").select(F.col("a").alias("node"), "n"))
         joining = more.where("b is not null").select("a", "b")
         if not joining.isEmpty():
             links = stored(links.union(joining), "links")
             roots = stored(components(links), "roots")
-    counts = stored(counts.groupBy("node").agg(F.sum("n").alias("n_links")), "link_counts")
+    counts = None
+    if counted:
+        # with two sets, their pair has been looked at; it counts where no signature with more sets has both
+        two = shared.where("m = 2").select("a", "b").join(verified, ["a", "b"], "left_semi")
+        listed = lambda side: of_sets.select(F.col("node").alias(side), F.col("signatures").alias(f"of_{side}"))
+        two = two.join(listed("a"), "a", "left").join(listed("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)))
+        ends = two.select("a", "b").union(two.select("b", "a")).toDF("node", "other")
+        counts = ends.join(sketched.select(F.col("node").alias("other"), F.col("copies").alias("n")), "other").select("node", "n")
+        if more is not None:
+            counts = counts.union(more.where("b is null").select(F.col("a").alias("node"), "n"))
+        counts = stored(counts.groupBy("node").agg(F.sum("n").alias("n_links")), "link_counts")
     for used in (met, members, sketched, shared, opened, of_sets):
         drop(spark, used)
     for used in (near, tiled):
@@ -601,7 +613,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int,
 
     It's the row with the smallest id; a null id comes after all others, and of equal ids the text decides.
     """
-    documents, _, roots, _ = join(docs, k, similarity)
+    documents, _, roots, _ = join(docs, k, similarity, counted=False)
     rooted = documents.where("node is not null").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     groups = rooted.groupBy("root").agg(first, F.count("*").alias("rows")).where("rows > 1")

@@ -187,7 +187,10 @@ def test_join_against_brute_force(spark, k, p, q, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE", 16)
     monkeypatch.setattr(near_dup, "TILE_BYTES", 1 << 15)
     got = near_dup.near_duplicates(docs_of(spark, rows), k, (p, q)).drop("n_links").collect()
-    assert sorted(tuple(r) for r in got) == sorted(oracle(rows, k, p, q))
+    want = oracle(rows, k, p, q)
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    left = near_dup.drop_near_duplicates(docs_of(spark, rows), k, (p, q)).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(i for i, _, least in want if i == least)
 
 
 def test_join_edge_rows(spark):
@@ -235,9 +238,11 @@ def test_sketches_bound_differences_from_below():
         assert far % 2 == (len(a) + len(b)) % 2
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("most", [7, 10**6])
+def test_components_against_union_find(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "LINKS", most)
     rng = random.Random(2)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7, 8), (8, 7), (7, 8)]
     root = {}
 
     def find(x):

@@ -119,6 +119,21 @@ def test_run(spark, stages):
     assert held(corpus_pipeline.run(spark, SMALL).collect()) == pieces(rows(stages[4]))
 
 
+def test_only_what_is_needed_stays(spark):
+    import glob
+    import os
+
+    from ipquarry.llm.common import shared_dir
+
+    held_before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    at = f"{shared_dir(spark).removeprefix('file://')}/ipquarry-{spark.sparkContext.applicationId}/*"
+    before = set(glob.glob(at))
+    corpus_pipeline.run(spark, SMALL)
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in set(glob.glob(at)) - before}
+    assert left == {"secret_scans", "pieces", "piece_counts"}
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held_before
+
+
 def test_no_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ipquarry.llm import exact_dedup, near_dup, packing, quality, secrets
-from ipquarry.llm.common import small_batches, stored, table
+from ipquarry.llm.common import drop, scope, small_batches, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order, each written and read again before the next; what a stage leaves besides goes with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scope(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name.replace(" ", "_")))
+        if before is not None:
+            drop(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,3 +35,20 @@ def bitmaps(postings: DataFrame, key: str, value: str) -> DataFrame:
 def bitmap_union(maps: DataFrame, key: str) -> DataFrame:
     """(key, n): distinct members of all bitmaps of a key."""
     return maps.groupBy(key, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).groupBy(key).agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+
+
+def msgpack_encode(column: Column | str) -> Column:
+    """array<long> of numbers that aren't negative as a MessagePack array; each number in the shortest form."""
+    c = F.col(column) if isinstance(column, str) else column
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+
+    def number(x: Column) -> Column:
+        forms = [(1 << 7, "", 2), (1 << 8, "CC", 2), (1 << 16, "CD", 4), (1 << 32, "CE", 8)]
+        out = F.when(x < forms[0][0], digits(x, 2))
+        for most, mark, n in forms[1:]:
+            out = out.when(x < most, F.concat(F.lit(mark), digits(x, n)))
+        return out.otherwise(F.concat(F.lit("CF"), digits(x, 16)))
+
+    n = F.size(c).cast("long")
+    head = F.when(n < 16, digits(n + 0x90, 2)).when(n < 1 << 16, F.concat(F.lit("DC"), digits(n, 4))).otherwise(F.concat(F.lit("DD"), digits(n, 8)))
+    return F.unhex(F.concat(head, F.array_join(F.transform(c, number), "")))

@@ -361,6 +361,21 @@ def bitmap_union(spark, sf_dir):
     return forms.bitmap_union(forms.bitmaps(ids, "k", "v"), "k")
 
 
+def _msgpack_bytes(values: str) -> str:
+    return f"CASE WHEN len({values}) < 16 THEN 1 WHEN len({values}) < 65536 THEN 3 ELSE 5 END + list_sum(list_transform({values}, lambda x: CASE WHEN x < 128 THEN 1 WHEN x < 256 THEN 2 WHEN x < 65536 THEN 3 WHEN x < 4294967296 THEN 5 ELSE 9 END))"
+
+
+@query(f"""WITH {_IDS}, lists AS (SELECT k, list_sort(list(v)) AS a FROM ids GROUP BY k),
+diffs AS (SELECT k, a, list_transform(range(1, len(a) + 1), lambda i: a[i] - CASE WHEN i = 1 THEN 0 ELSE a[i - 1] END) AS d FROM lists)
+SELECT k, ({_msgpack_bytes('a')})::BIGINT AS plain, ({_msgpack_bytes('d')})::BIGINT AS deltas FROM diffs""")
+def posting_bytes(spark, sf_dir):
+    """Bytes of posting lists as MessagePack arrays, plain and as differences."""
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), F.col("user_id").alias("k")).distinct()
+    lists = ids.groupBy("k").agg(F.sort_array(F.collect_set("v")).alias("a"))
+    size = lambda c: F.octet_length(forms.msgpack_encode(c)).cast("long")
+    return lists.select("k", size("a").alias("plain"), size(forms.delta_encode("a")).alias("deltas"))
+
+
 # names and times
 
 

@@ -14,12 +14,14 @@ import bz2
 import gzip
 import lzma
 import os
+import re
 import shutil
 import subprocess
 import tempfile
 import threading
 import zlib
 from collections.abc import Callable, Iterable
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -125,15 +127,18 @@ def errors(spark: SparkSession, paths: Iterable[str], rows: Callable) -> DataFra
 def by_spark(spark: SparkSession, paths: list[str], whole: bool = False) -> DataFrame:
     """(path, value) by Spark's reader; path is as it was given."""
     df = spark.read.text(paths, wholetext=whole, lineSep=None if whole else "\n")
-    given = {}
-    for p in paths:
-        given[_resolved(p)] = p
-    found = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:/+", "/")
-    changed = [(k, v) for k, v in given.items() if k != v]
-    if not changed:
-        return df.select(found.alias("path"), "value")
-    names = F.broadcast(spark.createDataFrame(changed, "_found string, _given string"))
-    return df.select(found.alias("_at"), "value").join(names, F.col("_at") == F.col("_found"), "left").select(F.coalesce("_given", "_at").alias("path"), "value")
+    given = {_resolved(p): p for p in paths}
+    names = {}  # as a row's file is called, without the local scheme -> as it was given
+    for uri in df.inputFiles():
+        key = uri if remote(uri) else re.sub("^file:/+", "/", uri)
+        names[key] = given.get(unquote(key), unquote(key))
+    at = F.col("_metadata.file_path")
+    at = F.when(at.startswith("file:///"), F.substr(at, F.lit(8))).when(at.startswith("file:/"), F.substr(at, F.lit(6))).otherwise(at)
+    if all(key == path for key, path in names.items()):
+        return df.select(at.alias("path"), "value")
+    # a row for each file
+    found = F.broadcast(spark.createDataFrame(list(names.items()), "_found string, _given string"))
+    return df.select(at.alias("_at"), "value").join(found, F.col("_at") == F.col("_found"), "left").select(F.coalesce("_given", "_at").alias("path"), "value")
 
 
 def _resolved(path: str) -> str:

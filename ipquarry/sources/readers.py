@@ -103,7 +103,8 @@ def _places(header: Column | str) -> list[Column]:
 
 
 def _cells() -> Column:
-    cells = F.split("value", "\t")
+    last = F.coalesce(F.greatest(*(F.col(f"at_{i}") for i in range(len(TSV_FIELDS)))), F.lit(0))
+    cells = F.split("value", "\t", last + 1)  # what comes after the last address stays in one piece
     return F.array(*(F.when(F.col(f"at_{i}").isNotNull(), F.try_element_at(cells, F.col(f"at_{i}"))) for i in range(len(TSV_FIELDS))))
 
 
@@ -180,28 +181,41 @@ def first_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _tsv_once(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records by the header that each file begins with, and a row for every other header."""
-    places = first_headers(spark, paths).select("path", "header", *_places("header"))
     rows = lines.read(spark, paths)
-    rows = rows.where(~F.col("value").startswith("#") | F.col("value").startswith("#fields"))
-    rows = rows.join(F.broadcast(places) if len(paths) <= FEW else places, "path", "left").where(~F.col("value").eqNullSafe(F.col("header")))
+    rows = rows.where(~F.col("value").startswith("#") | _is_header())
+    rows = _joined(rows, first_headers(spark, paths), len(paths)).where(~F.col("value").eqNullSafe(F.col("header")))
     return rows.select("path", "value", F.when(~_is_header(), _cells()).alias("texts"))
 
 
+def _joined(rows: DataFrame, heads: DataFrame, files: int) -> DataFrame:
+    places = heads.select("path", "header", *_places("header"))
+    return rows.join(F.broadcast(places) if files <= FEW else places, "path", "left")
+
+
 def _is_header() -> Column:
     return F.col("value").startswith("#fields")
 
 
 def _read_tsv(spark: SparkSession, paths: list[str], salvage: bool = False) -> DataFrame:
-    """Records by the last header before each. Local files are read in order, each by a task, in one pass.
+    """Records by the last header before each.
 
-    Files in a store that only Spark reads come as one row each.
+    A pass over the files finds those with more than the header that they begin with; only they are read in order,
+    local ones line by line by a task, those in a store that only Spark reads as one row each.
     """
-    far = [p for p in paths if lines.remote(p)]
-    near = [p for p in paths if not lines.remote(p)]
-    parts = [_ordered(spark, near, salvage)] if near else []
+    if salvage:
+        return _ordered(spark, [p for p in paths if not lines.remote(p)], salvage)
+    heads = _joined(lines.read(spark, paths).where(_is_header()), first_headers(spark, paths), len(paths))
+    odd = {r["path"] for r in heads.where(~F.col("value").eqNullSafe(F.col("header"))).select("path").distinct().collect()}  # files at most
+    near, far = ([p for p in paths if p in odd and lines.remote(p) == x] for x in (False, True))
+    parts = [_tsv_once(spark, even)] if (even := [p for p in paths if p not in odd]) else []
+    if near:
+        parts.append(_ordered(spark, near))
     if far:
         parts.append(from_tsv_whole(lines.by_spark(spark, far, whole=True)))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _ordered(spark: SparkSession, paths: list[str], salvage: bool = False) -> DataFrame:
@@ -328,7 +342,9 @@ def counted(rows: DataFrame, bad: Column | None = None, odd: Column | None = Non
     texts = rows.select("path", F.explode(every).alias("text")).groupBy("path", "text").agg(F.count("*").alias("n"))
     text, kind = F.substr("text", F.lit(2)), F.substring("text", 1, 1)
     found = texts.select("path", kind.alias("kind"), F.when(kind == "t", parse_ip(text)).when(kind == "b", F.lit(bytearray(BAD))).when(kind == "o", F.lit(bytearray(ODD))).alias("ip"), "n")
-    return found.where("kind <> 't' or ip is not null").groupBy("path", "ip").agg(F.sum("n").alias("n"))
+    # texts that are no address add nothing; a filter would be pushed down and parse them twice
+    counts = F.sum(F.when((F.col("kind") != "t") | F.col("ip").isNotNull(), F.col("n")))
+    return found.groupBy("path", "ip").agg(counts.alias("n"))
 
 
 def extract(rows: DataFrame) -> DataFrame:

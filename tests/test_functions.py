@@ -116,3 +116,16 @@ def test_globs(tmp_path):
     assert filenames.recent_globs(f"{tmp_path}/%Y-%m-%d/*.log", now) == [f"{tmp_path}/2020-01-01/a.log", f"{tmp_path}/2020-01-02/a.log"]
     assert filenames.recent_globs(f"{tmp_path}/2020-01-01/*.log", now) == [f"{tmp_path}/2020-01-01/a.log"]
     assert filenames.expand_glob(f"{tmp_path}/none*") == []
+
+
+def test_msgpack_form(spark):
+    def encoded(values):
+        out = bytearray([0x90 + len(values)] if len(values) < 16 else b"\xdc" + len(values).to_bytes(2, "big") if len(values) < 65536 else b"\xdd" + len(values).to_bytes(4, "big"))
+        for x in values:
+            size = next(n for n, most in ((0, 1 << 7), (1, 1 << 8), (2, 1 << 16), (4, 1 << 32), (8, 1 << 64)) if x < most)
+            out += bytes([x]) if not size else {1: b"\xcc", 2: b"\xcd", 4: b"\xce", 8: b"\xcf"}[size] + x.to_bytes(size, "big")
+        return bytes(out)
+
+    lists = [[], [0], [1, 2, 3, 5, 8, 13, 21], [127, 128, 255, 256, 65535, 65536, 4294967295, 4294967296, 2**62], list(range(15)), list(range(16)), list(range(300)), list(range(70000))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, a array<long>").select("i", postings.msgpack_encode("a").alias("b")).collect()
+    assert {r["i"]: bytes(r["b"]) for r in rows} == {i: encoded(x) for i, x in enumerate(lists)}

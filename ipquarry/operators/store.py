@@ -145,6 +145,8 @@ class Store:
                 if again:  # files that can't be read in one pass
                     self._commit(indexer, backend, again, out, once=False)
             except (PySparkException, Py4JJavaError) as error:
+                if not _of_a_file(error):  # the store, say; halving wouldn't help
+                    raise
                 left = [r for r in some if out[r[0]].status == "known"]
                 named = _named(error, [r[0] for r in left])
                 if len(left) == 1 or named:
@@ -324,6 +326,13 @@ def said(error: Exception) -> str:
     return " ".join((": ".join(causes[-1]) if causes else text.strip().split("\n")[0]).split())[:500]
 
 
+def _of_a_file(error: Exception) -> bool:
+    """Whether an error is one of reading a file, not of writing or of the cluster."""
+    text = str(getattr(error, "java_exception", None) or error)
+    elsewhere = r"TASK_WRITE_FAILED|No space left|OutOfMemory|ConnectException|AccessControl|SafeMode"
+    return bool(re.search(r"FAILED_READ_FILE|PythonException|PYTHON_EXCEPTION|EOFException|ZipException|IOException", text)) and not re.search(elsewhere, text)
+
+
 def _named(error: Exception, paths: list[str]) -> set[str]:
     """Those of paths that an error's text names as files that can't be read."""
     text = str(getattr(error, "java_exception", None) or error)

@@ -328,7 +328,7 @@ def said(error: Exception) -> str:
 
 def _of_a_file(error: Exception) -> bool:
     """Whether an error is one of reading a file, not of writing or of the cluster."""
-    text = str(getattr(error, "java_exception", None) or error)
+    text = f"{type(error).__name__}: {getattr(error, 'java_exception', None) or error}"
     elsewhere = r"TASK_WRITE_FAILED|No space left|OutOfMemory|ConnectException|AccessControl|SafeMode"
     return bool(re.search(r"FAILED_READ_FILE|PythonException|PYTHON_EXCEPTION|EOFException|ZipException|IOException", text)) and not re.search(elsewhere, text)
 

@@ -559,7 +559,8 @@ def join(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARI
     shared = stored(shared.where("not one").groupBy("m", "n", "print").agg(F.min("sig").alias("sig"), F.first("a").alias("a"), F.first("b").alias("b")), "shared")
     open_ = shared.where("m > 2").select("sig", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.col("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
     opened = stored(members.select("sig", "node", "n").join(open_, "sig"), "opened")
-    of_sets = opened.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("signatures"))
+    # by its signatures a pair is counted once; where links aren't counted, rows go without them
+    of_sets = opened.groupBy("node").agg((F.sort_array(F.collect_list("sig")) if counted else F.max(F.array().cast("array<long>"))).alias("signatures"))
     of_sets = of_sets.join(sketched, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_sets = stored(of_sets, "open_sets")
     tiled = opened.select("sig", "node", "tiles").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))

@@ -1,5 +1,6 @@
 """Brute-force interpolated modified Kneser-Ney model over Python dictionaries."""
 
+import functools
 import math
 import re
 from collections import Counter, defaultdict
@@ -41,6 +42,12 @@ class Oracle:
             self.heads[n] = heads
         self.total = sum(self.plain.values())
 
+    @functools.cache
+    def of_head(self, n, head):
+        """Total, and what is left to the level below."""
+        counts = self.heads[n][head]
+        return sum(counts), sum(self.d[n][min(k, 3)] for k in counts) / sum(counts)
+
     def p(self, gram):
         if not gram:
             return 1 / (len(self.plain) + 1)
@@ -49,9 +56,8 @@ class Oracle:
         head = self.heads[n].get(gram[:-1])
         if not head:
             return below
-        d, t = self.d[n], sum(head)
-        c = self.levels[n].get(gram, 0)
-        gamma = sum(d[min(k, 3)] for k in head) / t
+        d, c = self.d[n], self.levels[n].get(gram, 0)
+        t, gamma = self.of_head(n, gram[:-1])
         return max(c - d[min(c, 3)], 0) / t + gamma * below
 
     def row(self, text):

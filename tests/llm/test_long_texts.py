@@ -82,7 +82,7 @@ def test_licences_and_secrets(docs):
 def test_quality(docs):
     model = quality.Model()
     for r in quality.score(docs, model).collect():
-        x, first = quality.passages(pa.array([dict(ROWS)[r["doc_id"]]]))
+        x, first = quality.passages(pa.array([dict(ROWS)[r["doc_id"]]], pa.string()))
         assert r["score"] == pytest.approx(float(model.forward(x, first)["p"][0]), abs=1e-6)
     words = len(re.findall(r"[^\x20\x09-\x0D]+", LONG))
     assert len(quality.passages(pa.array([LONG]))[0]) == -(-words // quality.PASSAGE)

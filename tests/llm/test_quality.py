@@ -154,7 +154,7 @@ def test_scores_against_loops(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = [r["text"] for r in docs.select("text").collect()][:40] + ["", None, "one", " lead", "a a a b ", "é É \x0b ü|<>", "x" * 300, "w " * 200]
-    for text, own in zip(texts, [Q.passages(pa.array([t])) for t in texts]):
+    for text, own in zip(texts, [Q.passages(pa.array([t], pa.string())) for t in texts]):
         assert own[0] == pytest.approx(np.array(plain_passages(text)), abs=1e-5)
     model = Q.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     assert model.prior is None

@@ -19,7 +19,7 @@ _OWN: list[tuple[SparkSession, str]] = []
 
 #: Rows and bytes of an Arrow batch, at most; one longer row is a batch of its own. A worker holds a batch and
 #: what it makes of it, so long texts have to be bounded by their bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Fixed by Spark: its own bound of a batch's bytes, as its setting is written.
 DEFAULT_BYTES = "67108864b"
 

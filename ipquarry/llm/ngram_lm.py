@@ -214,7 +214,7 @@ def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _mapped(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)  # plain arrays, of which slices are cheap
     body = struct.unpack("<Q", raw[:8].tobytes())[0]
     head = json.loads(raw[8:body].tobytes())
     return {k: raw[body + at : body + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}
@@ -598,7 +598,7 @@ class Model:
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score, score of every row of a string array."""
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for at, n in slices(column, 2 * WINDOW):
+        for at, n in slices(column, 4 * WINDOW):  # what is looked up in each shard follows the window
             token, _, place, first = tokens_of(column.slice(at, n))
             p, count = self.probabilities(token, place)
             base = np.log10((count + 0.1) / (self.train_tokens + 0.1 * (self.vocabulary + 1)))
